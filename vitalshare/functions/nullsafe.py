@@ -92,13 +92,12 @@ def stable_round(c, digits: int = 6) -> Column:
 
 def left_join(left: DataFrame, right: DataFrame, keys, how: str = "left") -> DataFrame:
     """Equi-join in which a NULL key matches a NULL key; right keys are dropped."""
-    tagged = right.select(
-        *[F.col(k).alias(f"__right_{k}") for k in keys],
-        *[c for c in right.columns if c not in keys],
-    )
-    on = reduce(
-        lambda a, b: a & b,
-        [F.col(k).eqNullSafe(F.col(f"__right_{k}")) for k in keys],
+    tagged = right.selectExpr(
+        *[f"`{k}` AS `__right_{k}`" for k in keys],
+        *[f"`{c}`" for c in right.columns if c not in keys],
     )
+    on = F.expr(" AND ".join(f"`{k}` <=> `__right_{k}`" for k in keys))
     joined = left.join(tagged, on, how)
-    return joined.drop(*[f"__right_{k}" for k in keys]) if how != "left_anti" else joined
+    if how in ("left_semi", "left_anti"):
+        return joined
+    return joined.drop(*[f"__right_{k}" for k in keys])

@@ -1,15 +1,15 @@
 """Redistribution of deaths whose municipality, age or sex is unknown.
 
-A municipality-year-cause is one row with one column per (sex, age) cell, so every
-share inside a municipality is row arithmetic. Larger areas enter as a coefficient
-table with one row per micro-region, year and cause: for each cell
+A municipality-year-cause is one row; its 44 (sex, age) cells are one array, males first.
+Every share inside a municipality is then arithmetic on the row's own array. Larger areas
+enter as a coefficient table with one row per micro-region, year and cause, cell by cell:
 
-* ``s1_*, s2_*, s3_*``  share of the finest level above the municipality that has deaths,
-* ``a_*``  what each known death of the cell attracts from the state's unplaced deaths,
-* ``b_*``  what each inhabitant attracts where the state has no such death at all.
+* ``s_age, s_sex, s_both``  share at the finest level above the municipality with deaths,
+* ``a``  what each known death of the cell attracts from the state's unplaced deaths,
+* ``b``  what each inhabitant attracts where the state has no such death at all.
 
-The fact side is aggregated once, joined once to its population and once to the
-coefficients, and never grouped by state or region.
+The counts are aggregated once, joined once to population and once to the coefficients,
+and never grouped by state or region at row level.
 """
 
 from __future__ import annotations
@@ -19,207 +19,237 @@ from pyspark.sql import functions as F
 
 from vitalshare.domain import (
     AGES,
-    CELLS,
     FEMALE,
+    MALE,
     MATERNAL,
     MATERNAL_AGES,
     SEXES,
     UNKNOWN,
     UNKNOWN_MUNICIPALITIES,
 )
-from vitalshare.functions import in_list, left_join, not_in_list, strict_total, total
+from vitalshare.functions import in_list, left_join, not_in_list
 from vitalshare.operators.counts import unknown_codes
 from vitalshare.operators.grid import domain_rows
 from vitalshare.options import COMPAT, Options
 from vitalshare.plans.passes import PASSES
 from vitalshare.sources.writers import stage_table
 
-CELL_COLUMNS = [c for _, _, c in CELLS]
 ROW = ["cdmun", "micro", "meso", "uf", "ano", "GBD"]
 AREA = ["micro", "meso", "uf", "ano", "GBD"]
 
-# Per missing dimension: the group a cell belongs to, and the column that holds the
-# amount to spread over that group. Pass 4-7 use the same columns on the state's rows.
-_SEX_OF = {c: c[0] for c in CELL_COLUMNS}
-_AGE_OF = {c: c[1:] for c in CELL_COLUMNS}
-AMOUNTS = [*(f"age_{x}" for x in "mf"), *(f"sex_{i:02d}" for i in range(len(AGES))), "both"]
-_GROUPS = {
-    "age": {c: f"age_{_SEX_OF[c]}" for c in CELL_COLUMNS},
-    "sex": {c: f"sex_{_AGE_OF[c]}" for c in CELL_COLUMNS},
-    "age sex": {c: "both" for c in CELL_COLUMNS},
+N_AGES, N_CELLS = len(AGES), len(AGES) * len(SEXES)
+KINDS = ("age", "sex", "both")
+KIND = {
+    frozenset({"age"}): "age",
+    frozenset({"sex"}): "sex",
+    frozenset({"age", "sex"}): "both",
+    frozenset(): "cell",
 }
-_MATERNAL_CELLS = [c for sex, age, c in CELLS if sex == FEMALE and age in MATERNAL_AGES]
+# Positions (from 1) of the cells a maternal cause can have.
+_FIRST = N_AGES + AGES.index(MATERNAL_AGES[0]) + 1
+_LAST = N_AGES + AGES.index(MATERNAL_AGES[-1]) + 1
+_IS_MATERNAL = f"coalesce(GBD IN ({', '.join(repr(c) for c in MATERNAL)}), false)"
+_AGE_LIST = f"array({', '.join(repr(a) for a in AGES)})"
 
 
-def _name(missing: frozenset[str]) -> str:
-    return " ".join(sorted(missing - {"mun"}))
+def _cells(body: str, *columns: str) -> str:
+    """Array over the 44 cells; ``body`` reads the columns' elements as ``c.<column>``.
 
+    Group totals come in as full-length arrays: as arguments of the zip they are worked
+    out once per row, inside the lambda they would be once per cell.
+    """
+    return f"transform(arrays_zip({', '.join(columns)}), c -> {body})"
+
+
+def _sum(array: str) -> str:
+    """Sum of an array; NULL as soon as one element is."""
+    return f"aggregate({array}, 0D, (acc, x) -> acc + x)"
+
+
+def _spread(array: str, kind: str) -> str:
+    """One value per sex, per age or at all -> one value per cell."""
+    if kind == "age":
+        parts = ", ".join(f"array_repeat({array}[{i}], {N_AGES})" for i in range(2))
+        return f"concat({parts})"
+    if kind == "sex":
+        return f"flatten(array_repeat({array}, 2))"
+    return f"array_repeat({array}[0], {N_CELLS})"
 
-def _members(kind: str, group: str, cells=CELL_COLUMNS) -> list[str]:
-    return [c for c in cells if _GROUPS[kind][c] == group]
 
+def _totals(array: str, kind: str) -> str:
+    """For each cell the total over the missing dimension; a total of 0 becomes NULL."""
+    male, female = f"slice({array}, 1, {N_AGES})", f"slice({array}, {N_AGES + 1}, {N_AGES})"
+    if kind == "age":
+        sums = f"array(nullif({_sum(male)}, 0D), nullif({_sum(female)}, 0D))"
+    elif kind == "sex":
+        sums = f"zip_with({male}, {female}, (m, f) -> nullif(m + f, 0D))"
+    else:
+        sums = f"array(nullif({_sum(array)}, 0D))"
+    return _spread(sums, kind)
 
-def _plus(columns, prefix: str = "", lenient: bool = False) -> str:
-    """SQL sum of columns; NULL if one is NULL unless lenient."""
-    terms = [f"coalesce({prefix}{c}, 0D)" if lenient else f"{prefix}{c}" for c in columns]
-    return "(" + " + ".join(terms) + ")" if terms else "CAST(NULL AS DOUBLE)"
 
+def _elementwise(function: str, array: str, size: int = N_CELLS) -> str:
+    """Aggregate arrays position by position."""
+    return "array(" + ", ".join(function.format(f"{array}[{i}]") for i in range(size)) + ")"
 
-def _positive(sql: str) -> str:
-    return f"nullif({sql}, 0D)"
+
+def _filled(column: str, value: str = "CAST(NULL AS DOUBLE)", size: int = N_CELLS) -> str:
+    """The array, or one of that value where a join found none."""
+    return f"coalesce({column}, array_repeat({value}, {size})) AS {column}"
 
 
 def wide_counts(counts: DataFrame, codes=UNKNOWN_MUNICIPALITIES) -> DataFrame:
-    """One row per municipality, year and cause: 44 known cells and 25 unknown amounts.
+    """One row per municipality, year and cause: ``k`` the known cells, ``u_age`` (by sex),
+    ``u_sex`` (by age) and ``u_both`` the deaths lacking those keys.
 
     ``n_known`` counts the deaths with all keys known, in the grid or not; it tells which
     years and causes the known half has.
     """
-    age = F.when(in_list("idade", (UNKNOWN, "999")), F.lit(len(AGES)))
-    for i, label in enumerate(AGES):
-        age = age.when(F.col("idade") == label, F.lit(i))
-    sex = F.when(F.col("sexo") == UNKNOWN, F.lit(2))
-    for i, label in enumerate(SEXES):
-        sex = sex.when(F.col("sexo") == label, F.lit(i))
-    impossible = in_list("GBD", MATERNAL) & ~F.expr(
-        f"_sex = {SEXES.index(FEMALE)} AND _age BETWEEN "
-        f"{AGES.index(MATERNAL_AGES[0])} AND {AGES.index(MATERNAL_AGES[-1])}"
-    )
-    width = len(AGES) + 1
-    coded = (
-        counts.withColumns({"_age": age, "_sex": sex})
-        .withColumn(
-            "_cell",
-            F.when(
-                ~(impossible & (F.col("_sex") < 2) & (F.col("_age") < len(AGES))),
-                F.col("_sex") * width + F.col("_age"),
-            ),
-        )
-        .withColumn(
-            "_known",
+    width = N_AGES + 1
+    first, last = (width + i - N_AGES - 1 for i in (_FIRST, _LAST))
+    coded = counts.select(
+        *ROW,
+        "obitos",
+        F.expr(
+            f"CASE sexo WHEN '{MALE}' THEN 0 WHEN '{FEMALE}' THEN {width} "
+            f"WHEN '{UNKNOWN}' THEN {2 * width} END"
+        ).alias("_sex"),
+        F.expr(
+            f"CASE WHEN idade IN ('{UNKNOWN}', '999') THEN {N_AGES} "
+            f"ELSE nullif(array_position({_AGE_LIST}, idade), 0) - 1 END"
+        ).alias("_age"),
+        (
             not_in_list("cdmun", codes)
-            & F.coalesce(F.col("sexo") != UNKNOWN, F.lit(False))
-            & F.coalesce(~F.col("idade").isin(UNKNOWN, "999"), F.lit(False)),
-        )
+            & F.expr(f"coalesce(sexo <> '{UNKNOWN}' AND idade NOT IN ('{UNKNOWN}', '999'), false)")
+        ).alias("_known"),
+    ).withColumn(
+        "_cell",
+        F.expr(
+            f"CASE WHEN _sex + _age < {2 * width} AND _age < {N_AGES} AND {_IS_MATERNAL} "
+            f"AND NOT _sex + _age BETWEEN {first} AND {last} THEN NULL ELSE _sex + _age END"
+        ),
     )
-    position = {
-        **{c: "mf".index(c[0]) * width + int(c[1:]) for c in CELL_COLUMNS},
-        "age_m": len(AGES),
-        "age_f": width + len(AGES),
-        **{f"sex_{i:02d}": 2 * width + i for i in range(len(AGES))},
-        "both": 2 * width + len(AGES),
-    }
-    sums = [
-        F.expr(f"CAST(sum(CASE WHEN _cell = {p} THEN obitos ELSE 0L END) AS DOUBLE)").alias(c)
-        for c, p in position.items()
-    ]
+
+    def at(positions) -> str:
+        sums = [f"sum(CASE WHEN _cell = {p} THEN obitos ELSE 0L END)" for p in positions]
+        return f"CAST(array({', '.join(sums)}) AS ARRAY<DOUBLE>)"
+
     return coded.groupBy(*ROW).agg(
-        *sums, F.expr("sum(CASE WHEN _known THEN obitos ELSE 0L END)").alias("n_known")
+        F.expr(at([s * width + a for s in range(2) for a in range(N_AGES)])).alias("k"),
+        F.expr(at([N_AGES, width + N_AGES])).alias("u_age"),
+        F.expr(at(range(2 * width, 2 * width + N_AGES))).alias("u_sex"),
+        F.expr(at([2 * width + N_AGES])).alias("u_both"),
+        F.expr("sum(CASE WHEN _known THEN obitos ELSE 0L END)").alias("n_known"),
     )
 
 
 def wide_population(population: DataFrame) -> DataFrame:
-    """One row per municipality and year, columns ``p_<cell>``; neonatal cells are NULL."""
-    band = {(sex, age): c for sex, age, c in CELLS}
-    return population.groupBy("cdmun", "uf", "ano").agg(
-        *[
-            F.max(F.when((F.col("sexo") == sex) & (F.col("idade") == age), F.col("pop"))).alias(
-                f"p_{c}"
+    """One row per municipality and year; ``p`` is NULL in cells without population."""
+    people = ", ".join(
+        f"max(CASE WHEN sexo = '{sex}' AND idade = '{age}' THEN pop END)"
+        for sex in SEXES
+        for age in AGES
+    )
+    return population.groupBy("cdmun", "uf", "ano").agg(F.expr(f"array({people})").alias("p"))
+
+
+def _area_shares(known: DataFrame, areas: DataFrame) -> DataFrame:
+    """``s_<kind>``: the cell's share at micro, meso or state level, whichever comes first
+    with deaths in the group; ``state`` the state's cells."""
+    sums = F.expr(_elementwise("sum({})", "k")).alias("k")
+    joined, source, levels = areas, known, ("mi", "me", "uf")
+    for i, level in enumerate(levels):
+        keys = AREA[i:]
+        source = source.groupBy(*keys).agg(sums)
+        shares = (
+            source.selectExpr(*keys, "k", *[f"{_totals('k', kind)} AS t_{kind}" for kind in KINDS])
+            .selectExpr(
+                *keys,
+                *[
+                    f"{_cells(f'c.k / c.t_{kind}', 'k', f't_{kind}')} AS {level}_{kind}"
+                    for kind in KINDS
+                ],
+                *(["k AS state"] if level == "uf" else []),
             )
-            for (sex, age), c in band.items()
-        ]
+        )
+        joined = left_join(joined, shares, keys)
+    joined = joined.selectExpr(
+        *AREA,
+        *[_filled(f"{level}_{kind}") for level in levels for kind in KINDS],
+        _filled("state", "0D"),
     )
+    ladders = []
+    for kind in KINDS:
+        columns = [f"{level}_{kind}" for level in levels]
+        steps = ", ".join(f"c.{x}" for x in columns)
+        ladders.append(f"{_cells(f'coalesce({steps})', *columns)} AS s_{kind}")
+    return joined.selectExpr(*AREA, *ladders, "state")
 
 
-def _area_shares(known: DataFrame, grid_areas: DataFrame) -> DataFrame:
-    """``s<pass>_<cell>``: the share at micro, meso or state level, whichever comes first
-    with any deaths in the group."""
-    levels = {}
-    source = known
-    for level, keys in (("mi", AREA), ("me", AREA[1:]), ("uf", AREA[2:])):
-        source = source.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in CELL_COLUMNS])
-        levels[level] = (keys, source)
-    joined = grid_areas
-    for level, (keys, sums) in levels.items():
-        renamed = sums.select(*keys, *[F.col(c).alias(f"{level}_{c}") for c in CELL_COLUMNS])
-        joined = left_join(joined, renamed, keys)
-    totals, shares = {}, []
-    for number, kind in ((1, "age"), (2, "sex"), (3, "age sex")):
-        for group in dict.fromkeys(_GROUPS[kind].values()):
-            for level in levels:
-                totals[f"t{number}_{level}_{group}"] = F.expr(
-                    _positive(_plus(_members(kind, group), f"{level}_"))
-                )
-        for c in CELL_COLUMNS:
-            ladder = ", ".join(
-                f"{level}_{c} / t{number}_{level}_{_GROUPS[kind][c]}" for level in levels
-            )
-            shares.append(f"coalesce({ladder}) AS s{number}_{c}")
-    return joined.withColumns(totals).selectExpr(
-        *AREA, *shares, *[f"coalesce(uf_{c}, 0D) AS state_{c}" for c in CELL_COLUMNS]
-    )
+def _population_totals(options: Options) -> list[str]:
+    """``q_<kind>``: population over the missing dimension, only over cells the cause has.
+
+    Strict totals are NULL as soon as one cell is (the neonatal ones always are).
+    """
+    people = "transform(p, x -> coalesce(x, 0D))" if options.lenient_population else "p"
+    mothers = f"transform({people}, (x, i) -> IF(i BETWEEN {_FIRST - 1} AND {_LAST - 1}, x, 0D))"
+    return [
+        f"{_totals(f'IF({_IS_MATERNAL}, {mothers}, {people})', kind)} AS q_{kind}"
+        for kind in KINDS
+    ]
 
 
 def _attraction(shares: DataFrame, unplaced: DataFrame, state_pop: DataFrame, active, options):
-    """``a_<cell>`` and ``b_<cell>`` from the deaths whose municipality is unknown."""
+    """``a`` and ``b`` from the deaths whose municipality is unknown."""
     joined = left_join(shares, unplaced, ["uf", "ano", "GBD"])
-    joined = left_join(joined, state_pop, ["uf", "ano"]).withColumn(
-        "_maternal", in_list("GBD", MATERNAL)
+    joined = left_join(joined, state_pop, ["uf", "ano"])
+    amounts = [_filled("u_cell", "0D"), *_amounts("u")]
+    filled = joined.selectExpr(*AREA, *[f"s_{k}" for k in KINDS], "state", _filled("p"), *amounts)
+    ready = filled.selectExpr(
+        "*",
+        "transform(state, x -> nullif(x, 0D)) AS t_cell",
+        "transform(p, x -> nullif(x, 0D)) AS q_cell",
+        *[f"{_totals('state', kind)} AS t_{kind}" for kind in KINDS],
+        *_population_totals(options),
     )
-    group_columns, a, b = {}, {c: [] for c in CELL_COLUMNS}, {c: [] for c in CELL_COLUMNS}
-    for spec in PASSES:
-        if spec.local or spec.number not in active:
-            continue
-        kind = _name(spec.missing)
-        for c in CELL_COLUMNS:
-            group = _GROUPS[kind][c] if kind else c
-            amount = f"u_{group}"
-            deaths, people = f"d{spec.number}_{group}", f"q{spec.number}_{group}"
-            if deaths not in group_columns:
-                members = _members(kind, group) if kind else [c]
-                maternal = [m for m in members if m in _MATERNAL_CELLS]
-                group_columns[deaths] = F.expr(_plus(members, "state_"))
-                group_columns[people] = F.expr(
-                    f"CASE WHEN _maternal THEN {_plus(maternal, 'p_', options.lenient_population)}"
-                    f" ELSE {_plus(members, 'p_', options.lenient_population)} END"
-                )
-            a[c].append(f"coalesce(CASE WHEN {deaths} > 0 THEN {amount} / {deaths} END, 0D)")
-            b[c].append(
-                f"coalesce(CASE WHEN {deaths} = 0 THEN {amount} / {_positive(people)} END, 0D)"
-            )
-    return joined.withColumns(group_columns).selectExpr(
+    kinds = [KIND[s.missing - {"mun"}] for s in PASSES if not s.local and s.number in active]
+    a = [f"coalesce(c.u_{k} / c.t_{k}, 0D)" for k in kinds]
+    b = [f"IF(c.t_{k} IS NULL, coalesce(c.u_{k} / c.q_{k}, 0D), 0D)" for k in kinds]
+    used = [f"{x}_{k}" for x in "utq" for k in kinds] or ["state"]
+    return ready.selectExpr(
         *AREA,
-        *[f"s{n}_{c}" for n in (1, 2, 3) for c in CELL_COLUMNS],
-        *[f"{' + '.join(a[c]) or '0D'} AS a_{c}" for c in CELL_COLUMNS],
-        *[f"{' + '.join(b[c]) or '0D'} AS b_{c}" for c in CELL_COLUMNS],
+        *[f"s_{k}" for k in KINDS],
+        f"{_cells(' + '.join(a) or '0D', *used)} AS a",
+        f"{_cells(' + '.join(b) or '0D', *used)} AS b",
     )
 
 
-def _allocation(cell: str, active, options: Options) -> str:
-    """SQL for everything a cell receives."""
-    people = {
-        1: f"{_people(cell)} / {_positive('q1_' + _GROUPS['age'][cell])}",
-        2: f"{_people(cell)} / {_positive('q2_' + _GROUPS['sex'][cell])}",
-        3: f"{_people(cell)} / "
-        + _positive("q3_both" if options.both_unknown_uses_population else f"p_{cell}"),
-    }
-    terms = []
+def _amounts(prefix: str) -> list[str]:
+    """Amounts to spread, repeated for each cell; 0 where a join found none."""
+    sizes = {"age": 2, "sex": N_AGES, "both": 1}
+    return [
+        f"{_spread(f'coalesce({prefix}_{k}, array_repeat(0D, {n}))', k)} AS {prefix}_{k}"
+        for k, n in sizes.items()
+    ]
+
+
+def _additions(active, options: Options) -> str:
+    """Array of everything each cell receives."""
+    terms, used = [], []
     for spec in PASSES:
         if spec.local and spec.number in active:
-            group = _GROUPS[_name(spec.missing)][cell]
+            kind = KIND[spec.missing]
+            by_sum = kind != "both" or options.both_unknown_uses_population
+            people = f"c.q_{kind}" if by_sum else "nullif(c.p, 0D)"
             terms.append(
-                f"coalesce({group} * coalesce({cell} / t_{group}, s{spec.number}_{cell}, "
-                f"{people[spec.number]}), 0D)"
+                f"coalesce(c.u_{kind} * coalesce(c.k / c.t_{kind}, c.s_{kind}, "
+                f"c.p / {people}), 0D)"
             )
+            used += [f"{x}_{kind}" for x in "ustq"]
     if any(not spec.local and spec.number in active for spec in PASSES):
-        terms.append(f"{cell} * coalesce(a_{cell}, 0D)")
-        terms.append(f"coalesce({_people(cell)} * b_{cell}, 0D)")
-    return " + ".join(terms) or "0D"
-
-
-def _people(cell: str) -> str:
-    """Population of a cell the grid has; maternal rows have only the maternal cells."""
-    return f"p_{cell}" if cell in _MATERNAL_CELLS else f"if(_maternal, NULL, p_{cell})"
+        terms += ["c.k * coalesce(c.a, 0D)", "coalesce(c.p * c.b, 0D)"]
+        used += ["a", "b"]
+    return _cells(" + ".join(terms) or "0D", "k", "p", *used)
 
 
 def redistribute_unknown_wide(
@@ -229,31 +259,37 @@ def redistribute_unknown_wide(
     options: Options = COMPAT,
     passes=range(1, 8),
 ) -> DataFrame:
-    """Rows per municipality, year and cause: known deaths per cell (``m00``...) and what
-    the chosen passes add (``add_m00``...). Shares always come from the known deaths, so
-    the passes are independent and any subset can be taken."""
+    """Rows per municipality, year and cause: known deaths per cell (``k``) and what the
+    chosen passes add (``added``). Shares always come from the known deaths, so the passes
+    are independent and any subset can be taken."""
     active = frozenset(passes)
     codes = unknown_codes(codes, options)
     wide = stage_table(wide_counts(counts, codes), "wide_counts")
 
-    has_known = F.col("n_known") > 0
     known = wide.filter(not_in_list("cdmun", codes))
+    of_known = known.filter("n_known > 0")
+    causes = (wide if options.causes_from_unknown else of_known).agg(
+        F.collect_set(F.struct("GBD"))
+    ).scalar()
     places = known.select("cdmun", "micro", "meso", "uf").distinct()
-    domain_source = wide if options.causes_from_unknown else wide.filter(has_known)
-    causes = domain_source.agg(F.collect_set(F.struct("GBD"))).scalar()
-    place_years = domain_rows(places, known.filter(has_known).select("ano"))
-
-    people = wide_population(population)
-    people_columns = [f"p_{c}" for c in CELL_COLUMNS]
-    with_people = left_join(place_years, people, ["cdmun", "uf", "ano"])
-    pop_total = total if options.lenient_population else strict_total
+    place_years = domain_rows(places, of_known.select("ano"))
+    with_people = left_join(place_years, wide_population(population), ["cdmun", "uf", "ano"])
+
+    strict = "CASE WHEN count({0}) = count(1) THEN sum({0}) END"
     state_pop = with_people.groupBy("uf", "ano").agg(
-        *[pop_total(p).alias(p) for p in people_columns]
+        F.expr(
+            _elementwise("sum({})" if options.lenient_population else strict, "p")
+        ).alias("p")
     )
     unplaced = (
         wide.filter(in_list("cdmun", codes))
         .groupBy("uf", "ano", "GBD")
-        .agg(*[F.sum(c).alias(f"u_{c}") for c in [*CELL_COLUMNS, *AMOUNTS]])
+        .agg(
+            F.expr(_elementwise("sum({})", "k")).alias("u_cell"),
+            F.expr(_elementwise("sum({})", "u_age", 2)).alias("u_age"),
+            F.expr(_elementwise("sum({})", "u_sex", N_AGES)).alias("u_sex"),
+            F.expr(_elementwise("sum({})", "u_both", 1)).alias("u_both"),
+        )
     )
     areas = place_years.select("micro", "meso", "uf", "ano").distinct()
     shares = _area_shares(known, areas.select("*", F.inline(causes)))
@@ -264,42 +300,40 @@ def redistribute_unknown_wide(
     grid = with_people.select("*", F.inline(causes))
     grid = left_join(grid, known.drop("micro", "meso", "uf", "n_known"), ["cdmun", "ano", "GBD"])
     grid = left_join(grid, coefficients, AREA)
-    grid = grid.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in [*CELL_COLUMNS, *AMOUNTS]})
-    lenient = options.lenient_population
-    sums = {"_maternal": in_list("GBD", MATERNAL)}
-    for number, kind in ((1, "age"), (2, "sex"), (3, "age sex")):
-        for group in dict.fromkeys(_GROUPS[kind].values()):
-            members = _members(kind, group)
-            maternal = [m for m in members if m in _MATERNAL_CELLS]
-            sums[f"t_{group}"] = F.expr(_positive(_plus(members)))
-            sums[f"q{number}_{group}"] = F.expr(
-                f"CASE WHEN {_is_maternal()} THEN {_plus(maternal, 'p_', lenient)}"
-                f" ELSE {_plus(members, 'p_', lenient)} END"
-            )
-    return grid.withColumns(sums).selectExpr(
-        *ROW,
-        *CELL_COLUMNS,
-        *[f"{_allocation(c, active, options)} AS add_{c}" for c in CELL_COLUMNS],
+    mothers_only = (
+        f"IF({_IS_MATERNAL}, transform(p, (x, i) -> "
+        f"IF(i BETWEEN {_FIRST - 1} AND {_LAST - 1}, x, NULL)), p) AS p"
     )
-
-
-def _is_maternal() -> str:
-    listed = ", ".join(f"'{c}'" for c in MATERNAL)
-    return f"coalesce(GBD IN ({listed}), false)"
+    coefficient_columns = [_filled(x) for x in ("a", "b", *(f"s_{k}" for k in KINDS))]
+    totals = [f"{_totals('k', kind)} AS t_{kind}" for kind in KINDS]
+    filled = grid.selectExpr(
+        *ROW, _filled("k", "0D"), _filled("p"), *_amounts("u"), *coefficient_columns
+    )
+    ready = filled.selectExpr(
+        *[c for c in filled.columns if c != "p"],
+        mothers_only,
+        *totals,
+        *_population_totals(options),
+    )
+    return ready.selectExpr(*ROW, "k", f"{_additions(active, options)} AS added")
 
 
 def unknown_long(wide: DataFrame) -> DataFrame:
     """Wide result -> one row per cell the grid has: deaths_in, alloc, deaths_out."""
-    cells = ", ".join(
-        f"named_struct('sexo', '{sex}', 'idade', '{age}', 'deaths_in', {c}, 'alloc', add_{c}, "
-        f"'in_maternal', {str(c in _MATERNAL_CELLS).lower()})"
-        for sex, age, c in CELLS
+    sexes = ", ".join(f"array_repeat('{sex}', {N_AGES})" for sex in SEXES)
+    cells = wide.selectExpr(
+        *ROW, f"concat({sexes}) AS sexo", f"flatten(array_repeat({_AGE_LIST}, 2)) AS idade",
+        "k", "added",
     )
-    return (
-        wide.select(*ROW, F.expr(f"inline(array({cells}))"))
-        .filter(F.col("in_maternal") | ~in_list("GBD", MATERNAL))
-        .drop("in_maternal")
-        .withColumn("deaths_out", F.col("deaths_in") + F.col("alloc"))
+    every = "arrays_zip(sexo, idade, k, added)"
+    possible = f"slice({every}, {_FIRST}, {_LAST - _FIRST + 1})"
+    return cells.select(*ROW, F.expr(f"inline(IF({_IS_MATERNAL}, {possible}, {every}))")).selectExpr(
+        *ROW,
+        "sexo",
+        "idade",
+        "k AS deaths_in",
+        "added AS alloc",
+        "k + added AS deaths_out",
     )
 
 
