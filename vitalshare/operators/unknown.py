@@ -88,89 +88,115 @@ def _totals(array: str, kind: str) -> str:
     return _spread(sums, kind)
 
 
-def _elementwise(function: str, array: str, size: int = N_CELLS) -> str:
-    """Aggregate arrays position by position."""
-    return "array(" + ", ".join(function.format(f"{array}[{i}]") for i in range(size)) + ")"
-
-
 def _filled(column: str, value: str = "CAST(NULL AS DOUBLE)", size: int = N_CELLS) -> str:
     """The array, or one of that value where a join found none."""
     return f"coalesce({column}, array_repeat({value}, {size})) AS {column}"
 
 
-def wide_counts(counts: DataFrame, codes=UNKNOWN_MUNICIPALITIES) -> DataFrame:
-    """One row per municipality, year and cause: ``k`` the known cells, ``u_age`` (by sex),
-    ``u_sex`` (by age) and ``u_both`` the deaths lacking those keys.
+_WIDTH = N_AGES + 1
+# Where each amount sits among the (sex, age) codes sex * 23 + age, unknown last in both.
+_POSITIONS = {
+    "cell": [sex * _WIDTH + age for sex in range(2) for age in range(N_AGES)],
+    "age": [N_AGES, _WIDTH + N_AGES],
+    "sex": [2 * _WIDTH + age for age in range(N_AGES)],
+    "both": [2 * _WIDTH + N_AGES],
+}
 
-    ``n_known`` counts the deaths with all keys known, in the grid or not; it tells which
-    years and causes the known half has.
-    """
-    width = N_AGES + 1
-    first, last = (width + i - N_AGES - 1 for i in (_FIRST, _LAST))
-    coded = counts.select(
+
+def coded_counts(counts: DataFrame, codes=UNKNOWN_MUNICIPALITIES) -> DataFrame:
+    """Counts with their (sex, age) code; NULL for cells the grid does not have."""
+    first, last = (_WIDTH + i - N_AGES - 1 for i in (_FIRST, _LAST))
+    known = f"sexo <> '{UNKNOWN}' AND idade NOT IN ('{UNKNOWN}', '999')"
+    return counts.select(
         *ROW,
-        "obitos",
-        F.expr(
-            f"CASE sexo WHEN '{MALE}' THEN 0 WHEN '{FEMALE}' THEN {width} "
-            f"WHEN '{UNKNOWN}' THEN {2 * width} END"
-        ).alias("_sex"),
+        F.expr("CAST(obitos AS DOUBLE) AS obitos"),
         F.expr(
+            f"CASE sexo WHEN '{MALE}' THEN 0 WHEN '{FEMALE}' THEN {_WIDTH} "
+            f"WHEN '{UNKNOWN}' THEN {2 * _WIDTH} END + "
             f"CASE WHEN idade IN ('{UNKNOWN}', '999') THEN {N_AGES} "
-            f"ELSE nullif(array_position({_AGE_LIST}, idade), 0) - 1 END"
-        ).alias("_age"),
-        (
-            not_in_list("cdmun", codes)
-            & F.expr(f"coalesce(sexo <> '{UNKNOWN}' AND idade NOT IN ('{UNKNOWN}', '999'), false)")
-        ).alias("_known"),
+            f"ELSE nullif(array_position({_AGE_LIST}, idade), 0) - 1 END AS _code"
+        ),
+        (not_in_list("cdmun", codes) & F.expr(f"coalesce({known}, false)")).alias("_known"),
     ).withColumn(
-        "_cell",
+        "_code",
+        F.expr(
+            f"CASE WHEN {_IS_MATERNAL} AND _code < {2 * _WIDTH} AND _code % {_WIDTH} < {N_AGES} "
+            f"AND _code NOT BETWEEN {first} AND {last} THEN NULL ELSE _code END"
+        ),
+    )
+
+
+def _pack(long: DataFrame, keys, names: dict[str, str], fill: str = "0D", *sums: str) -> DataFrame:
+    """Rows of (keys, _code, obitos), unique per code -> one row per key with arrays.
+
+    A group has as many rows as there are codes, 69 at most. The emptiness test reads the
+    map a second time, which keeps the optimizer from rebuilding it for every element.
+    """
+    packed = long.groupBy(*keys).agg(
         F.expr(
-            f"CASE WHEN _sex + _age < {2 * width} AND _age < {N_AGES} AND {_IS_MATERNAL} "
-            f"AND NOT _sex + _age BETWEEN {first} AND {last} THEN NULL ELSE _sex + _age END"
+            "map_from_entries(collect_list(struct(_code, obitos)) FILTER (WHERE _code IS NOT NULL))"
+            " AS _cells"
         ),
+        *[F.expr(f"sum({x}) AS {x}") for x in sums],
     )
+    arrays = [
+        f"IF(size(_cells) < 0, NULL, transform(array({', '.join(f'{p}L' for p in _POSITIONS[kind])}),"
+        f" i -> coalesce(_cells[i], {fill}))) AS {name}"
+        for kind, name in names.items()
+    ]
+    return packed.selectExpr(*keys, *arrays, *sums)
+
 
-    def at(positions) -> str:
-        sums = [f"sum(CASE WHEN _cell = {p} THEN obitos ELSE 0L END)" for p in positions]
-        return f"CAST(array({', '.join(sums)}) AS ARRAY<DOUBLE>)"
+def wide_counts(coded: DataFrame) -> DataFrame:
+    """One row per municipality, year and cause: ``k`` the known cells, ``u_age`` (by sex),
+    ``u_sex`` (by age) and ``u_both`` the deaths lacking those keys.
 
-    return coded.groupBy(*ROW).agg(
-        F.expr(at([s * width + a for s in range(2) for a in range(N_AGES)])).alias("k"),
-        F.expr(at([N_AGES, width + N_AGES])).alias("u_age"),
-        F.expr(at(range(2 * width, 2 * width + N_AGES))).alias("u_sex"),
-        F.expr(at([2 * width + N_AGES])).alias("u_both"),
-        F.expr("sum(CASE WHEN _known THEN obitos ELSE 0L END)").alias("n_known"),
+    ``n_known`` counts the deaths with all keys known, in the grid or not; it tells which
+    years and causes the known half has. One shuffle serves both groupings.
+    """
+    summed = (
+        coded.repartition(*ROW)
+        .groupBy(*ROW, "_code")
+        .agg(
+            F.expr("sum(obitos) AS obitos"),
+            F.expr("sum(IF(_known, obitos, 0D)) AS n_known"),
+        )
     )
+    names = {"cell": "k", "age": "u_age", "sex": "u_sex", "both": "u_both"}
+    return _pack(summed, ROW, names, "0D", "n_known")
 
 
 def wide_population(population: DataFrame) -> DataFrame:
     """One row per municipality and year; ``p`` is NULL in cells without population."""
-    people = ", ".join(
-        f"max(CASE WHEN sexo = '{sex}' AND idade = '{age}' THEN pop END)"
-        for sex in SEXES
-        for age in AGES
+    coded = population.selectExpr(
+        "cdmun",
+        "uf",
+        "ano",
+        f"CASE sexo WHEN '{MALE}' THEN 0 WHEN '{FEMALE}' THEN {_WIDTH} END + "
+        f"nullif(array_position({_AGE_LIST}, idade), 0) - 1 AS _code",
+        "pop AS obitos",
     )
-    return population.groupBy("cdmun", "uf", "ano").agg(F.expr(f"array({people})").alias("p"))
+    return _pack(coded, ["cdmun", "uf", "ano"], {"cell": "p"}, "NULL")
 
 
-def _area_shares(known: DataFrame, areas: DataFrame) -> DataFrame:
+def _area_shares(coded: DataFrame, areas: DataFrame) -> DataFrame:
     """``s_<kind>``: the cell's share at micro, meso or state level, whichever comes first
-    with deaths in the group; ``state`` the state's cells."""
-    sums = F.expr(_elementwise("sum({})", "k")).alias("k")
-    joined, source, levels = areas, known, ("mi", "me", "uf")
+    with deaths in the group; ``state`` the state's cells. Each level adds up the one
+    below it."""
+    joined, source, levels = areas, coded, ("mi", "me", "uf")
     for i, level in enumerate(levels):
         keys = AREA[i:]
-        source = source.groupBy(*keys).agg(sums)
-        shares = (
-            source.selectExpr(*keys, "k", *[f"{_totals('k', kind)} AS t_{kind}" for kind in KINDS])
-            .selectExpr(
-                *keys,
-                *[
-                    f"{_cells(f'c.k / c.t_{kind}', 'k', f't_{kind}')} AS {level}_{kind}"
-                    for kind in KINDS
-                ],
-                *(["k AS state"] if level == "uf" else []),
-            )
+        source = source.groupBy(*keys, "_code").agg(F.expr("sum(obitos) AS obitos"))
+        packed = _pack(source, keys, {"cell": "k"})
+        shares = packed.selectExpr(
+            *keys, "k", *[f"{_totals('k', kind)} AS t_{kind}" for kind in KINDS]
+        ).selectExpr(
+            *keys,
+            *[
+                f"{_cells(f'c.k / c.t_{kind}', 'k', f't_{kind}')} AS {level}_{kind}"
+                for kind in KINDS
+            ],
+            *(["k AS state"] if level == "uf" else []),
         )
         joined = left_join(joined, shares, keys)
     joined = joined.selectExpr(
@@ -186,17 +212,37 @@ def _area_shares(known: DataFrame, areas: DataFrame) -> DataFrame:
     return joined.selectExpr(*AREA, *ladders, "state")
 
 
-def _population_totals(options: Options) -> list[str]:
+def _population_totals(maternal: str, options: Options) -> list[str]:
     """``q_<kind>``: population over the missing dimension, only over cells the cause has.
 
     Strict totals are NULL as soon as one cell is (the neonatal ones always are).
     """
     people = "transform(p, x -> coalesce(x, 0D))" if options.lenient_population else "p"
     mothers = f"transform({people}, (x, i) -> IF(i BETWEEN {_FIRST - 1} AND {_LAST - 1}, x, 0D))"
-    return [
-        f"{_totals(f'IF({_IS_MATERNAL}, {mothers}, {people})', kind)} AS q_{kind}"
-        for kind in KINDS
+    return [f"{_totals(f'IF({maternal}, {mothers}, {people})', kind)} AS q_{kind}" for kind in KINDS]
+
+
+def _population_shares(with_people: DataFrame, options: Options) -> DataFrame:
+    """``p`` and ``w_<kind>`` (population shares within the municipality), for causes in
+    general and for maternal ones; each municipality-year becomes two rows."""
+    both = with_people.selectExpr("*", "explode(array(false, true)) AS maternal")
+    masked = (
+        f"IF(maternal, transform(p, (x, i) -> IF(i BETWEEN {_FIRST - 1} AND {_LAST - 1}, x, "
+        "NULL)), p) AS p"
+    )
+    keys = ["cdmun", "micro", "meso", "uf", "ano", "maternal"]
+    ready = (
+        both.selectExpr(*keys, _filled("p"))
+        .selectExpr("*", *_population_totals("maternal", options))
+        .selectExpr(*keys, masked, *[f"q_{kind}" for kind in KINDS])
+    )
+    bottom = {kind: f"c.q_{kind}" for kind in KINDS}
+    if not options.both_unknown_uses_population:
+        bottom["both"] = "nullif(c.p, 0D)"
+    shares = [
+        f"{_cells(f'c.p / {bottom[kind]}', 'p', f'q_{kind}')} AS w_{kind}" for kind in KINDS
     ]
+    return ready.selectExpr(*keys, "p", *shares)
 
 
 def _attraction(shares: DataFrame, unplaced: DataFrame, state_pop: DataFrame, active, options):
@@ -210,7 +256,7 @@ def _attraction(shares: DataFrame, unplaced: DataFrame, state_pop: DataFrame, ac
         "transform(state, x -> nullif(x, 0D)) AS t_cell",
         "transform(p, x -> nullif(x, 0D)) AS q_cell",
         *[f"{_totals('state', kind)} AS t_{kind}" for kind in KINDS],
-        *_population_totals(options),
+        *_population_totals(_IS_MATERNAL, options),
     )
     kinds = [KIND[s.missing - {"mun"}] for s in PASSES if not s.local and s.number in active]
     a = [f"coalesce(c.u_{k} / c.t_{k}, 0D)" for k in kinds]
@@ -233,38 +279,29 @@ def _amounts(prefix: str) -> list[str]:
     ]
 
 
-def _additions(active, options: Options) -> str:
-    """Array of everything each cell receives."""
-    terms, used = [], []
-    for spec in PASSES:
-        if spec.local and spec.number in active:
-            kind = KIND[spec.missing]
-            by_sum = kind != "both" or options.both_unknown_uses_population
-            people = f"c.q_{kind}" if by_sum else "nullif(c.p, 0D)"
-            terms.append(
-                f"coalesce(c.u_{kind} * coalesce(c.k / c.t_{kind}, c.s_{kind}, "
-                f"c.p / {people}), 0D)"
-            )
-            used += [f"{x}_{kind}" for x in "ustq"]
-    if any(not spec.local and spec.number in active for spec in PASSES):
-        terms += ["c.k * coalesce(c.a, 0D)", "coalesce(c.p * c.b, 0D)"]
-        used += ["a", "b"]
-    return _cells(" + ".join(terms) or "0D", "k", "p", *used)
+def _allocation(spec) -> str:
+    """SQL for what one pass adds to a cell of a municipality."""
+    kind = KIND[spec.missing]
+    return f"coalesce(u_{kind} * coalesce(k / t_{kind}, s_{kind}, w_{kind}), 0D)"
 
 
-def redistribute_unknown_wide(
+def redistribute_unknown(
     counts: DataFrame,
     population: DataFrame,
     codes=UNKNOWN_MUNICIPALITIES,
     options: Options = COMPAT,
     passes=range(1, 8),
 ) -> DataFrame:
-    """Rows per municipality, year and cause: known deaths per cell (``k``) and what the
-    chosen passes add (``added``). Shares always come from the known deaths, so the passes
-    are independent and any subset can be taken."""
+    """Dense grid over the causes of the known half: ``deaths_in``, what the chosen passes
+    add (``alloc``) and their sum ``deaths_out``.
+
+    Shares always come from the known deaths, so the passes are independent and any subset
+    can be taken.
+    """
     active = frozenset(passes)
     codes = unknown_codes(codes, options)
-    wide = stage_table(wide_counts(counts, codes), "wide_counts")
+    coded = coded_counts(counts, codes)
+    wide = stage_table(wide_counts(coded), "wide_counts")
 
     known = wide.filter(not_in_list("cdmun", codes))
     of_known = known.filter("n_known > 0")
@@ -275,74 +312,69 @@ def redistribute_unknown_wide(
     place_years = domain_rows(places, of_known.select("ano"))
     with_people = left_join(place_years, wide_population(population), ["cdmun", "uf", "ano"])
 
-    strict = "CASE WHEN count({0}) = count(1) THEN sum({0}) END"
-    state_pop = with_people.groupBy("uf", "ano").agg(
-        F.expr(
-            _elementwise("sum({})" if options.lenient_population else strict, "p")
-        ).alias("p")
-    )
-    unplaced = (
-        wide.filter(in_list("cdmun", codes))
-        .groupBy("uf", "ano", "GBD")
-        .agg(
-            F.expr(_elementwise("sum({})", "k")).alias("u_cell"),
-            F.expr(_elementwise("sum({})", "u_age", 2)).alias("u_age"),
-            F.expr(_elementwise("sum({})", "u_sex", N_AGES)).alias("u_sex"),
-            F.expr(_elementwise("sum({})", "u_both", 1)).alias("u_both"),
+    strict = "CASE WHEN count(obitos) = count(1) THEN sum(obitos) END AS obitos"
+    state_cells = (
+        with_people.selectExpr("uf", "ano", _filled("p"))
+        .selectExpr("uf", "ano", "posexplode(p) AS (_at, obitos)")
+        .groupBy("uf", "ano", "_at")
+        .agg(F.expr("sum(obitos) AS obitos" if options.lenient_population else strict))
+        .selectExpr(
+            "uf", "ano", f"CAST(_at + _at div {N_AGES} AS BIGINT) AS _code", "obitos"
         )
     )
+    state_pop = _pack(state_cells, ["uf", "ano"], {"cell": "p"}, "NULL")
+    lost = coded.filter(in_list("cdmun", codes)).groupBy("uf", "ano", "GBD", "_code")
+    unplaced = _pack(
+        lost.agg(F.expr("sum(obitos) AS obitos")),
+        ["uf", "ano", "GBD"],
+        {kind: f"u_{kind}" for kind in _POSITIONS},
+    )
     areas = place_years.select("micro", "meso", "uf", "ano").distinct()
-    shares = _area_shares(known, areas.select("*", F.inline(causes)))
+    placed = coded.filter(not_in_list("cdmun", codes))
+    shares = _area_shares(placed, areas.select("*", F.inline(causes)))
     coefficients = stage_table(
         _attraction(shares, unplaced, state_pop, active, options), "unknown_coefficients"
     )
 
-    grid = with_people.select("*", F.inline(causes))
+    # Few bytes per municipality-year grow into thousands of cells, so the number of tasks
+    # is set here rather than left to byte-based coalescing.
+    tasks = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    people = _population_shares(with_people.repartition(tasks, "cdmun", "ano"), options)
+    split = f"filter(_causes, g -> {_IS_MATERNAL.replace('GBD', 'g.GBD')} = maternal)"
+    grid = people.select("*", causes.alias("_causes")).selectExpr(
+        *people.columns, f"inline({split})"
+    )
     grid = left_join(grid, known.drop("micro", "meso", "uf", "n_known"), ["cdmun", "ano", "GBD"])
     grid = left_join(grid, coefficients, AREA)
-    mothers_only = (
-        f"IF({_IS_MATERNAL}, transform(p, (x, i) -> "
-        f"IF(i BETWEEN {_FIRST - 1} AND {_LAST - 1}, x, NULL)), p) AS p"
-    )
-    coefficient_columns = [_filled(x) for x in ("a", "b", *(f"s_{k}" for k in KINDS))]
-    totals = [f"{_totals('k', kind)} AS t_{kind}" for kind in KINDS]
-    filled = grid.selectExpr(
-        *ROW, _filled("k", "0D"), _filled("p"), *_amounts("u"), *coefficient_columns
-    )
-    ready = filled.selectExpr(
-        *[c for c in filled.columns if c != "p"],
-        mothers_only,
-        *totals,
-        *_population_totals(options),
-    )
-    return ready.selectExpr(*ROW, "k", f"{_additions(active, options)} AS added")
-
-
-def unknown_long(wide: DataFrame) -> DataFrame:
-    """Wide result -> one row per cell the grid has: deaths_in, alloc, deaths_out."""
+    ready = grid.selectExpr(
+        *ROW,
+        "maternal",
+        "p",
+        _filled("k", "0D"),
+        *_amounts("u"),
+        *[f"w_{kind}" for kind in KINDS],
+        *[_filled(x) for x in ("a", "b", *(f"s_{kind}" for kind in KINDS))],
+    ).selectExpr("*", *[f"{_totals('k', kind)} AS t_{kind}" for kind in KINDS])
+
+    terms = [_allocation(spec) for spec in PASSES if spec.local and spec.number in active]
+    used = [f"{x}_{KIND[s.missing]}" for s in PASSES if s.local and s.number in active for x in "ustw"]
+    if any(not spec.local and spec.number in active for spec in PASSES):
+        terms += ["k * coalesce(a, 0D)", "coalesce(p * b, 0D)"]
+        used += ["p", "a", "b"]
+    # From here on a cell is a row, and the arithmetic plain compiled columns.
     sexes = ", ".join(f"array_repeat('{sex}', {N_AGES})" for sex in SEXES)
-    cells = wide.selectExpr(
-        *ROW, f"concat({sexes}) AS sexo", f"flatten(array_repeat({_AGE_LIST}, 2)) AS idade",
-        "k", "added",
-    )
-    every = "arrays_zip(sexo, idade, k, added)"
+    labels = [f"concat({sexes}) AS sexo", f"flatten(array_repeat({_AGE_LIST}, 2)) AS idade"]
+    every = f"arrays_zip(sexo, idade, k{''.join(', ' + u for u in used)})"
     possible = f"slice({every}, {_FIRST}, {_LAST - _FIRST + 1})"
-    return cells.select(*ROW, F.expr(f"inline(IF({_IS_MATERNAL}, {possible}, {every}))")).selectExpr(
-        *ROW,
-        "sexo",
-        "idade",
-        "k AS deaths_in",
-        "added AS alloc",
-        "k + added AS deaths_out",
+    return (
+        ready.selectExpr(*ROW, "maternal", "k", *used, *labels)
+        .selectExpr(*ROW, f"inline(IF(maternal, {possible}, {every}))")
+        .selectExpr(
+            *ROW,
+            "sexo",
+            "idade",
+            "k AS deaths_in",
+            f"{' + '.join(terms) or '0D'} AS alloc",
+        )
+        .selectExpr("*", "deaths_in + alloc AS deaths_out")
     )
-
-
-def redistribute_unknown(
-    counts: DataFrame,
-    population: DataFrame,
-    codes=UNKNOWN_MUNICIPALITIES,
-    options: Options = COMPAT,
-    passes=range(1, 8),
-) -> DataFrame:
-    """Dense grid over the causes of the known half, unknown deaths added in."""
-    return unknown_long(redistribute_unknown_wide(counts, population, codes, options, passes))

@@ -10,7 +10,7 @@ from vitalshare.domain import UNKNOWN_MUNICIPALITIES
 from vitalshare.operators import counts as c
 from vitalshare.operators import garbage as g
 from vitalshare.operators.population import prepare_population
-from vitalshare.operators.unknown import redistribute_unknown_wide, unknown_long
+from vitalshare.operators.unknown import redistribute_unknown
 from vitalshare.options import COMPAT, Options
 from vitalshare.sources.writers import stage_table
 
@@ -34,23 +34,17 @@ def step1(inputs: Inputs) -> DataFrame:
     return stage_table(counted, "death_counts")
 
 
-def step2_wide(
-    inputs: Inputs, counts: DataFrame, options: Options = COMPAT, passes=range(1, 8)
-) -> DataFrame:
-    population = prepare_population(inputs.population_wide, counts)
-    return redistribute_unknown_wide(counts, population, inputs.codes, options, passes)
-
-
 def step2(
     inputs: Inputs, counts: DataFrame, options: Options = COMPAT, passes=range(1, 8)
 ) -> DataFrame:
     """Counts -> dense grid with the unknown deaths placed."""
-    return unknown_long(step2_wide(inputs, counts, options, passes))
+    population = prepare_population(inputs.population_wide, counts)
+    return redistribute_unknown(counts, population, inputs.codes, options, passes)
 
 
 def step2_stored(inputs: Inputs, counts: DataFrame, options: Options = COMPAT) -> DataFrame:
-    """As ``step2``, stored for the garbage stages."""
-    return unknown_long(stage_table(step2_wide(inputs, counts, options), "known_redistributed"))
+    """As ``step2``, stored: the garbage stages read it more than once."""
+    return stage_table(step2(inputs, counts, options), "known_redistributed")
 
 
 def step3(
