@@ -31,14 +31,14 @@ def project_records(records: DataFrame) -> DataFrame:
 
 
 def band_ages(records: DataFrame, age_codes: DataFrame) -> DataFrame:
-    """Adds ``idade``, NULL where the age code is not in the table."""
+    """Adds ``age_band``, NULL where the age code is not in the table."""
     joined = left_join(records, clean_age_codes(age_codes), ["IDADE"])
-    return joined.withColumn("idade", standardise_age("IDADE_ANOS"))
+    return joined.withColumn("age_band", standardise_age("IDADE_ANOS"))
 
 
 def unreadable_ages(records: DataFrame, age_codes: DataFrame) -> DataFrame:
     """Records without an age band."""
-    return band_ages(records, age_codes).filter(F.col("idade").isNull())
+    return band_ages(records, age_codes).filter(F.col("age_band").isNull())
 
 
 def build_counts(
@@ -54,7 +54,7 @@ def build_counts(
         cause_map.select("CAUSABAS", F.col("class_label").alias("GBD")),
         ["CAUSABAS"],
     )
-    counted = classed.groupBy("cdmun", "SEXO", "idade", "ano", "GBD").agg(
+    counted = classed.groupBy("cdmun", "SEXO", "age_band", "ano", "GBD").agg(
         F.count(F.lit(1)).alias("obitos")
     )
     placed = left_join(counted, geo.select("cdmun", "micro", "meso"), ["cdmun"])
@@ -63,7 +63,7 @@ def build_counts(
         "micro",
         "meso",
         recode("SEXO", SEX_CODES).alias("sexo"),
-        F.coalesce("idade", F.lit(UNKNOWN)).alias("idade"),
+        F.coalesce("age_band", F.lit(UNKNOWN)).alias("idade"),
         "ano",
         "GBD",
         "obitos",

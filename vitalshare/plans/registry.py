@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitalshare.domain import GARBAGE, TARGETS
-from vitalshare.functions import in_list, stable_round
+from vitalshare.functions import in_list, left_join, stable_round
 from vitalshare.operators import checks
 from vitalshare.operators import counts as c
 from vitalshare.operators import garbage as g
@@ -63,7 +63,7 @@ def scan_project_records(spark, sf):
 
 def age_standardise(spark, sf):
     banded = c.band_ages(ss.death_records(spark, sf), ss.age_codes(spark))
-    return banded.groupBy("IDADE", "IDADE_ANOS", "idade").agg(F.count(F.lit(1)).alias("n")).toDF(
+    return banded.groupBy("IDADE", "IDADE_ANOS", "age_band").agg(F.count(F.lit(1)).alias("n")).toDF(
         "code", "age_text", "band", "n"
     )
 
@@ -145,8 +145,6 @@ def complete_grid(spark, sf):
 def _known_with_population(spark, sf):
     rows = known(spark, sf).select(*gr.KEYS, F.col("deaths_in").alias("obitos"))
     population = population_long(spark, sf)
-    from vitalshare.functions import left_join
-
     return left_join(rows, population, ["cdmun", "uf", "ano", "sexo", "idade"])
 
 
