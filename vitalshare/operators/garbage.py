@@ -247,10 +247,17 @@ def _apply(base: DataFrame, areas: DataFrame | None, plan: StagePlan, specs) ->
 
 
 def prepare(
-    known: DataFrame, weights: DataFrame, options: Options = COMPAT, measure: str = "deaths_out"
+    known: DataFrame,
+    weights: DataFrame,
+    options: Options = COMPAT,
+    measure: str = "deaths_out",
+    labels_from: DataFrame | None = None,
 ) -> tuple[DataFrame, StagePlan]:
-    """The wide base table, stored once, and the stage arithmetic for the labels in it."""
-    causes, labels = labels_in_use(known)
+    """The wide base table, stored once, and the stage arithmetic for the labels in it.
+
+    ``labels_from`` may name a cheaper table with the same causes to look labels up in.
+    """
+    causes, labels = labels_in_use(known if labels_from is None else labels_from)
     plan = StagePlan(stages(options), causes, labels, weight_table(weights), options)
     return stage_table(wide_causes(known, measure, causes, labels), "wide_causes"), plan
 
@@ -294,18 +301,23 @@ def final_values(plan: StagePlan) -> dict[str, dict[str, str]]:
     }
 
 
+def finish(base: DataFrame, plan: StagePlan) -> DataFrame:
+    """All stages on a prepared base table."""
+    return _long(run_stages(base, plan), final_values(plan))
+
+
 def redistribute_garbage(
     known: DataFrame,
     weights: DataFrame,
     options: Options = COMPAT,
     measure: str = "deaths_out",
+    labels_from: DataFrame | None = None,
 ) -> DataFrame:
     """All stages: deaths by target cause for every cell with deaths of any kind.
 
     Cells without deaths are left out; ``complete`` adds them.
     """
-    base, plan = prepare(known, weights, options, measure)
-    return _long(run_stages(base, plan), final_values(plan))
+    return finish(*prepare(known, weights, options, measure, labels_from))
 
 
 def complete(result: DataFrame, known: DataFrame, options: Options = COMPAT) -> DataFrame:

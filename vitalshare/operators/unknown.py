@@ -310,7 +310,9 @@ def redistribute_unknown(
     ).scalar()
     places = known.select("cdmun", "micro", "meso", "uf").distinct()
     place_years = domain_rows(places, of_known.select("ano"))
-    with_people = left_join(place_years, wide_population(population), ["cdmun", "uf", "ano"])
+    with_people = stage_table(
+        left_join(place_years, wide_population(population), ["cdmun", "uf", "ano"]), "place_years"
+    )
 
     strict = "CASE WHEN count(obitos) = count(1) THEN sum(obitos) END AS obitos"
     state_cells = (
@@ -329,7 +331,7 @@ def redistribute_unknown(
         ["uf", "ano", "GBD"],
         {kind: f"u_{kind}" for kind in _POSITIONS},
     )
-    areas = place_years.select("micro", "meso", "uf", "ano").distinct()
+    areas = with_people.select("micro", "meso", "uf", "ano").distinct()
     placed = coded.filter(not_in_list("cdmun", codes))
     shares = _area_shares(placed, areas.select("*", F.inline(causes)))
     coefficients = stage_table(

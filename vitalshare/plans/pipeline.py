@@ -47,6 +47,13 @@ def step2_stored(inputs: Inputs, counts: DataFrame, options: Options = COMPAT) -
     return stage_table(step2(inputs, counts, options), "known_redistributed")
 
 
+def grid_labels(inputs: Inputs, counts: DataFrame, options: Options = COMPAT) -> DataFrame:
+    """Causes the step-2 grid has, read off the counts."""
+    if options.causes_from_unknown:
+        return counts.select("GBD")
+    return c.split_unknown(counts, c.unknown_codes(inputs.codes, options))[0].select("GBD")
+
+
 def step3(
     inputs: Inputs, known: DataFrame, options: Options = COMPAT, dense: bool = False
 ) -> DataFrame:
@@ -56,4 +63,16 @@ def step3(
 
 
 def run(inputs: Inputs, options: Options = COMPAT, dense: bool = False) -> DataFrame:
-    return step3(inputs, step2_stored(inputs, step1(inputs), options), options, dense)
+    """Records -> deaths by target cause. The step-2 grid is stored only for a dense
+    result; otherwise it flows straight into the stages' base table."""
+    counts = step1(inputs)
+    if dense:
+        return step3(inputs, step2_stored(inputs, counts, options), options, dense)
+    return g.finish(*stage_base(inputs, counts, options))
+
+
+def stage_base(inputs: Inputs, counts: DataFrame, options: Options = COMPAT):
+    """What the garbage stages start from, made from the counts in one pass."""
+    placed = step2(inputs, counts, options)
+    labels = grid_labels(inputs, counts, options)
+    return g.prepare(placed, inputs.weights, options, labels_from=labels)

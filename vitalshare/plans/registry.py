@@ -22,14 +22,14 @@ from vitalshare.sources.readers import union_records
 
 # Step 1 and 2 results saved in this session, as later steps load them from storage
 # rather than compute them again. ``forget`` makes the next query start from the records.
-_SAVED: dict[tuple, DataFrame] = {}
+_SAVED: dict[tuple, object] = {}
 
 
 def forget() -> None:
     _SAVED.clear()
 
 
-def _saved(spark: SparkSession, sf: str, what: str, build) -> DataFrame:
+def _saved(spark: SparkSession, sf: str, what: str, build):
     key = (spark.sparkContext.applicationId, sf, what)
     if key not in _SAVED:
         _SAVED[key] = build()
@@ -239,7 +239,12 @@ def level_shares(spark, sf):
 
 
 def _garbage(spark, sf, options: Options = COMPAT):
-    return g.prepare(known(spark, sf, options), ss.weights(spark), options)
+    return _saved(
+        spark,
+        sf,
+        f"base {options}",
+        lambda: pipeline.stage_base(ss.inputs(spark, sf), counts(spark, sf), options),
+    )
 
 
 def _stage(number):
@@ -292,14 +297,14 @@ def final_by_cause_uf(spark, sf):
 
 
 def _final(spark, sf, *keys):
-    result = pipeline.step3(ss.inputs(spark, sf), known(spark, sf))
+    result = g.finish(*_garbage(spark, sf))
     sums = c.deaths_by(result, *keys, measure="deaths_out")
     return _rounded(sums.filter(F.col("deaths") > 0), "deaths")
 
 
 def final_grid(spark, sf):
     """Dense result: cells, cells with a value, and deaths by place, sex and cause."""
-    result = pipeline.step3(ss.inputs(spark, sf), known(spark, sf), dense=True)
+    result = g.complete(g.finish(*_garbage(spark, sf)), known(spark, sf))
     sums = result.groupBy("cdmun", "sexo", "GBD").agg(
         F.count(F.lit(1)).alias("n_cells"),
         F.count("deaths_out").alias("n_valued"),
@@ -311,7 +316,7 @@ def final_grid(spark, sf):
 def corrected_by_year(spark, sf):
     """Totals with every published quirk corrected: nothing placeable is lost."""
     options = Options.corrected()
-    result = pipeline.step3(ss.inputs(spark, sf), known(spark, sf, options), options)
+    result = g.finish(*_garbage(spark, sf, options))
     return _rounded(c.deaths_by(result, "ano", measure="deaths_out"), "deaths")
 
 
