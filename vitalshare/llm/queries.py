@@ -6,8 +6,9 @@ import importlib
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vitalshare.llm import binary_ids, packing
+from vitalshare.llm import binary_ids, bpe, packing
 from vitalshare.llm.common import table
 
 
@@ -29,9 +30,21 @@ def op3_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_ids.read_digests(spark, files)
 
 
+def op5_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = tokenizer("byte_bpe_50k.json")
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), vocabulary)
+    return bpe.decode(encoded, vocabulary).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op2_harmonic_packing": op2_harmonic_packing,
     "op3_bit_planes": op3_bit_planes,
+    "op5_speculative_bpe": op5_speculative_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {}
