@@ -8,8 +8,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalshare.llm import binary_ids, bpe, packing
-from vitalshare.llm.common import table
+from vitalshare.llm import binary_ids, bpe, language_id, packing
+from vitalshare.llm.common import crc_remainder, table
 
 
 def tokenizer(name: str) -> str:
@@ -41,10 +41,18 @@ def op5_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.predict(docs, F.coalesce(crc_remainder("doc_id", 3) != 1, F.lit(False)))
+    held_out = F.coalesce(crc_remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out")
+    return found.select("doc_id", held_out, "lang_pred", "score")
+
+
 QUERIES = {
     "op2_harmonic_packing": op2_harmonic_packing,
     "op3_bit_planes": op3_bit_planes,
     "op5_speculative_bpe": op5_speculative_bpe,
+    "op8_hyperdimensional_language": op8_hyperdimensional_language,
 }
 
 ORACLE_SQL: dict[str, str] = {}
