@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalshare.llm import binary_ids, bpe, language_id, packing
+from vitalshare.llm import binary_ids, bpe, language_id, packing, url_rules
 from vitalshare.llm.common import crc_remainder, table
 
 
@@ -48,11 +48,51 @@ def op8_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", held_out, "lang_pred", "score")
 
 
+# The rules of the query.
+URL_RULES = (
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+)
+
+
+def op9_reversed_host_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_rules.judge(table(spark, sf_dir, "pages"), rules)
+
+
 QUERIES = {
     "op2_harmonic_packing": op2_harmonic_packing,
     "op3_bit_planes": op3_bit_planes,
     "op5_speculative_bpe": op5_speculative_bpe,
     "op8_hyperdimensional_language": op8_hyperdimensional_language,
+    "op9_reversed_host_sweep": op9_reversed_host_sweep,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_reversed_host_sweep": """
+WITH rules(rhost, rpath, verdict) AS (VALUES
+  ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+  ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+rests AS (
+  SELECT row_number() OVER () AS n, page_id,
+    CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+  FROM pages),
+hosts AS (
+  SELECT n, page_id, rest, regexp_extract(rest, '^[^/?#]*', 0) AS raw FROM rests),
+parts AS (
+  SELECT n, page_id,
+    translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*', 0) AS path
+  FROM hosts),
+fits AS (
+  SELECT p.*, r.rhost || r.rpath AS rule, r.verdict,
+    row_number() OVER (PARTITION BY p.n
+      ORDER BY length(r.rhost) + length(r.rpath) DESC, length(r.rhost) DESC) AS place
+  FROM parts p LEFT JOIN rules r
+    ON (p.host = r.rhost OR ends_with(p.host, '.' || r.rhost)) AND starts_with(p.path, r.rpath))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits WHERE place = 1
+""",
+}
