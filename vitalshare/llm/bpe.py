@@ -29,14 +29,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitalshare.llm.common import slices, spread
+from vitalshare.llm.common import room, slices, spread
 
 # The split pattern of this vocabulary and Unicode's white space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPACES = "\t\n\x0b\x0c\r \x85\xa0                　"
 
-REMEMBERED = 700_000
+REMEMBERED = 250_000
 LONG_WORD = 40
+SLICE = 4 << 20
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -90,9 +91,25 @@ class Codec:
         self._forget()
 
     def _forget(self) -> None:
-        self.row: dict[str, int] = {}
-        self.known: list[np.ndarray] = []
-        self.word: dict[str, np.ndarray] = {}
+        self.row: dict[str, int] = {"": 0}  # by piece
+        self.word: dict[str, int] = {}
+        self.ids = np.empty(1 << 16, np.int32)
+        self.used, self.rows = 0, 1
+        self.starts = np.zeros(1 << 14, np.int64)
+        self.lengths = np.zeros(1 << 14, np.int64)
+
+    def _store(self, found: list[np.ndarray]) -> int:
+        """Keeps id arrays in rows of their own; the first row."""
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        first, self.rows = self.rows, self.rows + len(found)
+        start, self.used = self.used, self.used + int(lengths.sum())
+        self.ids = room(self.ids, self.used)
+        self.starts, self.lengths = room(self.starts, self.rows), room(self.lengths, self.rows)
+        if found:
+            self.ids[start : self.used] = np.concatenate(found)
+        self.lengths[first : self.rows] = lengths
+        self.starts[first : self.rows] = start + np.cumsum(lengths) - lengths
+        return first
 
     # exact merging
 
@@ -186,19 +203,24 @@ class Codec:
         words = [self.words.findall(x) for x in pieces]
         known = self.word
         new = list(dict.fromkeys(w for w in chain.from_iterable(words) if w not in known))
-        known.update(zip(new, self.encode_words([w.encode().decode("latin-1") for w in new])))
-        self.row.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces))))
-        self.known += [
-            known[own[0]] if len(own) == 1 else np.concatenate([known[w] for w in own])
-            for own in words
-        ]
+        first = self._store(self.encode_words([w.encode().decode("latin-1") for w in new]))
+        known.update(zip(new, range(first, first + len(new))))
+        self.row.update((x, known[own[0]]) for x, own in zip(pieces, words) if len(own) == 1)
+        many = [(x, own) for x, own in zip(pieces, words) if len(own) > 1]
+        sizes = np.fromiter((len(own) for _, own in many), np.int64, len(many))
+        rows = np.fromiter((known[w] for _, own in many for w in own), np.int64, int(sizes.sum()))
+        lengths = self.lengths[rows]
+        ids = self.ids[spread(self.starts[rows], lengths)]
+        ends = np.cumsum(lengths)[np.cumsum(sizes) - 1] if many else []
+        first = self._store(np.split(ids, ends)[: len(many)])
+        self.row.update(zip((x for x, _ in many), range(first, first + len(many))))
 
     def _rows(self, pieces: list[str]) -> np.ndarray:
         new = [x for x in pieces if x not in self.row]
-        if len(self.row) + len(new) > self.remembered and self.row:
+        if len(self.row) + len(new) > self.remembered:
             self._forget()
-            new = pieces
-        self._learn(list(dict.fromkeys(new)))
+            new = [x for x in pieces if x]
+        self._learn(new)
         row = self.row
         return np.fromiter((row[x] for x in pieces), np.int64, len(pieces))
 
@@ -224,17 +246,15 @@ class Codec:
         firsts = [chunks[i] for i in codes[offsets[:-1]].tolist()]
         own = [self._split(x) for x in texts.filter(pa.array(odd)).to_pylist()]
         parts = [" " + x for x in chunks] + firsts + list(chain.from_iterable(own))
-        special = self.special
-        marked = {"\0" + k: v for k, v in special.items()}
         names = list(dict.fromkeys(parts))
-        rows = dict(zip(names, range(len(names))))
-        plain = [x for x in names if x and x not in marked]
-        found = dict(zip(plain, self._rows(plain).tolist()))
-        ids = [
-            self.known[found[x]] if x in found else np.array([marked[x]] if x in marked else [], np.int64)
-            for x in names
-        ]
-        row = np.fromiter((rows[x] for x in parts), np.int64, len(parts))
+        number = dict(zip(names, range(len(names))))
+        special = {"\0" + k: v for k, v in self.special.items()}
+        marks = [x for x in names if x in special]
+        known = self._rows([x if x not in special else "" for x in names])
+        if marks:
+            first = self._store([np.array([special[x]], np.int32) for x in marks])
+            known[[number[x] for x in marks]] = np.arange(first, first + len(marks))
+        row = known[np.fromiter((number[x] for x in parts), np.int64, len(parts))]
         sequence = row[codes]
         sequence[offsets[:-1]] = row[len(chunks) : len(chunks) + len(firsts)]
         counts = np.diff(offsets)
@@ -244,13 +264,11 @@ class Codec:
             whole = [next(rest) if o else x for x, o in zip(whole, odd.tolist())]
             counts = np.fromiter(map(len, whole), np.int64, len(whole))
             sequence = np.concatenate(whole).astype(np.int64)
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.concatenate(ids) if ids else np.empty(0, np.int64)
-        per = lengths[sequence]
-        out = flat[spread((np.cumsum(lengths) - lengths)[sequence], per)]
+        per = self.lengths[sequence]
+        out = self.ids[spread(self.starts[sequence], per)]
         ends = np.concatenate([[0], np.cumsum(per)])
         stops = np.cumsum(counts)
-        return out.astype(np.int32), ends[stops] - ends[stops - counts]
+        return out, ends[stops] - ends[stops - counts]
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
         """Texts of consecutive runs of ids."""
@@ -276,21 +294,26 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
-def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id, ids array<int> of every whole text."""
+def encode(docs: DataFrame, vocabulary: str, back: bool = False) -> DataFrame:
+    """doc_id, ids array<int> of every whole text; with ``back`` also text, decoded from them
+    in the same pass."""
 
     def task(batches):
         for batch in batches:
             texts = batch.column(1)
-            for start, stop in slices(texts):
+            for start, stop in slices(texts, SLICE):
                 ids, counts = codec(vocabulary).encode(texts.slice(start, stop - start))
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
-                own = batch.column(0).slice(start, stop - start)
-                yield pa.RecordBatch.from_arrays([own, lists], ["doc_id", "ids"])
+                columns = [
+                    batch.column(0).slice(start, stop - start),
+                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)),
+                ]
+                if back:
+                    columns.append(codec(vocabulary).decode(ids, counts))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "text"][: len(columns)])
 
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return source.mapInArrow(task, "doc_id long, ids array<int>")
+    return source.mapInArrow(task, "doc_id long, ids array<int>" + ", text string" * back)
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:

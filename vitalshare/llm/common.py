@@ -44,3 +44,12 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     ends = np.cumsum(lengths)
     total = int(ends[-1]) if len(ends) else 0
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(total)
+
+
+def room(array: np.ndarray, n: int) -> np.ndarray:
+    """The array with room for n items, doubled as needed."""
+    if n <= len(array):
+        return array
+    more = np.empty(max(n, 2 * len(array)), array.dtype)
+    more[: len(array)] = array
+    return more

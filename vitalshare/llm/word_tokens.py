@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from vitalshare.llm.common import slices, spread
+from vitalshare.llm.common import room, slices, spread
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -50,8 +50,8 @@ class ChunkEncoder:
             lengths = np.fromiter(map(len, found), np.int64, len(found))
             flat = np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
             row, rows = len(self.row), len(self.row) + len(part)
-            self.ids = _room(self.ids, self.used + len(flat))
-            self.starts, self.lengths = _room(self.starts, rows), _room(self.lengths, rows)
+            self.ids = room(self.ids, self.used + len(flat))
+            self.starts, self.lengths = room(self.starts, rows), room(self.lengths, rows)
             self.ids[self.used : self.used + len(flat)] = flat
             self.starts[row:rows] = self.used + np.cumsum(lengths) - lengths
             self.lengths[row:rows] = lengths
@@ -83,14 +83,6 @@ class ChunkEncoder:
         return ids, ends[offsets[1:]] - ends[offsets[:-1]]
 
 
-def _room(array: np.ndarray, n: int) -> np.ndarray:
-    if n <= len(array):
-        return array
-    more = np.empty(max(n, 2 * len(array)), array.dtype)
-    more[: len(array)] = array
-    return more
-
-
 _encoders: dict[str, ChunkEncoder] = {}
 
 
