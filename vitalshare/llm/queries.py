@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalshare.llm import binary_ids, bpe, language_id, packing, url_rules
+from vitalshare.llm import binary_ids, bpe, language_id, packing, toxicity, url_rules
 from vitalshare.llm.common import crc_remainder, table
 
 
@@ -32,8 +32,8 @@ def op3_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = tokenizer("byte_bpe_50k.json")
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), vocabulary)
-    return bpe.decode(encoded, vocabulary).select(
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), vocabulary, back=True)
+    return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
@@ -41,6 +41,15 @@ def op5_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_clause_grammar_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    training = F.coalesce(crc_remainder("doc_id", 3) != 1, F.lit(False))
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), training)
+    held_out = F.coalesce(crc_remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out")
+    scored = toxicity.score(docs, model, "doc_id")
+    return scored.select("doc_id", held_out, "score", "predicted")
+
+
 def op8_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language_id.predict(docs, F.coalesce(crc_remainder("doc_id", 3) != 1, F.lit(False)))
@@ -67,6 +76,7 @@ QUERIES = {
     "op2_harmonic_packing": op2_harmonic_packing,
     "op3_bit_planes": op3_bit_planes,
     "op5_speculative_bpe": op5_speculative_bpe,
+    "op7_clause_grammar_toxicity": op7_clause_grammar_toxicity,
     "op8_hyperdimensional_language": op8_hyperdimensional_language,
     "op9_reversed_host_sweep": op9_reversed_host_sweep,
 }
