@@ -35,7 +35,7 @@ from vitalshare.llm.common import room, slices, spread
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPACES = "\t\n\x0b\x0c\r \x85\xa0                　"
 
-REMEMBERED = 250_000
+REMEMBERED = 450_000
 LONG_WORD = 40
 SLICE = 4 << 20
 
