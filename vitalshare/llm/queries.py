@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalshare.llm import binary_ids, bpe, language_id, packing, toxicity, url_rules
+from vitalshare.llm import binary_ids, bpe, language_id, packing, topk, toxicity, url_rules, vector_dedup
 from vitalshare.llm.common import crc_remainder, table
 
 
@@ -30,6 +30,15 @@ def op3_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_ids.read_digests(spark, files)
 
 
+def op4_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asks = F.pmod(F.col("vec_id"), F.lit(50)) == 0
+    return topk.top_k(table(spark, sf_dir, "embeddings"), asks, k=5, scale=256)
+
+
+def op6_sorted_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op5_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = tokenizer("byte_bpe_50k.json")
     encoded = bpe.encode(table(spark, sf_dir, "documents"), vocabulary, back=True)
@@ -75,13 +84,31 @@ def op9_reversed_host_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_harmonic_packing": op2_harmonic_packing,
     "op3_bit_planes": op3_bit_planes,
+    "op4_mtree_top_k": op4_mtree_top_k,
     "op5_speculative_bpe": op5_speculative_bpe,
+    "op6_sorted_projections": op6_sorted_projections,
     "op7_clause_grammar_toxicity": op7_clause_grammar_toxicity,
     "op8_hyperdimensional_language": op8_hyperdimensional_language,
     "op9_reversed_host_sweep": op9_reversed_host_sweep,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_mtree_top_k": """
+WITH v AS (
+  SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS x
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    CAST(list_sum([p[1] * p[2] FOR p IN list_zip(q.x, c.x)]) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.x) = len(c.x)
+  WHERE q.vec_id % 50 = 0),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
+  FROM scored)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+""",
     "op9_reversed_host_sweep": """
 WITH rules(rhost, rpath, verdict) AS (VALUES
   ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
