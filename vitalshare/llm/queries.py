@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalshare.llm import binary_ids, bpe, language_id, packing, topk, toxicity, url_rules, vector_dedup
+from vitalshare.llm import binary_ids, bpe, language_id, near_text, packing, topk, toxicity, url_rules, vector_dedup
 from vitalshare.llm.common import crc_remainder, table
 
 
@@ -20,6 +20,11 @@ def tokenizer(name: str) -> str:
     return importlib.import_module("public_tokenizers").path(name)
 
 
+def op1_bagminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_text.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "component_id", "kept")
+
+
 def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -82,6 +87,7 @@ def op9_reversed_host_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_bagminhash_dedup": op1_bagminhash_dedup,
     "op2_harmonic_packing": op2_harmonic_packing,
     "op3_bit_planes": op3_bit_planes,
     "op4_mtree_top_k": op4_mtree_top_k,
