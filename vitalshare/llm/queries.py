@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalshare.llm import binary_ids, bpe, language_id, near_text, packing, topk, toxicity, url_rules, vector_dedup
+from vitalshare.llm import binary_ids, bpe, language_id, language_model, near_text, packing, topk, toxicity, url_rules, vector_dedup
 from vitalshare.llm.common import crc_remainder, table
 
 
@@ -71,6 +71,11 @@ def op8_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", held_out, "lang_pred", "score")
 
 
+def op10_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    remainder = crc_remainder("doc_id", 7)
+    return language_model.score(table(spark, sf_dir, "documents"), remainder != 2, remainder == 2)
+
+
 # The rules of the query.
 URL_RULES = (
     ("com", "/", "allow"),
@@ -96,6 +101,7 @@ QUERIES = {
     "op7_clause_grammar_toxicity": op7_clause_grammar_toxicity,
     "op8_hyperdimensional_language": op8_hyperdimensional_language,
     "op9_reversed_host_sweep": op9_reversed_host_sweep,
+    "op10_backoff_automaton": op10_backoff_automaton,
 }
 
 ORACLE_SQL: dict[str, str] = {
