@@ -176,11 +176,11 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], *keep: str) ->
                 own = batch.slice(start, stop - start).columns[:-1]
                 yield pa.RecordBatch.from_arrays(
                     [*own, pa.array(lang, pa.string()), pa.array(score)],
-                    [*batch.schema.names[:-1], "lang_pred", "score"],
+                    [*keep, "lang_pred", "score"],
                 )
 
-    source = docs.select(*keep, F.col("text").cast("string").alias("text"))
-    schema = source.drop("text").schema.add("lang_pred", "string").add("score", "double")
+    source = docs.select(*keep, F.col("text").cast("string").alias("_text"))
+    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
     return source.mapInArrow(task, schema)
 
 

@@ -273,9 +273,9 @@ def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
                         pa.array(value),
                         pa.array((value >= THRESHOLD).astype(np.int32)),
                     ],
-                    [*batch.schema.names[:-1], "score", "predicted"],
+                    [*keep, "score", "predicted"],
                 )
 
-    source = docs.select(*keep, F.col("text").cast("string").alias("text"))
-    schema = source.drop("text").schema.add("score", "double").add("predicted", "integer")
+    source = docs.select(*keep, F.col("text").cast("string").alias("_text"))
+    schema = docs.select(*keep).schema.add("score", "double").add("predicted", "integer")
     return source.mapInArrow(task, schema)
