@@ -3,8 +3,8 @@
 Each stage reads what the one before kept, as Parquet. The filtering stages keep all columns of
 ``documents`` and drop only rows their operator decides against:
 
-    language    texts without a letter, or unlike every language learned (cosine below
-                ``LEAST_COSINE``), go
+    language    texts without a letter, or unlike every language learned (no cosine above
+                0), go
     toxicity    texts with a score of ``toxicity.THRESHOLD`` or more go
     duplicates  of each class of near-duplicates the row with the smallest doc_id stays
     packing     the ids of all that is left, placed in sequences
@@ -28,7 +28,6 @@ from vitalshare.llm.queries import tokenizer
 from vitalshare.sources.writers import checkpoint_root
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-LEAST_COSINE = 0.05
 
 
 def _training():
@@ -41,7 +40,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = language_id.identify(docs, prototypes, *COLUMNS)
     good = F.col("lang_pred") != "und"
     if prototypes:
-        good = good & (F.col("score") >= LEAST_COSINE)
+        good = good & (F.col("score") > 0)
     return found.where(good).select(COLUMNS)
 
 
