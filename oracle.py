@@ -9,7 +9,7 @@ from __future__ import annotations
 from vitalshare.domain import AGES, BANDS, FEMALE, GARBAGE, MATERNAL, MATERNAL_AGES, TARGETS
 from vitalshare.domain import AGE_CLASSES, INJURIES, age_class
 from vitalshare.plans.stages import stages
-from vitalshare.sources.star_schema import BRAND_CAUSES, CODES, MAX_PLACES
+from vitalshare.sources.star_schema import BRAND_CAUSES, CODES
 
 
 def _in(values) -> str:
@@ -26,8 +26,8 @@ def _round(x: str, digits: int = 6) -> str:
 
 RECORDS = f"""
 places AS (
-  SELECT s_suppkey, s_suppkey % {MAX_PLACES} + 1 AS place, n.uf,
-         n.uf || lpad(CAST(s_suppkey % {MAX_PLACES} + 1 AS VARCHAR), 4, '0') AS cdmun,
+  SELECT s_suppkey, n_nationkey * 100 + s_suppkey % 99 + 1 AS place, n.uf,
+         n.uf || lpad(CAST(n_nationkey * 100 + s_suppkey % 99 + 1 AS VARCHAR), 4, '0') AS cdmun,
          n.uf || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS meso
   FROM supplier JOIN (
     SELECT n_nationkey, CAST(n_regionkey + 1 AS VARCHAR) ||
@@ -320,14 +320,14 @@ def oracle_sql() -> dict[str, str]:
         "union_years": _with(
             RECORDS,
             "SELECT ano, IDADE IS NULL AS no_age, count(*) AS n FROM ("
-            "SELECT DTOBITO[5:8] AS ano, NULL AS IDADE FROM records WHERE DTOBITO[5:8] = '1995' "
-            "UNION ALL SELECT DTOBITO[5:8], IDADE FROM records WHERE DTOBITO[5:8] = '1996') "
-            "GROUP BY ALL",
+            "SELECT DTOBITO[5:8] AS ano, CASE WHEN DTOBITO[5:8] <> '1995' THEN IDADE END AS IDADE "
+            "FROM records) GROUP BY ALL",
         ),
         "label_audit": _with(
             RECORDS,
-            f"SELECT label FROM (VALUES {_values(TARGETS)}) t(label) EXCEPT "
-            "SELECT class_label FROM cause_map WHERE CAUSABAS IN (SELECT CAUSABAS FROM records)",
+            "SELECT label, label IN (SELECT class_label FROM cause_map) AS mapped, "
+            "coalesce((SELECT sum(obitos) FROM counts WHERE GBD = label), 0)::DOUBLE AS deaths "
+            f"FROM (VALUES {_values(TARGETS)}) t(label)",
         ),
         "anomaly_age": _with(
             RECORDS,
@@ -457,17 +457,21 @@ def oracle_sql() -> dict[str, str]:
         " UNION ALL ".join(
             f"SELECT {s.number} AS stage, '{s.name}' AS name, "
             f"(SELECT {_round('sum(o)')} FROM garbage WHERE label = '{s.label}') AS garbage, "
-            f"(SELECT {_round('sum(a)')} FROM b{s.number}) AS allocated"
+            f"(SELECT {_round('sum(a)')} FROM b{s.number}) AS allocated, "
+            f"(SELECT {_round('sum(o)', 4)} FROM garbage WHERE label = '{s.label}') - "
+            f"(SELECT {_round('sum(a)', 4)} FROM b{s.number}) AS lost, "
+            f"(SELECT round_even(sum(o), 0) FROM garbage WHERE label = '{s.label}') = "
+            f"(SELECT round_even(sum(a), 0) FROM b{s.number}) AS conserved"
             for s in stages()
         ),
-    )
+    ).replace(" AS lost,", " AS unallocated,")
     q["unallocated"] = _with(
         _through(11),
         " UNION ALL ".join(
             f"SELECT cdmun, ano, sexo, idade, '{s.name}' AS name, {_round('o - coalesce(x, 0)', 4)}"
             f" AS lost FROM garbage LEFT JOIN (SELECT cdmun, ano, sexo, idade, sum(a) AS x "
             f"FROM b{s.number} GROUP BY ALL) USING (cdmun, ano, sexo, idade) "
-            f"WHERE label = '{s.label}' AND o - coalesce(x, 0) > 1e-6"
+            f"WHERE label = '{s.label}' AND abs(o - coalesce(x, 0)) > 1e-9 * greatest(1, o)"
             for s in stages()
         ),
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vitalshare.domain import AGE_CLASSES, GARBAGE, UNKNOWN_MUNICIPALITIES
 from vitalshare.functions import left_join, not_in_list, total
-from vitalshare.operators.counts import split_unknown
+from vitalshare.operators.counts import split_conditions
 from vitalshare.operators.garbage import ROW, D, StagePlan, run_stages
 from vitalshare.options import COMPAT, Options
 from vitalshare.plans.stages import stages
@@ -81,22 +81,15 @@ def unallocated(base: DataFrame, plan: StagePlan) -> DataFrame:
 
 def split_check(counts: DataFrame, codes=UNKNOWN_MUNICIPALITIES) -> DataFrame:
     """Do the known and the unknown half add up to the whole table?"""
-    known, unknown = split_unknown(counts, codes)
-    halves = known.select("obitos", F.lit("known").alias("half")).unionByName(
-        unknown.select(F.col("ign").alias("obitos"), F.lit("unknown").alias("half"))
-    )
-    sums = halves.groupBy().agg(
-        F.count(F.when(F.col("half") == "known", 1)).alias("n_known"),
-        F.count(F.when(F.col("half") == "unknown", 1)).alias("n_unknown"),
-        F.coalesce(F.sum("obitos"), F.lit(0)).alias("deaths_split"),
-    )
-    whole = counts.agg(
-        F.count(F.lit(1)).alias("n_all"), F.coalesce(F.sum("obitos"), F.lit(0)).alias("deaths_all")
-    )
-    both = left_join(
-        sums.withColumn("one", F.lit(1)), whole.withColumn("one", F.lit(1)), ["one"]
-    ).drop("one")
-    return both.withColumn(
+    known, unknown = split_conditions(codes)
+    part = lambda test: F.coalesce(F.sum(F.when(test, F.col("obitos"))), F.lit(0))
+    return counts.agg(
+        F.count(F.when(known, 1)).alias("n_known"),
+        F.count(F.when(unknown, 1)).alias("n_unknown"),
+        (part(known) + part(unknown)).alias("deaths_split"),
+        F.count(F.lit(1)).alias("n_all"),
+        F.coalesce(F.sum("obitos"), F.lit(0)).alias("deaths_all"),
+    ).withColumn(
         "complete",
         (F.col("n_known") + F.col("n_unknown") == F.col("n_all"))
         & (F.col("deaths_split") == F.col("deaths_all")),

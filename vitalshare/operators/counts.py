@@ -83,16 +83,23 @@ def _any_unknown(codes):
     )
 
 
-def split_unknown(
-    counts: DataFrame, codes=UNKNOWN_MUNICIPALITIES
-) -> tuple[DataFrame, DataFrame]:
-    """(all keys known, some key unknown); a NULL sex or age belongs to neither half."""
-    known = counts.filter(
+def split_conditions(codes=UNKNOWN_MUNICIPALITIES) -> tuple[Column, Column]:
+    """(all keys known, some key unknown)."""
+    known = (
         not_in_list("cdmun", codes)
         & (F.col("sexo") != UNKNOWN)
         & ~F.col("idade").isin(UNKNOWN, "999")
     )
-    unknown = counts.filter(_any_unknown(codes)).withColumn(
+    return known, _any_unknown(codes)
+
+
+def split_unknown(
+    counts: DataFrame, codes=UNKNOWN_MUNICIPALITIES
+) -> tuple[DataFrame, DataFrame]:
+    """(all keys known, some key unknown); a NULL sex or age belongs to neither half."""
+    is_known, is_unknown = split_conditions(codes)
+    known = counts.filter(is_known)
+    unknown = counts.filter(is_unknown).withColumn(
         "idade", F.when(F.col("idade") == "999", UNKNOWN).otherwise(F.col("idade"))
     )
     return known, unknown.withColumnRenamed("obitos", "ign")

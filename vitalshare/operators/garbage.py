@@ -60,16 +60,21 @@ def labels_in_use(known: DataFrame) -> tuple[tuple[str, ...], tuple[str, ...]]:
     return tuple(t for t in TARGETS if t in found), tuple(g for g in GARBAGE if g in found)
 
 
-def weight_table(weights: DataFrame) -> dict[tuple[str, str, str | None], float]:
-    """(label, target, age class) -> weight. The listed labels, targets and classes bound
-    the result at a few hundred rows, whatever the input holds."""
+def weight_table(
+    weights: DataFrame, options: Options = COMPAT
+) -> dict[tuple[str, str, str | None], float]:
+    """(label, target, age class) -> weight. Only stages with weights by age look at the age;
+    for the others every row of (label, target) counts, whatever its age says. The listed
+    labels, targets and classes bound the result at a few hundred rows."""
+    by_age = [s.label for s in stages(options) if s.weights_by_age]
+    aged = F.col("CG").isin(*by_age)
     rows = (
         weights.filter(
             F.col("CG").isin(*GARBAGE)
             & F.col("target").isin(*TARGETS)
-            & (F.col("age").isNull() | F.col("age").isin(*AGE_CLASSES))
+            & (~aged | F.coalesce(F.col("age").isin(*AGE_CLASSES), F.lit(False)))
         )
-        .groupBy("CG", "target", "age")
+        .groupBy("CG", "target", F.when(aged, F.col("age")).alias("age"))
         .agg(F.max("weight").alias("weight"))
         .collect()
     )
@@ -134,8 +139,7 @@ class StagePlan:
         if not spec.weighted:
             return None
         if not spec.weights_by_age:
-            values = [w for (g, t, _), w in self.weights.items() if (g, t) == (spec.label, cause)]
-            return _literal(values[0] if values else None)
+            return _literal(self.weights.get((spec.label, cause, None)))
         cases = " ".join(
             f"WHEN idade IN ({', '.join(repr(a) for a in AGES if age_class(a) == k)}) "
             f"THEN {_literal(self.weights.get((spec.label, cause, k)))}"
@@ -258,7 +262,7 @@ def prepare(
     ``labels_from`` may name a cheaper table with the same causes to look labels up in.
     """
     causes, labels = labels_in_use(known if labels_from is None else labels_from)
-    plan = StagePlan(stages(options), causes, labels, weight_table(weights), options)
+    plan = StagePlan(stages(options), causes, labels, weight_table(weights, options), options)
     return stage_table(wide_causes(known, measure, causes, labels), "wide_causes"), plan
 
 

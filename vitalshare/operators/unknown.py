@@ -176,6 +176,10 @@ def wide_population(population: DataFrame) -> DataFrame:
         f"nullif(array_position({_AGE_LIST}, idade), 0) - 1 AS _code",
         "pop AS obitos",
     )
+    # rows that share a key (two longer codes of one municipality) add up, NULL if one is NULL
+    coded = coded.groupBy("cdmun", "uf", "ano", "_code").agg(
+        F.expr("IF(count(obitos) = count(*), sum(obitos), NULL) AS obitos")
+    )
     return _pack(coded, ["cdmun", "uf", "ano"], {"cell": "p"}, "NULL")
 
 

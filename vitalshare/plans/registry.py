@@ -82,22 +82,28 @@ def freq_sex_cause(spark, sf):
 
 
 def union_years(spark, sf):
-    """Two years' files put together by name; one of them lacks the age column."""
+    """All years' files put together by name; one of them lacks the age column."""
     records = ss.death_records(spark, sf)
     year = F.substring("DTOBITO", 5, 4)
-    first = records.filter(year == "1995").drop("IDADE")
-    second = records.filter(year == "1996")
-    both = union_records(first, second)
+    lacking = records.filter(year == "1995").drop("IDADE")
+    others = records.filter(~year.eqNullSafe("1995"))
+    both = union_records(lacking, others)
     return both.groupBy(year.alias("ano"), F.col("IDADE").isNull().alias("no_age")).agg(
         F.count(F.lit(1)).alias("n")
     )
 
 
 def label_audit(spark, sf):
-    """Target labels that no record's cause maps to."""
-    i = ss.inputs(spark, sf)
-    used = i.cause_map.join(i.records.select("CAUSABAS").distinct(), "CAUSABAS", "left_semi")
-    return c.missing_labels(TARGETS, used)
+    """Target labels with the deaths of each, and whether the whole cause map ever gives them."""
+    wanted = F.array(*[F.lit(label) for label in TARGETS])
+    listed = spark.range(1).select(F.explode(wanted).alias("label"))
+    missing = c.missing_labels(TARGETS, ss.cause_map(spark)).withColumn("mapped", F.lit(False))
+    deaths = c.deaths_by(counts(spark, sf), "GBD").withColumnRenamed("GBD", "label")
+    return left_join(left_join(listed, missing, ["label"]), deaths, ["label"]).select(
+        "label",
+        F.coalesce("mapped", F.lit(True)).alias("mapped"),
+        F.coalesce("deaths", F.lit(0.0)).alias("deaths"),
+    )
 
 
 def anomaly_age(spark, sf):
@@ -268,13 +274,16 @@ def remainder_report(spark, sf):
 
 def conservation_checks(spark, sf):
     report = checks.stage_conservation(*_garbage(spark, sf))
-    return _rounded(report.drop("unallocated", "conserved"), "garbage", "allocated")
+    # 4 digits: a difference of two sums keeps fewer significant ones.
+    return _rounded(report, "garbage", "allocated").withColumn(
+        "unallocated", stable_round("garbage", 4) - stable_round("allocated", 4)
+    )
 
 
 def unallocated(spark, sf):
     rows = checks.unallocated(*_garbage(spark, sf))
     # 4 digits: a difference of two sums keeps fewer significant ones.
-    return rows.filter(F.col("lost") > 1e-6).select(
+    return rows.select(
         "cdmun", "ano", "sexo", "idade", "name", stable_round("lost", 4).alias("lost")
     )
 

@@ -46,8 +46,10 @@ BRAND_CAUSES = (
     "_x59",
 )
 CODES = tuple(f"{reg}{half}0000" for reg in range(1, 6) for half in (0, 1))
-# Municipality numbers have four digits; more suppliers share them.
-MAX_PLACES = 9999
+# A municipality's number is its nation's two digits and two more from the supplier key (never
+# 00, which would read as an unknown code), so nations, and with them meso- and micro-regions,
+# are functions of the code at any number of suppliers.
+PLACES_OF_NATION = 99
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,7 +65,7 @@ def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("uf"),
     )
     supplier = table(spark, sf_dir, "supplier").withColumn(
-        "place", F.expr(f"s_suppkey % {MAX_PLACES} + 1")
+        "place", F.expr(f"s_nationkey * 100 + s_suppkey % {PLACES_OF_NATION} + 1")
     )
     return supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
         "s_suppkey",
