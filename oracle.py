@@ -294,6 +294,16 @@ def _through(last: int) -> str:
     return STEP3_BASE + "".join(_stage_sql(s) for s in stages() if s.number <= last)
 
 
+def _moments(source: str, keys: str, *measures: str, digits: int = 6) -> str:
+    """Group counts, sums and sums of squares over all rows of a query."""
+    columns = ", ".join(
+        f"count({m}) AS {m}_n, count(CASE WHEN abs({m}) > 1e-12 THEN 1 END) AS {m}_nz, "
+        f"{_round(f'sum({m})', digits)} AS {m}, {_round(f'sum({m} * {m})', digits)} AS {m}_sq"
+        for m in measures
+    )
+    return f"SELECT {keys}, count(*) AS n_rows, {columns} FROM ({source}) GROUP BY {keys}"
+
+
 def _with(ctes: str, select: str) -> str:
     return f"WITH {ctes.strip()}\n{select}"
 
@@ -383,15 +393,15 @@ def oracle_sql() -> dict[str, str]:
         ),
     }
     w = "OVER (PARTITION BY cdmun, GBD, ano{})"
-    mu = []
+    mu, measures = [], []
     for suffix, extra in (("_id", ", sexo"), ("_s", ", idade"), ("", "")):
         over = w.format(extra)
-        mu.append(f"{_round(f'sum(d) {over}')} AS mu{suffix}")
-        mu.append(f"{_round(f'd / nullif(sum(d) {over}, 0)')} AS pr_mu{suffix}")
+        mu.append(f"sum(d) {over} AS mu{suffix}")
+        mu.append(f"d / nullif(sum(d) {over}, 0) AS pr_mu{suffix}")
+        measures += [f"mu{suffix}", f"pr_mu{suffix}"]
     q["window_shares_mu"] = _with(
         GRID,
-        f"SELECT * EXCLUDE (d) FROM (SELECT cdmun, ano, GBD, sexo, idade, d, {', '.join(mu)} "
-        "FROM base) WHERE d > 0",
+        _moments(f"SELECT cdmun, ano, GBD, {', '.join(mu)} FROM base", "cdmun, ano, GBD", *measures),
     )
     pops, names = [], []
     for prefix, place in (("pop", "cdmun, uf"), ("pmu", "uf")):
@@ -411,19 +421,24 @@ def oracle_sql() -> dict[str, str]:
         ("uf", "st", "uf"),
     ):
         columns = ", ".join(
-            f"{_round(f't_{s}')} AS ob_{s}, {_round(f'ob / nullif(t_{s}, 0)')} AS pr_{s}"
-            for s in ("id", "s", "id_s")
+            f"t_{s} AS ob_{s}, ob / nullif(t_{s}, 0) AS pr_{s}" for s in ("id", "s", "id_s")
         )
-        parts.append(
-            f"SELECT '{level}' AS level, concat_ws('/', {place}) AS place, ano, GBD, sexo, idade, "
-            f"ob, {columns} FROM {name} WHERE ob > 0"
+        source = (
+            f"SELECT '{level}' AS level, concat_ws('/', {place}) AS place, ano, GBD, ob, {columns} "
+            f"FROM {name}"
         )
+        measures = ["ob"] + [f"{x}_{s}" for x in ("ob", "pr") for s in ("id", "s", "id_s")]
+        parts.append(_moments(source, "level, place, ano, GBD", *measures))
     q["region_shares"] = _with(LEVELS, " UNION ALL ".join(parts))
     for n in range(1, 8):
         q[f"unknown_p{n}"] = _with(
             STEP2,
-            f"SELECT cdmun, ano, GBD, sexo, idade, d AS deaths_in, {_round(f'p{n}')} AS alloc "
-            f"FROM s2 WHERE p{n} > 0",
+            _moments(
+                f"SELECT cdmun, ano, GBD, sexo, d AS deaths_in, p{n} AS alloc FROM s2",
+                "cdmun, ano, GBD, sexo",
+                "deaths_in",
+                "alloc",
+            ),
         )
     q["unknown_total"] = _with(
         STEP2,
@@ -434,17 +449,23 @@ def oracle_sql() -> dict[str, str]:
     for level, place in _PLACES.items():
         parts.append(
             f"SELECT ano, sexo, idade, GBD, '{level}' AS level, count(*) AS n_places, "
-            f"{_round('sum(c / t)')} AS pr, {_round('sum(t)')} AS ob FROM ("
+            f"count(c / nullif(t, 0)) AS n_shares, {_round('sum(c / nullif(t, 0))')} AS pr, {_round('sum(t)')} AS ob FROM ("
             f"SELECT {place}, {_CELL}, GBD, sum(o) AS c, sum(sum(o)) OVER (PARTITION BY {place}, "
             f"{_CELL}) AS t FROM s2 WHERE GBD IN {_in(INJURIES)} GROUP BY {place}, {_CELL}, GBD) "
-            "WHERE t > 0 GROUP BY ano, sexo, idade, GBD"
+            "GROUP BY ano, sexo, idade, GBD"
         )
     q["level_shares"] = _with(STEP2, " UNION ALL ".join(parts))
     for spec in stages():
+        source = (
+            "SELECT cdmun, GBD, din AS deaths_in, a AS alloc, d AS deaths_out "
+            f"FROM b{spec.number} WHERE {_eligible(spec)}"
+        )
+        measures = ("deaths_in", "alloc", "deaths_out")
         q[f"stage_{spec.name}"] = _with(
             _through(spec.number),
-            f"SELECT cdmun, ano, GBD, sexo, idade, {_round('din')} AS deaths_in, "
-            f"{_round('a')} AS alloc, {_round('d')} AS deaths_out FROM b{spec.number} WHERE a > 0",
+            "SELECT * EXCLUDE (n_rows, deaths_in_n, alloc_n, deaths_out_n) FROM ("
+            + _moments(source, "cdmun, GBD", *measures, digits=4)
+            + ")",
         )
     handled = [g for g in GARBAGE if g not in ("_all", "_inj (hom,suic, fall,road)")]
     q["remainder_report"] = _with(
@@ -483,8 +504,7 @@ def oracle_sql() -> dict[str, str]:
     for name, keys in (("final_by_year", "ano"), ("final_by_cause_uf", "uf, GBD")):
         q[name] = _with(
             _through(11),
-            f"SELECT {keys}, {_round('sum(d)')} AS deaths FROM b11 GROUP BY {keys} "
-            "HAVING sum(d) > 0",
+            f"SELECT {keys}, {_round('sum(d)')} AS deaths FROM b11 GROUP BY {keys}",
         )
     q["final_grid"] = _with(
         _through(11),

@@ -53,6 +53,20 @@ def _rounded(df: DataFrame, *measures: str) -> DataFrame:
     return df.withColumns({m: stable_round(m) for m in measures})
 
 
+def _moments(df: DataFrame, keys, *measures: str, digits: int = 6) -> DataFrame:
+    """All rows of a dense table, compared through each group: rows, values that are not NULL,
+    values that are not 0, sum and sum of squares."""
+    x = F.col
+    sums = {m: F.sum(m) for m in measures} | {f"{m}_sq": F.sum(x(m) * x(m)) for m in measures}
+    counted = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        *[F.count(m).alias(f"{m}_n") for m in measures],
+        *[F.count(F.when(F.abs(m) > 1e-12, 1)).alias(f"{m}_nz") for m in measures],
+        *[v.alias(k) for k, v in sums.items()],
+    )
+    return counted.withColumns({k: stable_round(k, digits) for k in sums})
+
+
 # --- step 1 -----------------------------------------------------------------
 def scan_project_records(spark, sf):
     records = c.project_records(ss.death_records(spark, sf))
@@ -157,12 +171,7 @@ def _known_with_population(spark, sf):
 def window_shares_mu(spark, sf):
     shares = sh.cell_shares(known(spark, sf).withColumnRenamed("deaths_in", "obitos"))
     measures = ["mu_id", "pr_mu_id", "mu_s", "pr_mu_s", "mu", "pr_mu"]
-    return _rounded(
-        shares.filter(F.col("obitos") > 0).select(
-            "cdmun", "ano", "GBD", "sexo", "idade", *measures
-        ),
-        *measures,
-    )
+    return _moments(shares, ["cdmun", "ano", "GBD"], *measures)
 
 
 def pop_shares_strict(spark, sf):
@@ -183,30 +192,22 @@ def region_shares(spark, sf):
         cells = sh.region_shares(rows, level)
         place = F.concat_ws("/", *sh.LEVELS[level])
         columns = {f"{x}_{level}_{s}": f"{x}_{s}" for x in ("ob", "pr") for s in ("id", "s", "id_s")}
-        parts.append(
-            cells.filter(F.col(f"ob_{level}") > 0).select(
-                F.lit(level).alias("level"),
-                place.alias("place"),
-                "ano",
-                "GBD",
-                "sexo",
-                "idade",
-                F.col(f"ob_{level}").alias("ob"),
-                *[stable_round(old).alias(new) for old, new in columns.items()],
-            )
+        named = cells.select(
+            F.lit(level).alias("level"),
+            place.alias("place"),
+            "ano",
+            "GBD",
+            F.col(f"ob_{level}").alias("ob"),
+            *[F.col(old).alias(new) for old, new in columns.items()],
         )
+        parts.append(_moments(named, ["level", "place", "ano", "GBD"], "ob", *columns.values()))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def _unknown_pass(number):
     def query(spark, sf):
         rows = pipeline.step2(ss.inputs(spark, sf), counts(spark, sf), passes=(number,))
-        return _rounded(
-            rows.filter(F.col("alloc") > 0).select(
-                "cdmun", "ano", "GBD", "sexo", "idade", "deaths_in", "alloc"
-            ),
-            "alloc",
-        )
+        return _moments(rows, ["cdmun", "ano", "GBD", "sexo"], "deaths_in", "alloc")
 
     return query
 
@@ -228,11 +229,11 @@ def level_shares(spark, sf):
     )
     parts = [
         sh.cause_shares(rows, "deaths_out", level)
-        .filter(F.col(f"ob_{level}") > 0)
         .groupBy("ano", "sexo", "idade", "GBD")
         .agg(
             F.lit(level).alias("level"),
             F.count(F.lit(1)).alias("n_places"),
+            F.count(f"pr_{level}").alias("n_shares"),
             stable_round(F.sum(f"pr_{level}")).alias("pr"),
             stable_round(F.sum(f"ob_{level}")).alias("ob"),
         )
@@ -257,12 +258,8 @@ def _stage(number):
     def query(spark, sf):
         base, plan = _garbage(spark, sf)
         rows = g.run_stage(base, plan, number)
-        measures = ("deaths_in", "alloc", "deaths_out")
-        return _rounded(
-            rows.filter(F.col("alloc") > 0).select(
-                "cdmun", "ano", "GBD", "sexo", "idade", *measures
-            ),
-            *measures,
+        return _moments(rows, ["cdmun", "GBD"], "deaths_in", "alloc", "deaths_out", digits=4).drop(
+            "n_rows", "deaths_in_n", "alloc_n", "deaths_out_n"
         )
 
     return query
@@ -308,7 +305,7 @@ def final_by_cause_uf(spark, sf):
 def _final(spark, sf, *keys):
     result = g.finish(*_garbage(spark, sf))
     sums = c.deaths_by(result, *keys, measure="deaths_out")
-    return _rounded(sums.filter(F.col("deaths") > 0), "deaths")
+    return _rounded(sums, "deaths")
 
 
 def final_grid(spark, sf):
