@@ -3,8 +3,7 @@
 Each stage reads what the one before kept, as Parquet. The filtering stages keep all columns of
 ``documents`` and drop only rows their operator decides against:
 
-    language    texts without a letter, or unlike every language learned (no cosine above
-                0), go
+    language    texts whose language cannot be told, as they have no letter, go
     toxicity    texts with a score of ``toxicity.THRESHOLD`` or more go
     duplicates  of each class of near-duplicates the row with the smallest doc_id stays
     packing     the ids of all that is left, placed in sequences
@@ -38,9 +37,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts whose language cannot be told."""
     prototypes = language_id.learn(docs.where(_training()))
     found = language_id.identify(docs, prototypes, *COLUMNS)
-    good = F.col("lang_pred") != "und"
-    if prototypes:
-        good = good & (F.col("score") > 0)
+    # with no language learned at all, a letter is all there is to ask for
+    good = F.col("lang_pred") != "und" if prototypes else F.col("text").rlike(r"\p{L}")
     return found.where(good).select(COLUMNS)
 
 
