@@ -392,6 +392,17 @@ def oracle_sql() -> dict[str, str]:
             + " GROUP BY ALL",
         ),
     }
+    q["counts_from_files"], q["population_from_files"] = q["death_counts"], q["population_long"]
+    q["key_audit"] = _with(
+        RECORDS,
+        "SELECT 'age_codes' AS \"table\", count(*) + 1 AS n_rows, count(*) AS n_keys, "
+        "1 AS n_repeated FROM age_codes UNION ALL "
+        "SELECT 'places', count(*), count(DISTINCT cdmun), (SELECT count(*) FROM (SELECT cdmun "
+        "FROM places GROUP BY cdmun HAVING count(*) > 1)) FROM places UNION ALL "
+        "SELECT 'geo', count(*), count(*), 0 FROM geo UNION ALL "
+        "SELECT 'population', count(*), count(*), 0 FROM (SELECT DISTINCT cdmun FROM places), "
+        "(SELECT DISTINCT year(l_shipdate) FROM lineitem), (VALUES (0), (1)) s(code)",
+    )
     w = "OVER (PARTITION BY cdmun, GBD, ano{})"
     mu, measures = [], []
     for suffix, extra in (("_id", ", sexo"), ("_s", ", idade"), ("", "")):
@@ -506,6 +517,7 @@ def oracle_sql() -> dict[str, str]:
             _through(11),
             f"SELECT {keys}, {_round('sum(d)')} AS deaths FROM b11 GROUP BY {keys}",
         )
+    q["final_from_saved_steps"] = q["final_by_year"]
     q["final_grid"] = _with(
         _through(11),
         "SELECT m.cdmun, s.sexo, b.GBD, count(*) AS n_cells, count(f.d) AS n_valued, "

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitalshare.functions import left_join, share, strict_total, total
+from vitalshare.functions import left_join, share, total
 
 # Keys of each geographic level, finest first.
 LEVELS = {
@@ -37,17 +37,6 @@ def cell_shares(grid: DataFrame, measure: str = "obitos") -> DataFrame:
     return out
 
 
-def group_share(
-    df: DataFrame, measure: str, keys, total_name: str, share_name: str, strict: bool = False
-) -> DataFrame:
-    """Adds the total of ``measure`` over ``keys`` and the row's share of it.
-
-    ``strict`` makes a total NULL when one of its addends is.
-    """
-    sums = df.groupBy(*keys).agg((strict_total if strict else total)(measure).alias(total_name))
-    return left_join(df, sums, list(keys)).withColumn(share_name, share(measure, total_name))
-
-
 def population_shares(grid: DataFrame) -> DataFrame:
     """The eight strict population shares, within municipalities and within states."""
     out = grid
@@ -58,10 +47,18 @@ def population_shares(grid: DataFrame) -> DataFrame:
             F.count("pop").over(w) == F.count(F.lit(1)).over(w), F.sum("pop").over(w)
         )
         out = out.withColumn(f"pop{suffix}", share("pop", strict))
+    # state totals: one aggregation, coarser ones rolled up from it (44 cells a cause), one join
+    keys = ["ano", "GBD", "uf", "idade", "sexo"]
+    sums = grid.groupBy(*keys).agg(
+        F.sum("pop").alias("_sum"), F.count("pop").alias("_n"), F.count(F.lit(1)).alias("_all")
+    )
     for suffix, kept in missing:
-        out = group_share(
-            out, "pop", ["ano", "GBD", "uf", *kept], "_state", f"pmu{suffix}", strict=True
-        ).drop("_state")
+        w = Window.partitionBy("ano", "GBD", "uf", *kept)
+        strict = F.when(F.sum("_n").over(w) == F.sum("_all").over(w), F.sum("_sum").over(w))
+        sums = sums.withColumn(f"_state{suffix}", strict)
+    out = left_join(out, sums.drop("_sum", "_n", "_all"), keys)
+    for suffix, _ in missing:
+        out = out.withColumn(f"pmu{suffix}", share("pop", f"_state{suffix}")).drop(f"_state{suffix}")
     return out
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import date
 
 from pyspark.sql import DataFrame
 
@@ -12,7 +13,7 @@ from vitalshare.operators import garbage as g
 from vitalshare.operators.population import prepare_population
 from vitalshare.operators.unknown import redistribute_unknown
 from vitalshare.options import COMPAT, Options
-from vitalshare.sources.writers import stage_table
+from vitalshare.sources.writers import read_step, stage_table, write_step
 
 
 @dataclass(frozen=True)
@@ -76,3 +77,31 @@ def stage_base(inputs: Inputs, counts: DataFrame, options: Options = COMPAT):
     placed = step2(inputs, counts, options)
     labels = grid_labels(inputs, counts, options)
     return g.prepare(placed, inputs.weights, options, labels_from=labels)
+
+
+def run_saved(
+    inputs: Inputs,
+    root: str,
+    run_date: str | None = None,
+    tag: str = "run",
+    options: Options = COMPAT,
+    start: int = 1,
+    stop: int = 3,
+) -> DataFrame:
+    """As ``run``, each step saved below ``root`` under its date (today's, if none is given)
+    and tag; ``start`` 2 or 3 goes on from the steps saved before. The last step's table."""
+    day = run_date or date.today().isoformat()
+    steps = {
+        1: lambda _: step1(inputs),
+        2: lambda counts: step2(inputs, counts, options),
+        3: lambda known: step3(inputs, known, options),
+    }
+    now = None
+    for number, step in steps.items():
+        if start <= number <= stop:
+            made = step(now)
+            write_step(made, root, number, day, tag)
+            now = read_step(made.sparkSession, root, number, day, tag, made.schema)
+        elif number == start - 1:
+            now = read_step(inputs.records.sparkSession, root, number, day, tag)
+    return now

@@ -18,7 +18,10 @@ from vitalshare.plans import pipeline
 from vitalshare.plans.passes import PASSES
 from vitalshare.plans.stages import stages
 from vitalshare.sources import star_schema as ss
+from vitalshare.sources.files import key_audit as audit_of
+from vitalshare.sources.files import load_inputs, save_inputs
 from vitalshare.sources.readers import union_records
+from vitalshare.sources.writers import new_folder
 
 # Step 1 and 2 results saved in this session, as later steps load them from storage
 # rather than compute them again. ``forget`` makes the next query start from the records.
@@ -132,6 +135,51 @@ def row_preservation(spark, sf):
     return checks.row_preservation(ss.death_records(spark, sf), death_counts(spark, sf))
 
 
+def _from_files(spark, sf):
+    """The derived inputs written as files and read back through the readers."""
+
+    def build():
+        folder = new_folder(spark)
+        save_inputs(ss.inputs(spark, sf), folder)
+        return load_inputs(spark, folder, ss.CODES)
+
+    return _saved(spark, sf, "files", build)
+
+
+def counts_from_files(spark, sf):
+    i = _from_files(spark, sf)
+    return c.build_counts(i.records, i.age_codes, i.cause_map, i.geo)
+
+
+def population_from_files(spark, sf):
+    return prepare_population(_from_files(spark, sf).population_wide, counts(spark, sf))
+
+
+def final_from_saved_steps(spark, sf):
+    """Totals by year of a run from files that saves its steps, stopped after the second and
+    taken up again from what was saved."""
+    folder, inputs = new_folder(spark), _from_files(spark, sf)
+    pipeline.run_saved(inputs, folder, "2024-01-01", "files", stop=2)
+    result = pipeline.run_saved(inputs, folder, "2024-01-01", "files", start=3)
+    return _rounded(c.deaths_by(result, "ano", measure="deaths_out"), "deaths")
+
+
+def key_audit(spark, sf):
+    """Keys with several rows: age codes (one is repeated), suppliers' municipalities before
+    they are made unique, and the geography and population made from them."""
+    i = ss.inputs(spark, sf)
+    parts = [
+        audit_of("age_codes", i.age_codes, "IDADE"),
+        audit_of("places", ss._places(spark, sf), "cdmun"),
+        audit_of("geo", i.geo, "cdmun"),
+        audit_of("population", i.population_wide, "cdmun7", "ano", "sexo"),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 # --- step 2 -----------------------------------------------------------------
 def unknown_split(spark, sf):
     return c.split_report(death_counts(spark, sf), ss.CODES)
@@ -344,6 +392,9 @@ QUERIES = {
         label_audit,
         anomaly_age,
         row_preservation,
+        counts_from_files,
+        population_from_files,
+        key_audit,
         unknown_split,
         split_check,
         population_long,
@@ -366,6 +417,7 @@ QUERIES |= {
         unallocated,
         weight_audit,
         final_by_year,
+        final_from_saved_steps,
         final_by_cause_uf,
         final_grid,
         corrected_by_year,

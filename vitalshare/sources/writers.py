@@ -48,3 +48,8 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     path = f"{checkpoint_root(df.sparkSession)}/vitalshare/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A folder of its own below the shared one."""
+    return f"{checkpoint_root(spark)}/vitalshare/{uuid.uuid4().hex}"
