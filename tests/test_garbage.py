@@ -197,3 +197,30 @@ def test_conservation_and_remainder(spark):
         d for (_, _, c), d in data.items() if c in ("_all", "_inj (hom,suic, fall,road)")
     )
     assert len(TARGETS) == 52
+
+
+def test_weights_of_stages_without_ages_ignore_the_age(spark):
+    """Any text in the age column, and rows that differ only in it, leave the weight as it is."""
+    falls, road = INJURIES[0], INJURIES[3]
+    place, cell = PLACES[0], ("20", "Feminino")
+    rows = [(*place, "11", "2010", *cell, x, 1.0) for x in (falls, road)]
+    rows.append((*place, "11", "2010", *cell, "_x59", 4.0))
+    others = [t for t in INJURIES + POOLED if t not in (falls, road)]
+    table = [("_x59", falls, "todas", 0.25), ("_x59", road, "<10", 0.75), ("_x59", road, None, 0.75)]
+    table += [("_x59", t, None, 0.0) for t in others]
+    given = spark.createDataFrame(table, "CG string, target string, age string, weight double")
+    base, plan = g.prepare(spark.createDataFrame(rows, SCHEMA), given)
+    stage = next(s.number for s in stages() if s.label == "_x59")
+    got = {r.GBD: r.alloc for r in g.run_stage(base, plan, stage).filter("alloc > 0").collect()}
+    assert got == {falls: 1.0, road: 3.0}
+    assert not checks.unallocated(base, plan).collect()
+
+
+def test_too_much_given_is_reported(spark):
+    place, cell = PLACES[0], ("20", "Feminino")
+    rows = [(*place, "11", "2010", *cell, x, n) for x, n in ((INJURIES[0], 1.0), ("_x59", 4.0))]
+    given = spark.createDataFrame(
+        [("_x59", INJURIES[0], None, 2.0)], "CG string, target string, age string, weight double"
+    )
+    lost = checks.unallocated(*g.prepare(spark.createDataFrame(rows, SCHEMA), given)).collect()
+    assert [(r.name, r.lost) for r in lost] == [("x59", -4.0)]

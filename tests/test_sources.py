@@ -57,3 +57,32 @@ def test_stage_table_is_a_file_scan(spark):
     assert sorted(r.x for r in table.collect()) == [0, 1, 2]
     plan = table._jdf.queryExecution().executedPlan().toString()
     assert "FileScan parquet" in plan and "Range" not in plan
+
+
+def test_geography_is_nested_at_any_scale(spark):
+    """Suppliers of any number: a municipality lies in one meso- and one micro-region."""
+    from pyspark.sql import functions as F
+
+    from vitalshare.sources import star_schema as ss
+
+    suppliers = spark.range(60_000).selectExpr("id AS s_suppkey", "cast(id * 7 % 25 AS int) AS s_nationkey")
+    nations = spark.range(25).selectExpr("cast(id AS int) AS n_nationkey", "cast(id % 5 AS int) AS n_regionkey")
+    places = ss.place_codes(suppliers, nations)
+    nested = places.groupBy("cdmun").agg(F.countDistinct("meso").alias("m"), F.countDistinct("place").alias("p"))
+    assert nested.where("m > 1 or p > 1").count() == 0
+    assert nested.count() <= 25 * ss.PLACES_OF_NATION
+    assert places.where(F.col("cdmun").isin(*ss.CODES)).count() == 0
+
+
+def test_run_saved_resumes(spark, tmp_path):
+    from vitalshare.operators import counts as c
+    from vitalshare.plans import pipeline
+    from vitalshare.sources import star_schema as ss
+
+    inputs = ss.inputs(spark, "/root/testdata/sf0.001")
+    root = str(tmp_path)
+    pipeline.run_saved(inputs, root, tag="t", stop=1)
+    again = pipeline.run_saved(inputs, root, tag="t", start=2, stop=2)
+    want = pipeline.step2(inputs, pipeline.step1(inputs))
+    total = lambda df: round(c.deaths_by(df, measure="deaths_out").first().deaths, 6)
+    assert total(again) == total(want)

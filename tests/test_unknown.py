@@ -125,3 +125,11 @@ def test_causes_seen_only_in_unknown_rows(spark):
     assert run(spark, rows)[0] == {}
     got, _ = run(spark, rows, Options(causes_from_unknown=True))
     assert sum(got.values()) == pytest.approx(2.0)
+
+
+def test_repeated_population_rows_add_up(spark):
+    """Two rows of one key count together; a NULL among them makes the cell NULL."""
+    rows = KNOWN + [("110001", U, M, "other_causes_all", 2)]
+    once = run(spark, rows, people=population(spark, people=20.0))[0]
+    twice = population(spark).unionAll(population(spark))
+    assert run(spark, rows, people=twice)[0] == once

@@ -58,13 +58,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supplier -> state and municipality."""
-    nation = table(spark, sf_dir, "nation").select(
+    return place_codes(table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation"))
+
+
+def place_codes(supplier: DataFrame, nation: DataFrame) -> DataFrame:
+    nation = nation.select(
         "n_nationkey",
         F.expr(
             "concat(cast(n_regionkey + 1 AS STRING), cast((n_nationkey div 5) % 2 AS STRING))"
         ).alias("uf"),
     )
-    supplier = table(spark, sf_dir, "supplier").withColumn(
+    supplier = supplier.withColumn(
         "place", F.expr(f"s_nationkey * 100 + s_suppkey % {PLACES_OF_NATION} + 1")
     )
     return supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
