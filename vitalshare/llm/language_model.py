@@ -40,7 +40,8 @@ from vitalshare.llm.common import slices
 from vitalshare.sources.writers import stage_table
 
 SHARE = 1e-4
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
+AT_ONCE = 250_000
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -86,6 +87,8 @@ def _to_blocks(batches):
                 [x.split()[0] for x in _BLOCK.split(", ")],
             )
             block += 1
+            del texts, lists, coded, names, codes, keep
+            pa.default_memory_pool().release_unused()
 
 
 def _word_counts(batches):
@@ -121,20 +124,28 @@ class States:
         at[at == len(self.grams)] = 0
         return np.where(self.grams[at] == words, at, -1)
 
-    def arcs(self, codes: np.ndarray, sizes: np.ndarray, state: np.ndarray):
-        """For every token of the texts, ends included: (its text, its word's code or -1 for
-        the end, arc number from state to state or -1)."""
-        texts = len(sizes)
-        places = np.arange(len(codes)) + np.repeat(np.arange(texts), sizes)
-        word = np.full(len(codes) + texts, -1, np.int64)
-        word[places] = codes
-        own = np.full(len(word), self.boundary, np.int64)
-        own[places] = state[codes]
-        before = np.empty_like(own)
-        before[1:] = own[:-1]
-        before[:1] = self.boundary
-        arc = np.where((own >= 0) & (before >= 0), before * (self.boundary + 1) + own, -1)
-        return np.repeat(np.arange(texts), sizes + 1), word, before, arc
+    def walk(self, codes: np.ndarray, sizes: np.ndarray, state: np.ndarray):
+        """The texts of a block, about ``AT_ONCE`` words at a time: (first text, number of
+        texts) and for every token, ends included, its text, its word's code or -1 for the end,
+        the state before it, and the number of the arc it takes from there or -1."""
+        ends = np.cumsum(sizes)
+        first = 0
+        while first < len(sizes):
+            done = int(ends[first - 1]) if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, done + AT_ONCE, side="right")))
+            own, n = sizes[first:last], last - first
+            here = codes[done : int(ends[last - 1])]
+            places = np.arange(len(here)) + np.repeat(np.arange(n), own)
+            word = np.full(len(here) + n, -1, np.int64)
+            word[places] = here
+            after = np.full(len(word), self.boundary, np.int64)
+            after[places] = state[here]
+            before = np.empty_like(after)
+            before[1:] = after[:-1]
+            before[0] = self.boundary
+            arc = np.where((after >= 0) & (before >= 0), before * (self.boundary + 1) + after, -1)
+            yield first, n, np.repeat(np.arange(n), own + 1), word, before, arc
+            first = last
 
 
 def _asked_words(states: States):
@@ -150,6 +161,14 @@ def _asked_words(states: States):
     return task
 
 
+def _added(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of counts by sorted key."""
+    keys = np.concatenate([x[0] for x in found]) if found else np.empty(0, np.int64)
+    counts = np.concatenate([x[1] for x in found]) if found else np.empty(0)
+    kinds, kind = np.unique(keys, return_inverse=True)
+    return kinds, np.bincount(kind, counts, len(kinds)).astype(np.int64)
+
+
 def _arc_counts(states: States):
     """The arcs a block needs, with their training counts there."""
 
@@ -158,10 +177,13 @@ def _arc_counts(states: States):
             for block, trained, sizes, codes, words in zip(*(x.to_pylist() for x in batch.columns)):
                 trained, sizes = unpacked(trained, bool), unpacked(sizes, np.int64)
                 state = states.of(unpacked(words, np.int64))
-                text, _, _, arc = states.arcs(unpacked(codes, np.int32), sizes, state)
-                use = arc >= 0
-                arcs, kind = np.unique(arc[use], return_inverse=True)
-                n = np.bincount(kind, trained[text[use]], len(arcs)).astype(np.int64)
+                found = []
+                for first, n, text, _, _, arc in states.walk(unpacked(codes, np.int32), sizes, state):
+                    use = arc >= 0
+                    kinds, kind = np.unique(arc[use], return_inverse=True)
+                    seen = np.bincount(kind, trained[first : first + n][text[use]], len(kinds))
+                    found.append((kinds, seen))
+                arcs, n = _added(found)
                 yield pa.RecordBatch.from_pydict(
                     {
                         "gram": arcs,
@@ -264,41 +286,46 @@ def _traverse(blocks: pd.DataFrame, answers: pd.DataFrame, states: States) -> pd
         sizes, codes = unpacked(row.sizes, np.int64), unpacked(row.codes, np.int32)
         words = unpacked(row.words, np.int64)
         state = states.of(words)
-        text, word, before, arc = states.arcs(codes, sizes, state)
         of_arc = answers["arc"].to_numpy(bool)
         place, n = answers["place"].to_numpy(np.int64), answers["n"].to_numpy(np.int64)
         count = np.append(np.zeros(len(words), np.int64), states.texts)  # the last is the end
         count[place[~of_arc]] = n[~of_arc]
         hot = np.flatnonzero(state >= 0)
         count[hot] = states.counts[state[hot]]
-        c = count[word]
+        arcs = [np.unique(x[-1]) for x in states.walk(codes, sizes, state)]
+        arcs = np.unique(np.concatenate(arcs)) if arcs else np.empty(0, np.int64)
+        arcs = arcs[arcs >= 0]
+        seen = np.zeros(len(arcs), np.int64)
+        seen[place[of_arc]] = n[of_arc]
         d1, d2 = states.discounts
         total, kinds = states.total, states.kinds
-        base = np.log10((c + 1) / (total + kinds + 1))
-        if total:
-            p = np.maximum(c - d1, 0) / total + d1 * kinds / total / (kinds + 1)
-        else:
-            p = np.ones(len(c))
-        use = np.flatnonzero(arc >= 0)
-        _, kind = np.unique(arc[use], return_inverse=True)
-        seen = np.zeros(kind.max() + 1 if len(kind) else 0, np.int64)
-        seen[place[of_arc]] = n[of_arc]
         after = np.append(states.counts, states.texts).astype(np.float64)
-        from_ = np.flatnonzero((before >= 0) & (after[before] > 0))
-        bonus = np.zeros(len(p))
-        bonus[use] = np.maximum(seen[kind] - d2, 0)
-        p[from_] = bonus[from_] / after[before[from_]] + states.fail[before[from_]] * p[from_]
-        texts = len(sizes)
+        known, base, model = [], [], []
+        for _, texts, text, word, before, arc in states.walk(codes, sizes, state):
+            c = count[word]
+            if total:
+                p = np.maximum(c - d1, 0) / total + d1 * kinds / total / (kinds + 1)
+            else:
+                p = np.ones(len(c))
+            bonus = np.zeros(len(p))
+            use = np.flatnonzero(arc >= 0)
+            bonus[use] = np.maximum(seen[np.searchsorted(arcs, arc[use])] - d2, 0)
+            out_of = np.flatnonzero((before >= 0) & (after[before] > 0))
+            history = before[out_of]
+            p[out_of] = bonus[out_of] / after[history] + states.fail[history] * p[out_of]
+            known.append(np.bincount(text, c > 0, texts))
+            base.append(np.bincount(text, np.log10((c + 1) / (total + kinds + 1)), texts))
+            model.append(np.bincount(text, np.log10(p), texts))
         out.append(
             pd.DataFrame(
                 {
                     "doc_id": pd.array(list(row.doc_ids), "Int64"),
                     "held_out": np.array(row.held_out, bool),
                     "n_tokens": sizes + 1,
-                    "n_known": np.bincount(text, c > 0, texts).astype(np.int64),
+                    "n_known": np.concatenate(known).astype(np.int64),
                     "train_tokens": total,
-                    "base_score": np.bincount(text, base, texts),
-                    "score": np.bincount(text, np.log10(p), texts),
+                    "base_score": np.concatenate(base),
+                    "score": np.concatenate(model),
                 }
             )
         )
