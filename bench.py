@@ -17,6 +17,8 @@ from vitalshare.plans import registry  # noqa: E402
 HEADLINES = (
     "death_counts",
     "unknown_total",
+    "pop_shares_strict",
+    "region_shares",
     "stage_injuries",
     "conservation_checks",
     "final_by_year",
