@@ -31,7 +31,7 @@ DIMENSIONS = 1024
 N = 3
 JOINED = 64
 GROUP = 64
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 _letters: dict[int, np.ndarray] = {}
 
@@ -136,7 +136,7 @@ def learn(docs: DataFrame) -> dict[str, np.ndarray]:
                 }
             )
 
-    def added(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def added(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(x, np.float64) for x in rows["vector"])
         return pd.DataFrame({"lang": [key[0]], "vector": [total.tobytes()]})
 
