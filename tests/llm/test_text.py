@@ -232,6 +232,19 @@ def test_scores_match_brute_force(spark, odd_docs, monkeypatch, share):
     assert got == want
 
 
+def test_every_word_is_a_state(spark, odd_docs):
+    """Phrases of rare words (far under 1e-4 of the tokens) are scored by their own arcs."""
+    more = [(100 + i, f"zeta{i // 3} eta{i // 3} theta{i // 3} the end{i // 6} of") for i in range(60)]
+    docs = odd_docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    rows = docs.collect()
+    trained = [x.doc_id is not None and x.doc_id % 7 != 2 for x in rows]
+    want = Counter()
+    for x, y in zip(rows, brute_scores([x.text for x in rows], trained, 0)):
+        want[x.doc_id, *y[:3], round(y[3], 3), round(y[4], 3)] += 1
+    found = language_model.score(docs, F.col("doc_id") % 7 != 2, F.col("doc_id") % 7 == 2).collect()
+    assert Counter((x.doc_id, *x[2:5], round(x.base_score, 3), round(x.score, 3)) for x in found) == want
+
+
 def test_scores_without_training_or_rows(odd_docs, no_docs):
     found = language_model.score(odd_docs, F.lit(False), F.lit(True)).collect()
     assert len(found) == odd_docs.count()

@@ -1,22 +1,23 @@
 """Language-model scoring with a weighted backoff automaton.
 
 The model is a smoothed bigram model over words and one end token. Its automaton has an empty
-state and one state for each frequent word (and for a text's start, the same as its end): a
-state's arcs carry the probabilities of the words seen after it, any other word follows the
-failure arc, whose weight is what discounting freed, into the empty state, whose arcs are the
-unigrams. A word leads into its own state, or the empty one if it has none, so one pass from
+state and one state for each word of the training rows (and for a text's start, the same as its
+end): a state's arcs carry the probabilities of all words seen after it, any other word follows
+the failure arc, whose weight is what discounting freed, into the empty state, whose arcs are
+the unigrams. A word leads into its own state, or the empty one if it has none, so one pass from
 left to right over a text, here over all texts of a block at once, meets the arcs it needs and
 adds up their logarithms.
 
     unigram    p(w)   = max(c(w) - d1, 0) / N + d1 V / N / (V + 1)
     after u    p(w|u) = max(c(u,w) - d2, 0) / c(u) + fail(u) p(w)
 
-Discounts are n1 / (n1 + 2 n2). A word is frequent with at least ``SHARE`` of all training
-tokens, so there are at most 1 / ``SHARE`` states; arcs join frequent words, all of them that
-the corpus has. Words with their counts and arcs stay distributed: texts are read once into
-blocks with a vocabulary of their own, each block asks for its words and arcs by two equi-joins
-(frequent words, the hot keys, are known everywhere and not asked for), and gets the answer
-back by block. Words and arcs are keyed by 64-bit hashes.
+Discounts are n1 / (n1 + 2 n2). Texts are read once into blocks with a vocabulary of their own.
+A block counts its words and its arcs (history, word) and deals them to parts, packed in one row
+a part: a word and the arcs out of it by the word's hash, the arcs out of the words with
+``OFTEN`` of the tokens (at most 1 / ``OFTEN``, known everywhere) by a hash of both words, so
+that no history is hot. A part adds up what all blocks sent and gives each block back its
+words' counts, arcs and times followed, and its arcs' counts. Words and arcs are keyed by 64-bit
+hashes. (``SHARE`` > 0 makes only words with that share of the tokens states; 0 makes all.)
 
 Defined results: texts that are null or empty are the end alone; rows without doc_id are scored
 and teach nothing; repeated rows are scored each; without training rows every probability is 1
@@ -36,12 +37,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitalshare.llm.common import slices
+from vitalshare.llm.common import mix, slices
 from vitalshare.sources.writers import stage_table
 
-SHARE = 1e-4
+SHARE = 0.0
+OFTEN = 1e-4
 BLOCK_BYTES = 12 << 20
 AT_ONCE = 250_000
+PART_TOKENS = 1 << 20
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+BOUNDARY = 0x5851F42D4C957F2D
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -52,9 +57,19 @@ def unpacked(x: bytes, dtype) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), dtype)
 
 
+def packed_counts(x: np.ndarray) -> bytes:
+    """Counts in as few bytes each as they need, after a byte with that number."""
+    dtype = np.min_scalar_type(int(x.max(initial=0)))
+    return bytes([dtype.itemsize]) + packed(x.astype(dtype))
+
+
+def unpacked_counts(x: bytes) -> np.ndarray:
+    return unpacked(x[1:], f"u{x[0]}").astype(np.int64)
+
+
 _BLOCK = (
     "block long, doc_ids array<long>, held_out array<boolean>, trained binary, sizes binary, "
-    "codes binary, words binary, seen binary"
+    "codes binary, words binary, seen binary, tokens long"
 )
 
 
@@ -83,6 +98,7 @@ def _to_blocks(batches):
                     pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())),
                     pa.array([part.column(2).to_pylist()], pa.list_(pa.bool_())),
                     *(pa.array([packed(x)]) for x in (trained, sizes, codes, words, seen)),
+                    pa.array([len(codes) + len(sizes)]),
                 ],
                 [x.split()[0] for x in _BLOCK.split(", ")],
             )
@@ -101,34 +117,40 @@ def _word_counts(batches):
 
 @dataclass
 class States:
-    """What every task knows: the frequent words (sorted hashes) and their counts; the boundary
-    (start and end of a text) is the state after the last word."""
+    """What every task knows: the frequent words (sorted hashes), their counts and failure
+    weights, then the boundary's (start and end of a text); totals and discounts; only for a
+    ``SHARE``, the words that are states. In a block the boundary comes after the last word."""
 
-    grams: np.ndarray
+    often: np.ndarray
     counts: np.ndarray
+    only: np.ndarray | None
     total: int
     kinds: int
-    texts: int
+    parts: int
     discounts: tuple[float, float] = (0.5, 0.5)
     fail: np.ndarray | None = None
 
-    @property
-    def boundary(self) -> int:
-        return len(self.grams)
-
     def of(self, words: np.ndarray) -> np.ndarray:
-        """State of each word, -1 for none."""
-        if not len(self.grams):
-            return np.full(len(words), -1)
-        at = np.searchsorted(self.grams, words)
-        at[at == len(self.grams)] = 0
-        return np.where(self.grams[at] == words, at, -1)
-
-    def walk(self, codes: np.ndarray, sizes: np.ndarray, state: np.ndarray):
+        """Number of each word among the frequent ones, -1 for none; then the boundary's."""
+        if not len(self.often):
+            return np.append(np.full(len(words), -1), 0)
+        at = np.searchsorted(self.often, words)
+        at[at == len(self.often)] = 0
+        return np.append(np.where(self.often[at] == words, at, -1), len(self.often))
+
+    def may(self, words: np.ndarray) -> np.ndarray:
+        """Whether each word, and the boundary after them, is a state if it was seen."""
+        some = np.ones(len(words) + 1, bool)
+        if self.only is not None:
+            some[:-1] = np.isin(words, self.only)
+        return some
+
+    def walk(self, codes: np.ndarray, sizes: np.ndarray, may: np.ndarray):
         """The texts of a block, about ``AT_ONCE`` words at a time: (first text, number of
-        texts) and for every token, ends included, its text, its word's code or -1 for the end,
-        the state before it, and the number of the arc it takes from there or -1."""
+        texts) and for every token, ends included, its text, its word's code (the last for the
+        end), the code before it, and the number of the arc between them or -1."""
         ends = np.cumsum(sizes)
+        boundary = len(may) - 1
         first = 0
         while first < len(sizes):
             done = int(ends[first - 1]) if first else 0
@@ -136,29 +158,35 @@ class States:
             own, n = sizes[first:last], last - first
             here = codes[done : int(ends[last - 1])]
             places = np.arange(len(here)) + np.repeat(np.arange(n), own)
-            word = np.full(len(here) + n, -1, np.int64)
+            word = np.full(len(here) + n, boundary, np.int64)
             word[places] = here
-            after = np.full(len(word), self.boundary, np.int64)
-            after[places] = state[here]
-            before = np.empty_like(after)
-            before[1:] = after[:-1]
-            before[0] = self.boundary
-            arc = np.where((after >= 0) & (before >= 0), before * (self.boundary + 1) + after, -1)
+            before = np.empty_like(word)
+            before[1:] = word[:-1]
+            before[0] = boundary
+            arc = np.where(may[word] & may[before], before * len(may) + word, -1)
             yield first, n, np.repeat(np.arange(n), own + 1), word, before, arc
             first = last
 
-
-def _asked_words(states: States):
-    def task(batches):
-        for batch in batches:
-            for block, words in zip(*(x.to_pylist() for x in batch.columns)):
-                words = unpacked(words, np.int64)
-                place = np.flatnonzero(states.of(words) < 0)
-                yield pa.RecordBatch.from_pydict(
-                    {"gram": words[place], "block": np.full(len(place), block), "place": place.astype(np.int32)}
-                )
-
-    return task
+    def dealt(self, arcs: np.ndarray, words: np.ndarray):
+        """(keys, own, word order, word edges, arc order, arc edges) of a block: part i has the
+        words word_order[word_edges[i] : word_edges[i + 1]], likewise arcs; ``own`` is an arc's
+        history by its place in the part's words, or -1 - its number among the frequent ones."""
+        names = np.append(words, BOUNDARY).view(np.uint64)
+        often = self.of(words)
+        parts = np.uint64(self.parts)
+        home = (mix(names) % parts).astype(np.int64)
+        before, word = np.divmod(arcs, len(names))
+        keys = mix(mix(names[before]) * GOLDEN + names[word])
+        part = np.where(often[before] >= 0, (keys % parts).astype(np.int64), home[before])
+        every = np.arange(self.parts + 1)
+        asked = np.flatnonzero(often < 0)
+        word_order = asked[np.argsort(home[asked], kind="stable")]
+        word_edges = np.searchsorted(home[word_order], every)
+        arc_order = np.argsort(part, kind="stable")
+        arc_edges = np.searchsorted(part[arc_order], every)
+        own = -1 - often
+        own[word_order] = np.arange(len(word_order)) - word_edges[home[word_order]]
+        return keys, own[before].astype(np.int32), word_order, word_edges, arc_order, arc_edges
 
 
 def _added(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -169,33 +197,88 @@ def _added(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return kinds, np.bincount(kind, counts, len(kinds)).astype(np.int64)
 
 
+_ASKED = "part long, block long, words binary, seen binary, keys binary, own binary, n binary"
+_COUNTED = (
+    "part long, block long, counts binary, arcs binary, kept binary, n binary, "
+    "often binary, often_arcs binary, often_kept binary, n1 long, n2 long"
+)
+
+
 def _arc_counts(states: States):
-    """The arcs a block needs, with their training counts there."""
+    """The words and arcs a block needs, with their training counts there, one row a part."""
 
     def task(batches):
         for batch in batches:
-            for block, trained, sizes, codes, words in zip(*(x.to_pylist() for x in batch.columns)):
+            for block, trained, sizes, codes, words, seen in zip(*(x.to_pylist() for x in batch.columns)):
                 trained, sizes = unpacked(trained, bool), unpacked(sizes, np.int64)
-                state = states.of(unpacked(words, np.int64))
+                words, known = unpacked(words, np.int64), unpacked(seen, np.int64)
                 found = []
-                for first, n, text, _, _, arc in states.walk(unpacked(codes, np.int32), sizes, state):
+                for first, n, text, _, _, arc in states.walk(unpacked(codes, np.int32), sizes, states.may(words)):
                     use = arc >= 0
                     kinds, kind = np.unique(arc[use], return_inverse=True)
                     seen = np.bincount(kind, trained[first : first + n][text[use]], len(kinds))
                     found.append((kinds, seen))
                 arcs, n = _added(found)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "gram": arcs,
-                        "block": np.full(len(arcs), block),
-                        "place": np.arange(len(arcs), dtype=np.int32),
-                        "n": n,
-                    }
-                )
+                keys, own, word_order, word_edges, arc_order, arc_edges = states.dealt(arcs, words)
+                rows = []
+                for i in np.flatnonzero(np.diff(word_edges) + np.diff(arc_edges)).tolist():
+                    of_word = word_order[word_edges[i] : word_edges[i + 1]]
+                    of_arc = arc_order[arc_edges[i] : arc_edges[i + 1]]
+                    steps = np.diff(own[of_arc], prepend=np.int32(0))
+                    rows.append(
+                        (i, block, packed(words[of_word]), packed_counts(known[of_word]))
+                        + (packed(keys[of_arc]), packed(steps), packed_counts(n[of_arc]))
+                    )
+                names, kinds = zip(*(x.split() for x in _ASKED.split(", ")))
+                kinds = [pa.int64() if x == "long" else pa.binary() for x in kinds]
+                columns = zip(*rows) if rows else [[]] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(columns, kinds)], names)
 
     return task
 
 
+def _count_part(rows: pd.DataFrame, often: int) -> pd.DataFrame:
+    """For each block its words' counts, numbers of arcs and of times followed by one, and its
+    arcs' counts; with the first block the same of the ``often`` frequent histories, and how
+    many arcs were seen once and twice."""
+    joined = lambda of, name: np.concatenate([of(x) for x in rows[name]])
+    words = [unpacked(x, np.int64) for x in rows["words"]]
+    keys = [unpacked(x, np.uint64) for x in rows["keys"]]
+    word_edges, arc_edges = (np.cumsum([0] + [len(x) for x in y]) for y in (words, keys))
+    names, word = np.unique(np.concatenate(words), return_inverse=True)
+    count = np.bincount(word, joined(unpacked_counts, "seen"), len(names)).astype(np.int64)
+    kinds, first, kind = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    n = np.bincount(kind, joined(unpacked_counts, "n"), len(kinds)).astype(np.int64)
+    own = [np.cumsum(unpacked(x, np.int32), dtype=np.int64) for x in rows["own"]]
+    own = np.concatenate([np.where(x >= 0, x + at, x) for x, at in zip(own, word_edges)])[first]
+    cold = own >= 0
+    own[cold] = word[own[cold]]
+    own[~cold] = len(names) - 1 - own[~cold]
+    some = n > 0
+    arcs = np.bincount(own[some], minlength=len(names) + often)
+    kept = np.bincount(own[some], n[some], len(names) + often).astype(np.int64)
+    out = rows[["part", "block"]].reset_index(drop=True)
+    for name, x, of, edges in (
+        ("counts", count, word, word_edges),
+        ("arcs", arcs, word, word_edges),
+        ("kept", kept, word, word_edges),
+        ("n", n, kind, arc_edges),
+    ):
+        out[name] = [packed_counts(x[of[a:b]]) for a, b in zip(edges[:-1], edges[1:])]
+    hot = np.flatnonzero(arcs[len(names) :])
+    for name, x in (("often", hot), ("often_arcs", arcs[len(names) + hot]), ("often_kept", kept[len(names) + hot])):
+        out[name] = [packed_counts(x)] + [None] * (len(out) - 1)
+    for name, x in (("n1", 1), ("n2", 2)):
+        out[name] = [int((n == x).sum())] + [0] * (len(out) - 1)
+    return out
+
+
+def _histories(batches):
+    for batch in batches:
+        for row in zip(*(x.to_pylist() for x in batch.columns)):
+            yield pa.RecordBatch.from_pydict(dict(zip(("often", "arcs", "kept"), (unpacked_counts(x) for x in row))))
+
+
 def _discount(n1: int, n2: int) -> float:
     return n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
 
@@ -227,38 +310,29 @@ def score(docs: DataFrame, training: Column, held_out: Column) -> DataFrame:
     )
     seen = _ones_and_twos(words)
     total, kinds = int(seen.total) + texts, seen.kinds + (texts > 0)
-    # at most 1 / SHARE rows can hold SHARE of the total
-    frequent = sorted(words.where(F.col("n") >= max(SHARE * total, 1)).collect()) if total else []
+    # at most 1 / share rows can hold that share of the total
+    above = lambda share: sorted(words.where(F.col("n") >= max(share * total, 1)).collect()) if total else []
+    often = above(OFTEN)
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tokens = blocks.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n")).first().n
     states = States(
-        np.array([x.gram for x in frequent], np.int64),
-        np.array([x.n for x in frequent], np.int64),
+        np.array([x.gram for x in often], np.int64),
+        np.array([x.n for x in often] + [texts], np.int64),
+        np.array([x.gram for x in above(SHARE)], np.int64) if SHARE else None,
         total,
         kinds,
-        texts,
-    )
-    asked_arcs = stage_table(
-        blocks.select("block", "trained", "sizes", "codes", "words").mapInArrow(
-            _arc_counts(states), "gram long, block long, place int, n long"
-        ),
-        "asked_arcs",
-    )
-    arcs = stage_table(
-        asked_arcs.where("n > 0").groupBy("gram").agg(F.sum("n").alias("n")), "arcs"
+        max(4 * partitions, tokens // PART_TOKENS),
     )
-    states.discounts = (_discount(seen.n1, seen.n2), _discount(*_ones_and_twos(arcs)[2:]))
-    states.fail = _failure_weights(arcs, states)
-    asked_words = blocks.select("block", "words").mapInArrow(
-        _asked_words(states), "gram long, block long, place int"
-    )
-    answers = (
-        asked_words.join(words, "gram")
-        .select("block", "place", "n", F.lit(False).alias("arc"))
-        .unionByName(
-            asked_arcs.drop("n").join(arcs, "gram").select("block", "place", "n", F.lit(True).alias("arc"))
-        )
+    asked = blocks.drop("doc_ids", "held_out", "tokens").mapInArrow(_arc_counts(states), _ASKED)
+    counted = stage_table(
+        asked.groupBy("part").applyInPandas(lambda x: _count_part(x, len(often) + 1), _COUNTED), "arcs"
     )
+    ones = counted.agg(F.coalesce(F.sum("n1"), F.lit(0)), F.coalesce(F.sum("n2"), F.lit(0))).first()
+    states.discounts = (_discount(seen.n1, seen.n2), _discount(*ones))
+    states.fail = _failure_weights(counted, states)
+    answers = counted.select("block", "part", "counts", "arcs", "kept", "n")
     return (
-        blocks.drop("seen")
+        blocks.drop("seen", "tokens")
         .groupBy("block")
         .cogroup(answers.groupBy("block"))
         .applyInPandas(
@@ -269,14 +343,22 @@ def score(docs: DataFrame, training: Column, held_out: Column) -> DataFrame:
     )
 
 
-def _failure_weights(arcs: DataFrame, states: States) -> np.ndarray:
-    """What each state passes on to the empty one; one row a state comes to the driver."""
-    count = np.append(states.counts, states.texts).astype(np.float64)
-    kept, kinds = np.zeros(len(count)), np.zeros(len(count))
-    own = F.floor(F.col("gram") / (states.boundary + 1)).alias("state")
-    for x in arcs.groupBy(own).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect():
-        kept[x.state], kinds[x.state] = x.n, x.kinds
-    return np.where(count > 0, (states.discounts[1] * kinds + count - kept) / np.maximum(count, 1), 1.0)
+def _failing(arcs: np.ndarray, kept: np.ndarray, count: np.ndarray, states: States) -> np.ndarray:
+    """What states with so many arcs, taken so many times, pass on to the empty one."""
+    return np.where(count > 0, (states.discounts[1] * arcs + count - kept) / np.maximum(count, 1), 1.0)
+
+
+def _failure_weights(counted: DataFrame, states: States) -> np.ndarray:
+    """Those of the frequent words and the boundary; one row each comes to the driver."""
+    kept, arcs = np.zeros(len(states.counts)), np.zeros(len(states.counts))
+    each = (
+        counted.where("often is not null")
+        .select("often", "often_arcs", "often_kept")
+        .mapInArrow(_histories, "often long, arcs long, kept long")
+    )
+    for x in each.groupBy("often").agg(F.sum("arcs").alias("arcs"), F.sum("kept").alias("kept")).collect():
+        kept[x.often], arcs[x.often] = x.kept, x.arcs
+    return _failing(arcs, kept, states.counts, states)
 
 
 def _traverse(blocks: pd.DataFrame, answers: pd.DataFrame, states: States) -> pd.DataFrame:
@@ -285,23 +367,24 @@ def _traverse(blocks: pd.DataFrame, answers: pd.DataFrame, states: States) -> pd
     for row in blocks.itertuples():
         sizes, codes = unpacked(row.sizes, np.int64), unpacked(row.codes, np.int32)
         words = unpacked(row.words, np.int64)
-        state = states.of(words)
-        of_arc = answers["arc"].to_numpy(bool)
-        place, n = answers["place"].to_numpy(np.int64), answers["n"].to_numpy(np.int64)
-        count = np.append(np.zeros(len(words), np.int64), states.texts)  # the last is the end
-        count[place[~of_arc]] = n[~of_arc]
-        hot = np.flatnonzero(state >= 0)
-        count[hot] = states.counts[state[hot]]
-        arcs = [np.unique(x[-1]) for x in states.walk(codes, sizes, state)]
+        may = states.may(words)
+        often = states.of(words)
+        count, fail = states.counts[often], states.fail[often]
+        arcs = [np.unique(x[-1]) for x in states.walk(codes, sizes, may)]
         arcs = np.unique(np.concatenate(arcs)) if arcs else np.empty(0, np.int64)
         arcs = arcs[arcs >= 0]
         seen = np.zeros(len(arcs), np.int64)
-        seen[place[of_arc]] = n[of_arc]
+        _, _, word_order, word_edges, arc_order, arc_edges = states.dealt(arcs, words)
+        for x in answers.itertuples():
+            of_word = word_order[word_edges[x.part] : word_edges[x.part + 1]]
+            count[of_word] = unpacked_counts(x.counts)
+            fail[of_word] = _failing(unpacked_counts(x.arcs), unpacked_counts(x.kept), count[of_word], states)
+            seen[arc_order[arc_edges[x.part] : arc_edges[x.part + 1]]] = unpacked_counts(x.n)
         d1, d2 = states.discounts
         total, kinds = states.total, states.kinds
-        after = np.append(states.counts, states.texts).astype(np.float64)
+        is_state = may & (count > 0)
         known, base, model = [], [], []
-        for _, texts, text, word, before, arc in states.walk(codes, sizes, state):
+        for _, texts, text, word, before, arc in states.walk(codes, sizes, may):
             c = count[word]
             if total:
                 p = np.maximum(c - d1, 0) / total + d1 * kinds / total / (kinds + 1)
@@ -310,9 +393,9 @@ def _traverse(blocks: pd.DataFrame, answers: pd.DataFrame, states: States) -> pd
             bonus = np.zeros(len(p))
             use = np.flatnonzero(arc >= 0)
             bonus[use] = np.maximum(seen[np.searchsorted(arcs, arc[use])] - d2, 0)
-            out_of = np.flatnonzero((before >= 0) & (after[before] > 0))
+            out_of = np.flatnonzero(is_state[before])
             history = before[out_of]
-            p[out_of] = bonus[out_of] / after[history] + states.fail[history] * p[out_of]
+            p[out_of] = bonus[out_of] / count[history] + fail[history] * p[out_of]
             known.append(np.bincount(text, c > 0, texts))
             base.append(np.bincount(text, np.log10((c + 1) / (total + kinds + 1)), texts))
             model.append(np.bincount(text, np.log10(p), texts))
