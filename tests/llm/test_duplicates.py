@@ -181,6 +181,21 @@ def test_vector_links_match_brute_force(spark, window):
     assert vector_dedup.near_duplicates(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("noise", [1e-4, 0.02])
+def test_dense_groups_longer_than_the_window(spark, noise):
+    """Near copies, many times the window, that share all or most signs."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal(16) + noise * rng.standard_normal((200, 16))
+    x = np.concatenate([x, rng.standard_normal((40, 16)), x[:3]])
+    table = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    found = {r.vec_id: r for r in vector_dedup.near_duplicates(table, 0.98, window=16).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    close = (unit @ unit.T >= 0.98) & ~np.eye(len(x), dtype=bool)
+    assert [found[i].n_links for i in range(len(x))] == close.sum(axis=1).tolist()
+    pairs = list(zip(*(y.tolist() for y in np.nonzero(close))))
+    assert [found[i].component_id for i in range(len(x))] == roots_of(len(x), pairs)
+
+
 def test_copies_link_with_each_other(spark):
     rows = [(i, [1.0, 2.0], 1) for i in range(50)] + [(7, [1.0, 2.0], 1)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
