@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalshare.llm import binary_ids, bpe, language_id, language_model, near_text, packing, topk, toxicity, url_rules, vector_dedup
+from vitalshare.llm import binary_ids, bpe, language_id, language_model, near_text, packing, ranked_search, topk, toxicity, url_rules, vector_dedup, word_runs
 from vitalshare.llm.common import crc_remainder, table
 
 
@@ -76,6 +76,15 @@ def op10_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(table(spark, sf_dir, "documents"), remainder != 2, remainder == 2)
 
 
+def op12_repair_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_runs.digests(table(spark, sf_dir, "documents"), alter=True)
+
+
+def op13_best_position_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return ranked_search.rank(docs, items, k=10)
+
+
 # The rules of the query.
 URL_RULES = (
     ("com", "/", "allow"),
@@ -102,6 +111,8 @@ QUERIES = {
     "op8_hyperdimensional_language": op8_hyperdimensional_language,
     "op9_reversed_host_sweep": op9_reversed_host_sweep,
     "op10_backoff_automaton": op10_backoff_automaton,
+    "op12_repair_runs": op12_repair_runs,
+    "op13_best_position_search": op13_best_position_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -143,5 +154,30 @@ fits AS (
   FROM parts p LEFT JOIN rules r
     ON (p.host = r.rhost OR ends_with(p.host, '.' || r.rhost)) AND starts_with(p.path, r.rpath))
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits WHERE place = 1
+""",
+    "op13_best_position_search": r"""
+WITH words AS MATERIALIZED (
+  SELECT doc_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+postings AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+lengths AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM postings GROUP BY doc_id),
+corpus AS (SELECT count(*) AS nd, sum(n)::BIGINT AS nt FROM lengths),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * (SELECT nd FROM corpus) + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM postings GROUP BY term),
+norms AS (SELECT doc_id, 25 + (75 * n * nd) // nt AS m FROM lengths, corpus),
+asked AS (
+  SELECT item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+scored AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN postings USING (term) JOIN norms USING (doc_id)
+  GROUP BY item_id, doc_id),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place
+  FROM scored WHERE score > 0)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM ranked WHERE place <= 10
 """,
 }
