@@ -8,7 +8,9 @@ import duckdb
 sys.path.insert(0, __file__.rsplit("/", 2)[0])
 import __spark_entry__ as e  # noqa: E402
 
-TABLES = "region nation customer supplier part orders lineitem".split()
+TABLES = (
+    "region nation customer supplier part orders lineitem documents embeddings pages benchmark"
+).split()
 
 
 def normal(df):
