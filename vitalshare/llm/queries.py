@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalshare.llm import binary_ids, bpe, language_id, language_model, near_text, packing, ranked_search, topk, toxicity, url_rules, vector_dedup, word_runs
+from vitalshare.llm import binary_ids, bpe, language_id, language_model, near_text, packing, ranked_search, repeats, topk, toxicity, url_rules, vector_dedup, word_runs
 from vitalshare.llm.common import crc_remainder, table
 
 
@@ -76,6 +76,10 @@ def op10_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(table(spark, sf_dir, "documents"), remainder != 2, remainder == 2)
 
 
+def op11_prefix_doubling_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove(table(spark, sf_dir, "documents"), length=400)
+
+
 def op12_repair_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_runs.digests(table(spark, sf_dir, "documents"), alter=True)
 
@@ -111,6 +115,7 @@ QUERIES = {
     "op8_hyperdimensional_language": op8_hyperdimensional_language,
     "op9_reversed_host_sweep": op9_reversed_host_sweep,
     "op10_backoff_automaton": op10_backoff_automaton,
+    "op11_prefix_doubling_dedup": op11_prefix_doubling_dedup,
     "op12_repair_runs": op12_repair_runs,
     "op13_best_position_search": op13_best_position_search,
 }
