@@ -1,5 +1,6 @@
 """Language, toxicity, URL rules, language model."""
 
+import itertools
 import math
 import random
 from collections import Counter
@@ -57,16 +58,18 @@ def test_prototype_is_the_sum_of_its_documents(spark):
     assert np.array_equal(language_id.learn(docs)["a"], want)
 
 
-def words_of(model, text):
-    return [toxicity.symbol(w, model) for w in text.split()]
+def labelled(model, text):
+    """Labels that attacks of one clause get."""
+    found = [toxicity.symbol(w, model) for w in text.split()]
+    kinds, weights = np.array([x[0] for x in found]), np.array([x[1] for x in found])
+    out = toxicity.GRAMMAR.run(kinds, weights, np.array([0]), np.array([len(found)]))
+    return np.flatnonzero(out[0]).tolist()
 
 
 def test_grammar_labels_attacks_by_their_clause():
     model = toxicity.Model()
-    out = np.zeros(toxicity.LABELS)
-    toxicity.traverse(words_of(model, "stupid idea"), out)
-    assert np.flatnonzero(out).tolist() == [0]
     for text, label in (
+        ("stupid idea", 0),
         ("you stupid thing", 1),
         ("not stupid", 2),
         ("you are not stupid", 3),
@@ -74,9 +77,59 @@ def test_grammar_labels_attacks_by_their_clause():
         ("i will kill you", 9),
         ("no one there ever said kill", 12),
     ):
-        out = np.zeros(toxicity.LABELS)
-        toxicity.traverse(words_of(model, text), out)
-        assert np.flatnonzero(out).tolist() == [label], text
+        assert labelled(model, text) == [label], text
+
+
+def accepted_paths(kinds, weights):
+    """Weights by label over every combination of paths through the five machines."""
+    machines = toxicity.machines()
+    for starts in itertools.product(*(m.starts for m in machines)):
+        states, out = list(starts), np.zeros(toxicity.LABELS)
+        for kind, weight in zip(kinds, weights):
+            arcs = [m.arcs.get((s, kind)) for m, s in zip(machines, states)]
+            if None in arcs:
+                break
+            states = [state for state, _ in arcs]
+            insult, threat, aimed, denied, reported = (mark for _, (mark,) in arcs)
+            if insult or threat:
+                out[8 * threat + 4 * reported + 2 * denied + aimed] += weight
+        else:
+            if all(s in m.finals for m, s in zip(machines, states)):
+                yield out
+
+
+def test_product_runs_as_the_machines_do():
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(1, 14, 300)
+    kinds = rng.choice(toxicity.SYMBOLS, sizes.sum(), p=[0.4, 0.1, 0.15, 0.1, 0.15, 0.1])
+    weights = rng.integers(1, 9, len(kinds)).astype(float)
+    stop = np.cumsum(sizes)
+    got = toxicity.GRAMMAR.run(kinds, weights, stop - sizes, stop)
+    for clause, a, b in zip(got, stop - sizes, stop):
+        paths = list(accepted_paths(kinds[a:b], weights[a:b]))
+        assert len(paths) == 1 and np.array_equal(clause, paths[0])
+
+
+def test_threats_and_rare_attacks_are_learned_copies_are_not(spark):
+    rng = random.Random(8)
+    docs, labels = [], []
+    for i in range(8000):
+        words = invented("xx", i, 12).split()
+        toxic = i % 10 == 0
+        if toxic:
+            at = rng.randrange(12)
+            words[at:at] = ["zerquetsche", "dich"] if i % 20 else ["du", "dummkopf"]
+            if i % 1300 == 0:  # 7 of 800 toxic texts
+                words.insert(rng.randrange(12), "selten" + rng.choice(["", "es"]))
+        docs.append(Row(doc_id=i, text=" ".join(words)))
+        labels.append(Row(doc_id=i, toxic=int(toxic)))
+    copied = "copied words " + invented("yy", 1, 20)
+    docs += [Row(doc_id=5000 + i, text=f"{copied} {i}") for i in range(20)]
+    labels += [Row(doc_id=5000 + i, toxic=1) for i in range(20)]
+    model = toxicity.learn(spark.createDataFrame(docs), spark.createDataFrame(labels), F.lit(True))
+    assert "zerquetsche" in model.threats and "dummkopf" in model.insults
+    assert "selten*" in model.insults or "selten" in model.insults
+    assert "copied" not in model.insults and "copied" not in model.threats
 
 
 def test_clauses_end_at_marks_and_lines():
