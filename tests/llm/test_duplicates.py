@@ -1,6 +1,7 @@
 """Near-duplicates, components, vectors, exact search and the pipeline, by brute force."""
 
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -262,3 +263,32 @@ def test_pipeline_stages(spark, odd_docs, word_bpe, tmp_path):
     whole = corpus_pipeline.run(spark, str(tmp_path)).groupBy("doc_id").sum("length").collect()
     ours = docs.groupBy("doc_id").sum("length").collect()
     assert sorted(whole, key=str) == sorted(ours, key=str)
+
+
+def test_many_long_texts_of_one_bucket(spark, monkeypatch):
+    """300 texts of 20,000 words, alike but for one word in nine or in a thousand: the blocks
+    hold few texts each, and the result is whole."""
+    rng = np.random.default_rng(12)
+    words = np.array([f"w{i}" for i in range(5000)])
+    base = rng.integers(0, 5000, 20_000)
+    rows = []
+    for i in range(300):
+        own = base.copy()
+        at = rng.random(20_000) < (1 / 1000 if i % 2 else 1 / 9)
+        own[at] = rng.integers(0, 5000, at.sum())
+        rows.append(Row(doc_id=i, text=" ".join(words[own])))
+    docs = spark.createDataFrame(rows).repartition(4)
+    found = {r.doc_id: r.component_id for r in near_text.near_duplicates(docs).collect()}
+    assert {found[i] for i in range(1, 300, 2)} == {1}
+    assert all(found[i] == i for i in range(0, 300, 2))
+
+
+def test_memory_of_a_block_follows_its_bytes():
+    text = " ".join(f"w{i}" for i in range(20_000))
+    batch = pa.RecordBatch.from_pydict({"a": [1] * 60, "b": [2] * 60, "left": [text] * 60, "right": [text + " x"] * 60})
+    tracemalloc.start()
+    got = [x for part in near_text._verified([batch]) for x in part.column(2).to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 60 and min(got) > 0.99
+    assert peak < 100 << 20

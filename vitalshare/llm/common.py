@@ -23,6 +23,11 @@ def crc_remainder(column: str, modulus: int) -> Column:
 def slices(texts: pa.Array, limit: int = SLICE_BYTES):
     """Row ranges of about ``limit`` bytes of text, whole rows, in order."""
     size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    return ranges(size, limit)
+
+
+def ranges(size: np.ndarray, limit: int):
+    """Row ranges whose sizes add up to about ``limit``, one row at least, in order."""
     end = np.cumsum(size.astype(np.int64))
     start, n = 0, len(size)
     while start < n:

@@ -14,8 +14,8 @@ exactly their weighted Jaccard similarity.
 ``BANDS`` bands of ``ROWS``; a pair at 0.8 shares no bucket with a chance of 5e-5. Members of
 a bucket are compared with its centre, then those outside the centre's component (strays) with
 the most connected stray: both times as many pairs as members. Strays that remain are compared
-with all members of other components in blocks of ``BLOCK`` x ``BLOCK``, first by signature,
-then by text; a block gives links, never pairs. So every two members of a bucket are linked,
+with all members of other components in blocks of up to ``BLOCK`` texts and about
+``BLOCK_WORDS`` words a side (a longer text is alone), first by signature, then by text; a block gives links, never pairs. So every two members of a bucket are linked,
 in one component, or found to differ.
 
 *Verification.* Pairs whose signatures agree far below the threshold (7 standard deviations)
@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitalshare.llm.common import mix, slices, spread
+from vitalshare.llm.common import mix, ranges, slices, spread
 from vitalshare.llm.components import components
 from vitalshare.sources.writers import stage_table
 
@@ -45,9 +45,10 @@ THRESHOLD = 0.8
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 DOUBTFUL = 7.0  # standard deviations
-BLOCK = 256
+BLOCK = 256  # texts
+BLOCK_WORDS = 1 << 18  # shingles, about 1.6 MB of text
 COLUMNS = 4096
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 OTHER = np.uint64(0xD6E8FEB86659FD93)
@@ -204,8 +205,9 @@ def _likely(batches):
 
 def _verified(batches):
     for batch in batches:
-        for start in range(0, batch.num_rows, 500):
-            part = batch.slice(start, 500)
+        size = sum(pc.binary_length(batch.column(i)).to_numpy(zero_copy_only=False) for i in (2, 3))
+        for start, stop in ranges(size, SLICE):
+            part = batch.slice(start, stop - start)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), pa.array(similarity(part.column(2), part.column(3)))],
                 ["a", "b", "j"],
@@ -250,9 +252,10 @@ class _Pairs:
         key = ["key", "i", "j"]
         deal = lambda x: x.repartition(*key).sortWithinPartitions(*key, "side", "uid")
         sketch = self.signed.select("uid", "sketch")
+        sized = open_.join(self.signed.select("uid", "total"), "uid")
         schema = "key long, i long, j long, side int, uid long, root long"
         near = stage_table(
-            deal(_blocks(open_).join(sketch, "uid").select(*key, "side", "uid", "root", "sketch"))
+            deal(_blocks(sized).join(sketch, "uid").select(*key, "side", "uid", "root", "sketch"))
             .mapInArrow(_near_blocks, schema),
             "blocks",
         )
@@ -345,12 +348,16 @@ def _second_star(open_: DataFrame) -> DataFrame:
 
 def _blocks(open_: DataFrame) -> DataFrame:
     """Strays (side 0) and members (side 1) of each bucket dealt to blocks: every stray meets
-    every member in one block (key, i, j)."""
+    every member in one block (key, i, j). ``total`` is a text's number of shingles."""
+    blocks = lambda rows, words: F.ceil(
+        F.greatest(F.count(rows) / BLOCK, F.sum(words) / BLOCK_WORDS)
+    )
+    stray = F.when(F.col("stray"), F.col("total"))
     sizes = open_.groupBy("key").agg(
-        F.count("*").alias("n"), F.count(F.when(F.col("stray"), 1)).alias("m")
+        blocks(F.col("total"), F.col("total")).alias("n"), blocks(stray, stray).alias("m")
     )
     sized = open_.join(sizes.where("m > 0"), "key")
-    count = lambda c: F.ceil(F.col(c) / BLOCK)
+    count = F.col
     place = lambda c: F.pmod(F.xxhash64("uid"), count(c))
     every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), count(c) - 1))
     strays = sized.where("stray").select(
