@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vitalshare.sources.writers import new_folder
+
 SLICE_BYTES = 8 << 20
 
 
@@ -15,6 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def clustered(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df``, grouped by ``keys``, stored in the shared folder in as many buckets of the keys
+    as shuffles have partitions: joins by the keys then move only their other side."""
+    spark = df.sparkSession
+    name = f"clustered_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = df.write.bucketBy(buckets, *keys).format("parquet")
+    writer.option("path", f"{new_folder(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def crc_remainder(column: str, modulus: int) -> Column:
     """crc32 of a value written as text, modulo ``modulus``; NULL stays NULL."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus

@@ -33,7 +33,7 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +41,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitalshare.llm.common import mix, slices, spread
+from vitalshare.llm.common import clustered, mix, slices, spread
 from vitalshare.sources.writers import stage_table
 
 SLICE = 1 << 20
@@ -132,10 +132,6 @@ def _lists(row: np.ndarray, n: int, **columns) -> list[pa.Array]:
     return [pa.ListArray.from_arrays(at, pa.array(x)) for x in columns.values()]
 
 
-def _flat(column: pa.Array, kind) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(kind)
-
-
 def _rows(column: pa.Array) -> np.ndarray:
     return np.repeat(np.arange(len(column)), pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))
 
@@ -168,103 +164,103 @@ def anchors(data: np.ndarray, begin: np.ndarray, plan: Plan):
     return text, at, low, many, last - np.arange(len(at))
 
 
-_STATE = (
-    "uid long, number array<int>, at array<int>, low array<int>, many array<int>, "
-    "reach array<int>, name array<long>, ask array<byte>"
-)
+#: Anchors of a text: their place (at), number and reach (order) and windows (low), packed two
+#: and two, with their rank and what they say of it.
+_STATE = "u long, v long, at array<long>, low array<long>, name array<long>, ask array<byte>"
 _NAMES = [x.split()[0] for x in _STATE.split(", ")]
+_LOW = np.int64(0xFFFFFFFF)
 
 
-def _state(uid: pa.Array, row, number, at, low, many, reach, name, ask) -> pa.RecordBatch:
-    ints = {k: x.astype(np.int32) for k, x in (("number", number), ("at", at), ("low", low), ("many", many), ("reach", reach))}
-    columns = _lists(row, len(uid), **ints, name=name.view(np.int64), ask=ask.astype(np.int8))
-    return pa.RecordBatch.from_arrays([uid, *columns], _NAMES)
+def _state(keys, row, at, order, low, many, name, ask) -> pa.RecordBatch:
+    columns = _lists(
+        row, len(keys[0]), at=at << 32 | order, low=low << 32 | many, name=name.view(np.int64), ask=ask.astype(np.int8)
+    )
+    return pa.RecordBatch.from_arrays([*keys, *columns], _NAMES)
 
 
 def _first_ranks(batches, plan: Plan):
     for batch in batches:
-        for a, b in slices(batch.column(1), SLICE):
+        for a, b in slices(batch.column(2), SLICE):
             part = batch.slice(a, b - a)
-            data, begin = _bytes(part.column(1))
+            data, begin = _bytes(part.column(2))
             text, at, low, many, reach = anchors(data, begin, plan)
             stop = np.minimum(at + plan.name, begin[text + 1])
             name = Hashes(data, 0).of(at, stop) ^ (stop - at).astype(np.uint64)
             number = np.arange(len(at)) - np.searchsorted(text, text)
             own = begin[text]
             yield _state(
-                part.column(0), text, number, at - own, low - own, many, reach, name, told(name[:, None])
+                part.columns[:2], text, at - own, number << 16 | np.minimum(reach, 0xFFFF), low - own, many, name, told(name[:, None])
             )
 
 
-def _next_ranks(batches, span: int, double: bool):
-    """What the answers leave of the anchors ranked by ``span`` anchors each, ranked by twice as
-    many if ``double``."""
+def _next_ranks(batches, span: int):
+    """The anchors left after ranks of ``span`` anchors each, ranked by twice as many."""
     for batch in batches:
-        row = _rows(batch.column(1))
-        number, at, low, many, reach = (_flat(batch.column(i), np.int64) for i in range(1, 6))
-        name, ask = _flat(batch.column(6), np.int64).view(np.uint64), _flat(batch.column(7), np.int8)
-        found = _flat(batch.column(8), np.int64).view(np.uint64)
-        own = mix(name ^ mix(row.astype(np.uint64) + GOLDEN))
-        answers = mix(found ^ mix(_rows(batch.column(8)).astype(np.uint64) + GOLDEN))
-        again = (ask != ASKS) | np.isin(own, answers)
-        live = again | (reach < span)
-        ranked = (again & (ask != NONE))[live]
-        row, number, at, low, many, reach, name = (x[live] for x in (row, number, at, low, many, reach, name))
+        row, kept = _rows(batch.column(2)), batch.column(2).flatten()
+        at, low, name = (kept.field(x).to_numpy() for x in ("at", "low", "name"))
+        ranked = kept.field("ranked").to_numpy(zero_copy_only=False)
+        order = np.lexsort((at, row))
+        row, at, low, name, ranked = (x[order] for x in (row, at, low, name.view(np.uint64), ranked))
+        number, reach = (at & _LOW) >> 16, at & 0xFFFF
+        key = (row << 32) + number
+        place = np.minimum(np.searchsorted(key, key + span), len(key) - 1)
+        held = ranked & (key[place] == key + span) & ranked[place]
+        name = mix(name * GOLDEN ^ mix(name[place] + GOLDEN))
+        keep = held | (reach < 2 * span)
+        row, at, low, name, held = (x[keep] for x in (row, at, low, name, held))
         ask = np.full(len(row), NONE, np.int8)
-        if double and len(row):
-            key = (row << 32) + number
-            place = np.minimum(np.searchsorted(key, key + span), len(key) - 1)
-            held = ranked & (key[place] == key + span) & ranked[place]
-            name = mix(name * GOLDEN ^ mix(name[place] + GOLDEN))
-            keep = held | (reach < 2 * span)
-            row, number, at, low, many, reach, name, held = (
-                x[keep] for x in (row, number, at, low, many, reach, name, held)
-            )
-            ask = np.full(len(row), NONE, np.int8)
-            ask[held] = told(name[held][:, None])
-        yield _state(batch.column(0), row, number, at, low, many, reach, name, ask)
-
-
-def _surviving(state: DataFrame, span: int, double: bool) -> DataFrame:
-    """Sorts the rows (rank, position) by rank, drops what is unique and doubles."""
-    rows = state.select("uid", F.explode(F.arrays_zip("name", "ask")).alias("x")).where("x.ask > 0")
-    rows = rows.select("uid", "x.name", "x.ask").repartition("name")
-    total = F.sum("ask").over(Window.partitionBy("name"))
-    again = rows.withColumn("n", total).where(f"n > 1 AND ask = {ASKS}")
-    answers = again.groupBy("uid").agg(F.collect_list("name").alias("found"))
-    joined = state.join(answers, "uid", "left").mapInArrow(lambda b: _next_ranks(b, span, double), _STATE)
-    return joined.where("size(at) > 0")
+        ask[held] = told(name[held][:, None])
+        yield _state(batch.columns[:2], row, at >> 32, at & _LOW, low >> 32, low & _LOW, name, ask)
+
+
+def _surviving(state: DataFrame, span: int) -> DataFrame:
+    """Sorts the (rank, position) rows by rank; what is left of each text: u, v, kept."""
+    rows = state.select("u", "v", F.inline(F.arrays_zip("at", "low", "name", "ask")))
+    asked = rows.where("ask > 0").repartition("name")
+    counted = asked.withColumn("n", F.sum("ask").over(Window.partitionBy("name"))).where(f"ask = {ASKS}")
+    answered = counted.withColumn("ranked", F.col("n") > 1)
+    # a unique rank that reaches past what the anchor's strings are sure to hold says nothing
+    answered = answered.where(f"ranked OR at & {0xFFFF} < {span}").drop("n")
+    others = rows.where(f"ask <> {ASKS}").withColumn("ranked", F.col("ask") != NONE)
+    # as many rows as the text has anchors
+    return (
+        answered.unionByName(others)
+        .groupBy("u", "v")
+        .agg(F.collect_list(F.struct("at", "low", "name", "ranked")).alias("kept"))
+    )
 
 
 def candidates(texts: DataFrame, plan: Plan) -> DataFrame:
-    """uid and the anchors (at, low, many) of (uid, text) that outlast the doubling."""
+    """u, v and the anchors (kept) of (u, v, text) that outlast the doubling."""
     state = stage_table(texts.mapInArrow(lambda b: _first_ranks(b, plan), _STATE), "ranks")
     span = 1
-    while (state.agg(F.max(F.array_max("reach"))).first()[0] or 0) >= 2 * span:
-        state = stage_table(_surviving(state, span, True), "ranks")
+    reach = F.max(F.array_max(F.transform("at", lambda x: x.bitwiseAND(0xFFFF))))
+    while (state.agg(reach).first()[0] or 0) >= 2 * span:
+        grown = _surviving(state, span).mapInArrow(lambda b, n=span: _next_ranks(b, n), _STATE)
+        state = stage_table(grown.where("size(at) > 0"), "ranks")
         span *= 2
-    return stage_table(_surviving(state, span, False).select("uid", "at", "low", "many"), "candidates")
+    return _surviving(state, span)
 
 
-_PIECES = "uid long, top int, shared long, u1 long, u2 long, ask byte"
+_PIECES = "u long, v long, top int, shared long, u1 long, u2 long, ask byte"
 
 
 def _pieces(batches, plan: Plan):
     """Pieces of the positions before each anchor, with the hashes that decide them."""
     for batch in batches:
-        for a, b in slices(batch.column(1), SLICE):
+        for a, b in slices(batch.column(2), SLICE):
             part = batch.slice(a, b - a)
-            data, begin = _bytes(part.column(1))
-            row = _rows(part.column(2))
-            at, low, many = (_flat(part.column(i), np.int64) for i in (2, 3, 4))
+            data, begin = _bytes(part.column(2))
+            row, kept = _rows(part.column(3)), part.column(3).flatten()
+            at, low = (kept.field(x).to_numpy() for x in ("at", "low"))
+            at, low, many = at >> 32, low >> 32, low & _LOW
             high = np.minimum(low + many - 1, np.diff(begin)[row] - plan.length)
             row, at, low, high = (x[high >= low] for x in (row, at, low, high))
             first = (at - high) // plan.piece
             count = (at - low) // plan.piece - first + 1
             top = np.repeat(at, count) - plan.piece * spread(first, count)
-            row = np.repeat(row, count)
-            key = np.unique((row << 32) + top)
-            row, top = key >> 32, key & 0xFFFFFFFF
+            key = np.unique((np.repeat(row, count) << 32) + top)
+            row, top = key >> 32, key & _LOW
             own, end = begin[row], begin[row + 1]
             bottom = top - plan.piece + 1
             one, two = Hashes(data, 0), Hashes(data, 1)
@@ -272,33 +268,34 @@ def _pieces(batches, plan: Plan):
             whole = (bottom >= 0) & (own + top + plan.length <= end)
             start = np.where(whole, own + bottom, 0)
             stop = np.where(whole, own + top + plan.length, 0)
-            uid = part.column(0).to_numpy()[row]
-            alone = mix(uid.astype(np.uint64) * GOLDEN + top.astype(np.uint64))
+            u, v = (part.column(i).to_numpy()[row] for i in (0, 1))
+            # a piece that sticks out of its text has no such string: a name of its own
+            alone = mix(u.view(np.uint64) * GOLDEN + top.astype(np.uint64))
             u1 = np.where(whole, one.of(start, stop), alone)
-            u2 = np.where(whole, two.of(start, stop), uid.astype(np.uint64))
+            u2 = np.where(whole, two.of(start, stop), v.view(np.uint64))
             ask = told(np.stack([u1, u2], axis=1))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(uid),
-                    pa.array(top.astype(np.int32)),
+                    *(pa.array(x) for x in (u, v, top.astype(np.int32))),
                     *(pa.array(x.view(np.int64)) for x in (shared, u1, u2)),
                     pa.array(ask),
                 ],
-                ["uid", "top", "shared", "u1", "u2", "ask"],
+                [x.split()[0] for x in _PIECES.split(", ")],
             )
 
 
-_PLACES = "uid long, at int, h1 long, h2 long, ask byte"
+_PLACES = "u long, v long, at int, h1 long, h2 long, ask byte"
 
 
 def _places(batches, plan: Plan):
     """The positions of open pieces with the hashes of their strings."""
     for batch in batches:
-        for a, b in slices(batch.column(1), SLICE):
+        for a, b in slices(batch.column(2), SLICE):
             part = batch.slice(a, b - a)
-            data, begin = _bytes(part.column(1))
-            row, top = _rows(part.column(2)), _flat(part.column(2), np.int64)
-            asks = _flat(part.column(3), np.int64)
+            data, begin = _bytes(part.column(2))
+            row, tops = _rows(part.column(3)), part.column(3).flatten()
+            top = tops.field("top").to_numpy().astype(np.int64)
+            asks = tops.field("single").to_numpy(zero_copy_only=False).astype(np.int64)
             bottom = np.maximum(top - plan.piece + 1, 0)
             top = np.minimum(top, np.diff(begin)[row] - plan.length)
             count = np.maximum(top - bottom + 1, 0)
@@ -308,53 +305,54 @@ def _places(batches, plan: Plan):
             fresh = np.ones(len(key), bool)
             fresh[1:] = key[1:] != key[:-1]
             key, asks = key[fresh], asks[fresh]
-            row, at = key >> 32, key & 0xFFFFFFFF
+            row, at = key >> 32, key & _LOW
             start = begin[row] + at
             hashes = [Hashes(data, i).of(start, start + plan.length) for i in (0, 1)]
             ask = told(np.stack(hashes, axis=1), np.where(asks > 0, ASKS, EXAMPLE))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(part.column(0).to_numpy()[row]),
+                    *(pa.array(part.column(i).to_numpy()[row]) for i in (0, 1)),
                     pa.array(at.astype(np.int32)),
                     *(pa.array(x.view(np.int64)) for x in hashes),
                     pa.array(ask),
                 ],
-                ["uid", "at", "h1", "h2", "ask"],
+                [x.split()[0] for x in _PLACES.split(", ")],
             )
 
 
 def repeated_positions(texts: DataFrame, plan: Plan) -> DataFrame:
-    """uid, first, last: ranges of positions of (uid, text) whose strings start elsewhere too."""
-    anchors_ = candidates(texts, plan)
-    pieces = texts.join(anchors_, "uid").select("uid", "text", "at", "low", "many")
+    """u, v, first, last: ranges of positions of (u, v, text) whose strings start elsewhere
+    too. ``texts`` should be clustered by u, v."""
+    key = ["u", "v"]
+    pieces = texts.join(candidates(texts, plan), key).select(*key, "text", "kept")
     pieces = stage_table(pieces.mapInArrow(lambda b: _pieces(b, plan), _PIECES), "pieces")
     strings = ["shared", "u1", "u2"]
     kinds = pieces.where("ask > 0").groupBy(*strings).agg(
-        F.sum("ask").alias("n"), F.min(F.struct("uid", "top")).alias("one")
-    )
-    kinds = stage_table(kinds.where("n > 0"), "strings")
-    mixed = kinds.groupBy("shared").agg(
-        F.count("*").alias("kinds"), F.count(F.when(F.col("n") == 1, 1)).alias("single")
+        F.sum("ask").alias("n"), F.min(F.struct(*key, "top")).alias("one")
     )
-    open_ = kinds.join(mixed.where("kinds > 1 AND single > 0").select("shared"), "shared")
-    open_ = open_.groupBy("one.uid").agg(
-        F.collect_list("one.top").alias("top"),
-        F.collect_list(F.when(F.col("n") == 1, 1).otherwise(0).cast("byte")).alias("asks"),
+    kinds = stage_table(kinds, "strings")
+    single = F.col("n") == 1
+    mixed = kinds.groupBy("shared").agg(F.count("*").alias("kinds"), F.count(F.when(single, 1)).alias("alone"))
+    open_ = kinds.join(mixed.where("kinds > 1 AND alone > 0").select("shared"), "shared")
+    open_ = open_.groupBy("one.u", "one.v").agg(
+        F.collect_list(F.struct("one.top", single.alias("single"))).alias("tops")
     )
-    places = texts.join(open_, "uid").select("uid", "text", "top", "asks")
+    places = texts.join(open_, key).select(*key, "text", "tops")
     places = stage_table(places.mapInArrow(lambda b: _places(b, plan), _PLACES), "places")
-    twice = places.where(f"ask <> {KNOWN}").groupBy("h1", "h2").agg(F.sum(F.abs("ask")).alias("n"))
-    twice = twice.where("n > 1").select("h1", "h2")
+    # a string is sent once from a slice that holds it often, so a group has a row a slice
+    dealt = places.where(f"ask <> {KNOWN}").repartition("h1", "h2")
+    counted = dealt.withColumn("n", F.sum(F.abs("ask")).over(Window.partitionBy("h1", "h2")))
     known = F.col("ask").isin(KNOWN, TELLS)
-    single = places.where(known).select("uid", "at").unionByName(
-        places.where(f"ask = {ASKS}").join(twice, ["h1", "h2"]).select("uid", "at")
-    )
-    whole = pieces.where(known).select("uid", "top").unionByName(
-        pieces.where(f"ask = {ASKS}").join(kinds.where("n > 1").select(*strings), strings).select("uid", "top")
-    )
-    return single.select("uid", F.col("at").alias("first"), F.col("at").alias("last")).unionByName(
-        whole.select("uid", (F.col("top") - plan.piece + 1).alias("first"), F.col("top").alias("last"))
-    )
+    at = [*key, F.col("at").alias("first"), F.col("at").alias("last")]
+    top = [*key, (F.col("top") - plan.piece + 1).alias("first"), F.col("top").alias("last")]
+    again = pieces.where(f"ask = {ASKS}").join(kinds.where("n > 1").select(*strings), strings)
+    parts = [
+        places.where(known).select(*at),
+        counted.where(f"ask = {ASKS} AND n > 1").select(*at),
+        pieces.where(known).select(*top),
+        again.select(*top),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def covered(first: np.ndarray, last: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -367,66 +365,62 @@ def covered(first: np.ndarray, last: np.ndarray, length: int) -> tuple[np.ndarra
     return first[begin], stop[np.append(begin[1:], len(first)) - 1] if len(first) else stop
 
 
-_CUT = "key string, n_removed long, n_spans long, kept_sha256 string"
+_CUT = "u long, v long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def _cut(batches, length: int, texts: bool):
     """Texts without the bytes covered."""
     for batch in batches:
-        keys, data = batch.column(0), batch.column(1).cast(pa.binary()).to_pylist()
-        starts, lasts = batch.column(2), batch.column(3)
-        begin = np.searchsorted(_rows(starts), np.arange(len(data) + 1))
-        first, last = _flat(starts, np.int64), _flat(lasts, np.int64)
-        removed, spans, shas, kept = [], [], [], []
-        for i, text in enumerate(data):
-            start, stop = covered(first[begin[i] : begin[i + 1]], last[begin[i] : begin[i + 1]], length)
-            parts = [text[a:b] for a, b in zip([0, *stop.tolist()], [*start.tolist(), len(text)])]
-            left = b"".join(parts)
-            removed.append(len(text) - len(left))
-            spans.append(len(start))
-            shas.append(hashlib.sha256(left).hexdigest())
-            kept.append(left)
-        columns = [keys, pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(shas, pa.string())]
-        names = [x.split()[0] for x in _CUT.split(", ")]
-        if texts:
-            columns, names = [*columns, pa.array(kept, pa.binary())], [*names, "kept"]
-        yield pa.RecordBatch.from_arrays(columns, names)
+        for a, b in slices(batch.column(2), SLICE):
+            part = batch.slice(a, b - a)
+            data = part.column(2).cast(pa.binary()).to_pylist()
+            begin = np.searchsorted(_rows(part.column(3)), np.arange(len(data) + 1))
+            first, last = (part.column(3).flatten().field(x).to_numpy().astype(np.int64) for x in ("first", "last"))
+            rows = []
+            for i, text in enumerate(data):
+                start, stop = covered(first[begin[i] : begin[i + 1]], last[begin[i] : begin[i + 1]], length)
+                left = b"".join(text[x:y] for x, y in zip([0, *stop.tolist()], [*start.tolist(), len(text)]))
+                rows.append((len(text) - len(left), len(start), hashlib.sha256(left).hexdigest(), left))
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary())[: 3 + texts]
+            names = [x.split()[0] for x in _CUT.split(", ")] + ["kept"] * texts
+            columns = [pa.array(x, kind) for x, kind in zip(zip(*rows), kinds)]
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], *columns], names)
 
 
 def remove(docs: DataFrame, length: int = 400, texts: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 for every row of
     (doc_id, text); with ``texts`` also ``kept``, the remaining bytes."""
-    plan = Plan(length)
+    plan, key = Plan(length), ["u", "v"]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    source = source.withColumn("key", F.sha2("text", 256)).withColumn("n_bytes", F.octet_length("text").cast("long"))
-    contents = (
-        source.where(F.col("n_bytes") >= length)
-        .groupBy("key")
-        .agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-        .select(F.monotonically_increasing_id().alias("uid"), "key", "copies", "text")
+    source = source.withColumn("sha", F.sha2("text", 256)).select(
+        "*",
+        # 124 bits of the hash name a text
+        F.conv(F.substring("sha", 1, 15), 16, 10).cast("long").alias("u"),
+        F.conv(F.substring("sha", 17, 15), 16, 10).cast("long").alias("v"),
+        F.octet_length("text").cast("long").alias("n_bytes"),
     )
-    contents = stage_table(contents, "contents")
-    ranges = repeated_positions(contents.select("uid", "text"), plan)
-    # a range of one text comes from its own pieces, so a group is no longer than the text
-    ranges = ranges.groupBy("uid").agg(F.collect_list("first").alias("first"), F.collect_list("last").alias("last"))
-    single = contents.where("copies = 1").join(ranges, "uid").select("key", "text", "first", "last")
+    contents = source.where(F.col("n_bytes") >= length).groupBy(*key)
+    contents = clustered(contents.agg(F.first("text").alias("text"), F.count("*").alias("copies")), key)
+    ranges = repeated_positions(contents.select(*key, "text"), plan)
+    # the ranges of one text come from its own pieces, so they are no more than its bytes
+    ranges = ranges.groupBy(*key).agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+    single = contents.where("copies = 1").join(ranges, key).select(*key, "text", "ranges")
     schema = _CUT + (", kept binary" if texts else "")
     cut = single.mapInArrow(lambda b: _cut(b, length, texts), schema)
     copied = contents.where("copies > 1").select(
-        "key",
+        *key,
         F.octet_length("text").cast("long").alias("n_removed"),
         F.lit(1).cast("long").alias("n_spans"),
         F.sha2(F.lit(""), 256).alias("kept_sha256"),
         *([F.lit(b"").alias("kept")] if texts else []),
     )
     found = stage_table(cut.unionByName(copied), "cut")
-    joined = source.join(found, "key", "left")
-    return joined.select(
+    return source.join(found, key, "left").select(
         "doc_id",
         "n_bytes",
         F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
         F.coalesce("n_spans", F.lit(0)).alias("n_spans"),
-        F.coalesce("kept_sha256", "key").alias("kept_sha256"),
+        F.coalesce("kept_sha256", "sha").alias("kept_sha256"),
         *([F.coalesce("kept", F.col("text").cast("binary")).alias("kept")] if texts else []),
     )
