@@ -6,12 +6,59 @@ no arithmetic with the Spark operators.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from vitalshare.domain import AGES, BANDS, FEMALE, GARBAGE, MATERNAL, MATERNAL_AGES, TARGETS
 from vitalshare.domain import AGE_CLASSES, INJURIES, age_class
-from vitalshare.plans.stages import stages
 from vitalshare.sources.star_schema import BRAND_CAUSES, CODES
 
 
+class Stage(NamedTuple):
+    """A stage told apart from the library's own list, by families of labels."""
+
+    number: int
+    name: str
+    label: str
+    pool: tuple
+    direct: tuple = ()
+    shares_of: int | None = None
+
+    @property
+    def targets(self) -> tuple:
+        return self.direct + self.pool
+
+
+def _family(*beginnings: str) -> tuple:
+    return tuple(t for t in TARGETS if t.startswith(beginnings))
+
+
+def stages(corrected: bool = False) -> list[Stage]:
+    inj = "Injuries - {}".format
+    killed = (inj("Homicide"), inj("Suicide"))
+    injuries, chronic = _family("Injuries"), _family("dcnt_")
+    newborn = _family("infant_") + ("anom_congenitas", "aspiracao_pulmunar", "lri_post_neo", "obst_intestinal")
+    spread = _family("trans_", "materna_", "other_")
+    everything = tuple(t for t in TARGETS if t != "_pneumo")
+    return [
+        Stage(1, "injuries", "_injuries", injuries),
+        Stage(2, "inj_hom_sui", "_inj (hom,sui)", killed),
+        Stage(3, "inj_hom_sui_fall_road", "_inj (hom,suic, fall,road)", killed + (inj("Falls"), inj("Road"))),
+        Stage(
+            4,
+            "inj_hom_sui_transp",
+            "_inj (hom,sui,transp)",
+            killed + (inj("Road"), inj("Other transport injuries")),
+        ),
+        Stage(5, "inj_hom_sui_other", "_inj (hom,suic,other)", killed + (inj("Others"),)),
+        Stage(6, "maternal", "_maternas", _family("materna_")),
+        Stage(7, "neonatal", "_infant_neonat", newborn),
+        Stage(8, "x59", "_x59", spread, injuries),
+        Stage(9, "y34", "_y34", spread, injuries + chronic),
+        Stage(10, "pneumonia", "_pneumo", spread, ("_pneumo",) + injuries + chronic),
+        Stage(11, "all", "_all", everything) if corrected else Stage(11, "all", "_all", spread, (), 10),
+    ]
+
+
 def _in(values) -> str:
     return "(" + ", ".join(f"'{v}'" for v in values) + ")"
 
@@ -136,6 +183,24 @@ def _ign(name: str, where: str, keys: str) -> str:
     return f"{name} AS (SELECT {keys}, sum(obitos) AS u FROM ign WHERE {where} GROUP BY {keys})"
 
 
+def _corrected(sql: str) -> str:
+    """Step 2 with its corrections: lenient population totals, a population share as the last
+    resort of both keys, causes of the unknown half."""
+    sql = sql.replace("(SELECT DISTINCT GBD FROM known) b", "(SELECT DISTINCT GBD FROM counts) b")
+    for keys in _POPULATION_KEYS:
+        sql = sql.replace(_strict(keys), f"nullif(sum(pop) OVER (PARTITION BY {keys}), 0)")
+    return sql.replace("pop / nullif(pop, 0)", "pop / nullif(sum(pop) OVER (PARTITION BY cdmun, ano, GBD), 0)")
+
+
+_POPULATION_KEYS = (
+    "cdmun, ano, GBD, sexo",
+    "cdmun, ano, GBD, idade",
+    "uf, ano, GBD, idade, sexo",
+    "uf, ano, GBD, sexo",
+    "uf, ano, GBD, idade",
+    "uf, ano, GBD",
+)
+
 _S2_SHARES = LEVELS + f""",
 shares AS MATERIALIZED (
   SELECT base.*,
@@ -164,6 +229,19 @@ def _local(u: str, k: str, pop: str) -> str:
     return f"coalesce({u}.u * coalesce(b.mu_{k}, {steps}, b.{pop}), 0)"
 
 
+def _served(k: str, pop: str) -> str:
+    """The level whose share a local pass takes."""
+    return (
+        f"CASE WHEN b.mu_{k} IS NOT NULL THEN 'mu' WHEN mi.t_{k} <> 0 THEN 'mi' "
+        f"WHEN me.t_{k} <> 0 THEN 'me' WHEN st.t_{k} <> 0 THEN 'uf' "
+        f"WHEN b.{pop} IS NOT NULL THEN 'pop' ELSE 'none' END"
+    )
+
+
+def _by_deaths(u: str, total: str) -> str:
+    return f"coalesce({u}.u * (b.d / nullif({total}, 0)), 0)"
+
+
 def _far(u: str, total: str, pop: str) -> str:
     return f"coalesce({u}.u * coalesce(b.d / nullif({total}, 0), b.{pop}), 0)"
 
@@ -178,7 +256,11 @@ s2 AS MATERIALIZED (
       {_far("u4", "st.ob", "pmu_id_s")} AS p4,
       {_far("u5", "st.t_id", "pmu_id")} AS p5,
       {_far("u6", "st.t_s", "pmu_s")} AS p6,
-      {_far("u7", "st.t_id_s", "pmu_t")} AS p7
+      {_far("u7", "st.t_id_s", "pmu_t")} AS p7,
+      {_served("id", "pop_id")} AS lv1, {_served("s", "pop_s")} AS lv2,
+      {_served("id_s", "pop_id_s")} AS lv3,
+      {_by_deaths("u4", "st.ob")} + {_by_deaths("u5", "st.t_id")} + {_by_deaths("u6", "st.t_s")}
+        + {_by_deaths("u7", "st.t_id_s")} AS far_uf
     FROM shares b
     LEFT JOIN mi USING (micro, meso, uf, ano, GBD, sexo, idade)
     LEFT JOIN me USING (meso, uf, ano, GBD, sexo, idade)
@@ -230,7 +312,7 @@ _PLACES = {
 }
 
 
-def _eligible(spec) -> str:
+def _eligible(spec, corrected: bool = False) -> str:
     """Eligibility of a row, told from the method's own words rather than the spec."""
     test = f"GBD IN {_in(spec.targets)}"
     if spec.number in (2, 3, 4, 5):
@@ -239,20 +321,22 @@ def _eligible(spec) -> str:
     if spec.number == 6:
         test += (
             " AND sexo = 'Feminino' AND idade IN "
-            "('10', '15', '20', '25', '30', '35', '40', '45', '50')"
+            "('10', '15', '20', '25', '30', '35', '40', '45', '50'"
+            + (", '55')" if corrected else ")")
         )
-    if spec.number == 7:
+    if spec.number == 7 and not corrected:
         test += " AND idade IN ('Early Neonatal', 'Late Neonatal', 'Post Neonatal')"
     return test
 
 
-def _stage_sql(spec) -> str:
+def _stage_sql(spec, corrected: bool = False) -> str:
     n, out = spec.number, ""
     shared = spec.shares_of or n
     if shared == n:
         out += f""",
 pool{n} AS MATERIALIZED (
-  SELECT * FROM b{n - 1} WHERE GBD IN {_in(spec.pool)} AND {_eligible(spec)})"""
+  SELECT * FROM b{n - 1} WHERE GBD IN {_in(spec.pool)} AND {_eligible(spec, corrected)}
+    AND GBD IN (SELECT GBD FROM s2))"""
         for level, place in _PLACES.items():
             out += f""",
 {level}{n} AS (
@@ -266,15 +350,18 @@ pool{n} AS MATERIALIZED (
     )
     steps = ", ".join(f"{lv}.c / nullif({lv}.t, 0)" for lv in _PLACES)
     share = f"coalesce({steps})"
+    level = "CASE " + " ".join(f"WHEN {lv}.t <> 0 THEN '{lv}'" for lv in _PLACES) + " ELSE 'none' END"
     if spec.direct:
+        level = f"CASE WHEN b.GBD IN {_in(spec.direct)} THEN 'direct' ELSE {level} END"
         share = f"CASE WHEN b.GBD IN {_in(spec.direct)} THEN 1 ELSE {share} END"
     weight = _weight(spec.name).replace("GBD", "b.GBD").replace("idade", "b.idade")
     kept = "CASE WHEN GBD = '_pneumo' THEN a ELSE d + a END" if n == 10 else "d + a"
     return out + f""",
 b{n} AS MATERIALIZED (
-  SELECT * EXCLUDE (d, a, dd), d AS din, a, {kept} AS d FROM (
-    SELECT b.cdmun, b.micro, b.meso, b.uf, b.reg, b.ano, b.sexo, b.idade, b.GBD, b.d, 0 AS dd,
-           CASE WHEN {_eligible(spec).replace("GBD", "b.GBD").replace("idade", "b.idade").replace("sexo", "b.sexo")}
+  SELECT * EXCLUDE (d, a), d AS din, a, {kept} AS d FROM (
+    SELECT b.cdmun, b.micro, b.meso, b.uf, b.reg, b.ano, b.sexo, b.idade, b.GBD, b.d,
+           {level} AS level,
+           CASE WHEN {_eligible(spec, corrected).replace("GBD", "b.GBD").replace("idade", "b.idade").replace("sexo", "b.sexo")}
                 THEN coalesce(r.o * {weight} * {share}, 0) ELSE 0 END AS a
     FROM b{n - 1} b
     LEFT JOIN garbage r ON r.label = '{spec.label}' AND r.cdmun = b.cdmun AND r.ano = b.ano
@@ -282,18 +369,30 @@ b{n} AS MATERIALIZED (
     {joins}))"""
 
 
-STEP3_BASE = STEP2 + f""",
+_B0 = f""",
 garbage AS MATERIALIZED (
   SELECT cdmun, micro, meso, uf, ano, sexo, idade, GBD AS label, o FROM s2 WHERE GBD IN {_in(GARBAGE)}),
 b0 AS MATERIALIZED (
   SELECT cdmun, micro, meso, uf, reg, ano, sexo, idade, GBD, o AS d FROM s2
   WHERE GBD IN {_in(TARGETS)})"""
+STEP3_BASE = STEP2 + _B0
 
 
 def _through(last: int) -> str:
     return STEP3_BASE + "".join(_stage_sql(s) for s in stages() if s.number <= last)
 
 
+def _all_corrected() -> str:
+    """All stages with every correction; direct targets nobody died of start at 0."""
+    direct = {c for s in stages(True) for c in s.direct}
+    absent = f""" UNION ALL
+  SELECT c.*, t.GBD, 0 AS d FROM (
+    SELECT DISTINCT cdmun, micro, meso, uf, reg, ano, sexo, idade FROM s2) c,
+    (VALUES {_values(sorted(direct))}) t(GBD) WHERE t.GBD NOT IN (SELECT GBD FROM s2))"""
+    base = _B0.rstrip(")") + ")" * (len(_B0) - len(_B0.rstrip(")")) - 1) + absent
+    return _corrected(STEP2) + base + "".join(_stage_sql(s, True) for s in stages(True))
+
+
 def _moments(source: str, keys: str, *measures: str, digits: int = 6) -> str:
     """Group counts, sums and sums of squares over all rows of a query."""
     columns = ", ".join(
@@ -466,17 +565,16 @@ def oracle_sql() -> dict[str, str]:
             "GROUP BY ano, sexo, idade, GBD"
         )
     q["level_shares"] = _with(STEP2, " UNION ALL ".join(parts))
+    used = _in((*TARGETS, *GARBAGE))
     for spec in stages():
         source = (
-            "SELECT cdmun, GBD, din AS deaths_in, a AS alloc, d AS deaths_out "
-            f"FROM b{spec.number} WHERE {_eligible(spec)}"
+            "SELECT cdmun, ano, GBD, sexo, din AS deaths_in, a AS alloc, d AS deaths_out "
+            f"FROM b{spec.number} SEMI JOIN (SELECT * FROM s2 WHERE o <> 0 AND GBD IN {used}) x "
+            f"USING (cdmun, ano, sexo, idade) WHERE {_eligible(spec)}"
         )
         measures = ("deaths_in", "alloc", "deaths_out")
         q[f"stage_{spec.name}"] = _with(
-            _through(spec.number),
-            "SELECT * EXCLUDE (n_rows, deaths_in_n, alloc_n, deaths_out_n) FROM ("
-            + _moments(source, "cdmun, GBD", *measures, digits=4)
-            + ")",
+            _through(spec.number), _moments(source, "cdmun, ano, GBD, sexo", *measures)
         )
     handled = [g for g in GARBAGE if g not in ("_all", "_inj (hom,suic, fall,road)")]
     q["remainder_report"] = _with(
@@ -507,17 +605,135 @@ def oracle_sql() -> dict[str, str]:
             for s in stages()
         ),
     )
+    rows = [(st.label, t, k) for st in stages() if st.number in (8, 9, 10) for t in st.targets
+            for k in (AGE_CLASSES if st.number == 10 else (None,))]
+    listed = ", ".join(f"('{g}', '{t}', " + (f"'{k}')" if k else "NULL)") for g, t, k in rows)
+    most = "(SELECT arg_max(GBD, (n, GBD)) FROM (SELECT GBD, sum(obitos) AS n FROM counts WHERE GBD LIKE '{}%' GROUP BY GBD))"
     q["weight_audit"] = _with(
-        RECORDS,
-        "SELECT GBD, sum(obitos)::DOUBLE AS deaths, 0::BIGINT AS n_bad FROM counts "
+        RECORDS
+        + f""",
+needed(CG, target, age) AS (VALUES {listed}),
+have AS (
+  SELECT * FROM needed WHERE NOT (CG = '_x59' AND target = {most.format("Injuries")})
+  UNION ALL SELECT CG, target, NULL FROM needed WHERE CG = '_y34' AND target = {most.format("dcnt")}),
+audit AS (
+  SELECT n.CG, count(*) FILTER (WHERE h.n IS NULL) AS n_missing, count(*) FILTER (WHERE h.n > 1) AS n_repeated
+  FROM needed n LEFT JOIN (SELECT CG, target, age, count(*) AS n FROM have GROUP BY ALL) h
+    ON n.CG = h.CG AND n.target = h.target AND n.age IS NOT DISTINCT FROM h.age GROUP BY n.CG)""",
+        "SELECT GBD, sum(obitos)::DOUBLE AS deaths, coalesce(any_value(n_missing), 0) AS n_missing, "
+        "coalesce(any_value(n_repeated), 0) AS n_repeated FROM counts LEFT JOIN audit ON CG = GBD "
         f"WHERE GBD IN {_in(GARBAGE)} GROUP BY GBD",
     )
+    q["death_counts_sql"] = q["death_counts"]
+    report = [g for g in GARBAGE if g not in ("_all", "_inj (hom,suic, fall,road)")]
+    q["label_near_misses"] = _with(
+        RECORDS,
+        "SELECT label, known, CAST(distance AS INTEGER) AS distance, coalesce((SELECT sum(obitos) FROM counts "
+        "WHERE GBD = known), 0)::DOUBLE AS deaths FROM (SELECT label, known, levenshtein(label, known) AS distance "
+        f"FROM (SELECT class_label AS label FROM cause_map UNION VALUES {_values([*report, '_inj (hom,suic, fall)'])}) l, "
+        f"(VALUES {_values((*TARGETS, *GARBAGE))}) k(known) WHERE label NOT IN {_in((*TARGETS, *GARBAGE))} "
+        "AND label[1:4] = known[1:4]) WHERE distance <= greatest(2, length(label) / 3)",
+    )
+    q["default_run_date"] = _with(
+        RECORDS,
+        "SELECT strftime(current_date, '%Y-%m-%d') AS run_date, sum(obitos)::BIGINT AS deaths FROM counts",
+    )
+    parts = []
+    order = ("reg", "uf", "meso", "micro", "cdmun")
+    for depth, level in enumerate(("rg", "uf", "me", "mi", "mu"), 1):
+        place = ", ".join(order[:depth])
+        for st in stages()[:10]:
+            parts.append(
+                f"SELECT '{st.name}' AS pool, ano, sexo, '{level}' AS level, concat_ws('/', {place}) AS place, "
+                f"count(*) AS n_cells, {_round('sum(o)')} AS deaths FROM s2 WHERE GBD IN {_in(st.pool)} "
+                f"AND {_eligible(st)} GROUP BY ano, sexo, {place}"
+            )
+    q["level_rollup"] = _with(STEP2, " UNION ALL ".join(parts))
+    parts = []
+    for n, levels in ((1, 5), (2, 5), (3, 5)):
+        for level in ("mu", "mi", "me", "uf", "pop"):
+            parts.append(
+                f"SELECT uf, 'unknown_p{n}' AS part, '{level}' AS level, "
+                f"{_round(f'sum(CASE WHEN lv{n} = {chr(39)}{level}{chr(39)} THEN p{n} ELSE 0 END)', 4)} AS deaths FROM s2 GROUP BY uf"
+            )
+    for level, value in (("uf", "far_uf"), ("pop", "p4 + p5 + p6 + p7 - far_uf")):
+        parts.append(
+            f"SELECT uf, 'unknown_p4_to_p7' AS part, '{level}' AS level, {_round(f'sum({value})', 4)} AS deaths "
+            "FROM s2 GROUP BY uf"
+        )
+    for st in stages():
+        for level in (*_PLACES, "direct"):
+            parts.append(
+                f"SELECT uf, '{st.name}' AS part, '{level}' AS level, "
+                f"{_round(f'sum(CASE WHEN level = {chr(39)}{level}{chr(39)} THEN a ELSE 0 END)', 4)} AS deaths "
+                f"FROM b{st.number} GROUP BY uf"
+            )
+        parts.append(
+            f"SELECT uf, '{st.name}' AS part, 'none' AS level, {_round('sum(x)', 4)} AS deaths FROM ("
+            f"SELECT uf, o AS x FROM garbage WHERE label = '{st.label}' UNION ALL "
+            f"SELECT uf, -a FROM b{st.number}) GROUP BY uf"
+        )
+    q["allocation_levels"] = _with(_through(11), " UNION ALL ".join(parts))
+    parts = []
+    for st in stages():
+        parts.append(
+            f"SELECT uf, ano, '{st.label}' AS label, GBD AS target, {_round('sum(a)', 4)} AS deaths "
+            f"FROM b{st.number} WHERE GBD IN {_in(st.targets)} GROUP BY uf, ano, GBD"
+        )
+        parts.append(
+            f"SELECT uf, ano, '{st.label}' AS label, 'unallocated' AS target, {_round('sum(x)', 4)} AS deaths FROM ("
+            f"SELECT uf, ano, o AS x FROM garbage WHERE label = '{st.label}' UNION ALL "
+            f"SELECT uf, ano, -a FROM b{st.number}) GROUP BY uf, ano"
+        )
+    q["cause_flows"] = _with(_through(11), " UNION ALL ".join(parts))
+    lost = " UNION ALL ".join(
+        f"SELECT ano, sum(x) AS x FROM (SELECT cdmun, ano, sexo, idade, o AS x FROM garbage WHERE label = '{st.label}' "
+        f"UNION ALL SELECT cdmun, ano, sexo, idade, -a FROM b{st.number}) GROUP BY cdmun, ano, sexo, idade"
+        for st in stages()
+    )
+    signed = " UNION ALL ".join(
+        f"SELECT ano, '{grp}_{kind}' AS entry, sum({fn}(net, 0)) AS deaths FROM units WHERE grp = '{grp}' GROUP BY ano"
+        for grp in ("one", "both", "far")
+        for kind, fn in (("lost", "least"), ("gained", "greatest"))
+    )
+    q["mass_balance"] = _with(
+        _through(11)
+        + f""",
+units AS (
+  SELECT grp, place, ano, GBD, sum(net) AS net FROM (
+    SELECT CASE WHEN no_mun THEN 'far' WHEN idade = 'IGN' AND sexo = 'IGN' THEN 'both' ELSE 'one' END AS grp,
+           CASE WHEN no_mun THEN uf ELSE cdmun END AS place, ano, GBD, -obitos::DOUBLE AS net FROM ign
+    UNION ALL SELECT 'one', cdmun, ano, GBD, p1 + p2 FROM s2
+    UNION ALL SELECT 'both', cdmun, ano, GBD, p3 FROM s2
+    UNION ALL SELECT 'far', uf, ano, GBD, p4 + p5 + p6 + p7 FROM s2) GROUP BY ALL),
+entries AS (
+  SELECT ano, 'records' AS entry, sum(obitos)::DOUBLE AS deaths FROM counts GROUP BY ano
+  UNION ALL SELECT ano, 'no_half', 0 FROM counts GROUP BY ano
+  UNION ALL SELECT ano, 'off_grid', sum(x) FROM (SELECT ano, -obitos::DOUBLE AS x FROM known
+    UNION ALL SELECT ano, d FROM base) GROUP BY ano
+  UNION ALL {signed}
+  UNION ALL SELECT ano, 'null_label', 0 FROM s2 GROUP BY ano
+  UNION ALL SELECT ano, 'other_label', sum(CASE WHEN GBD NOT IN {used} THEN -o ELSE 0 END) FROM s2 GROUP BY ano
+  UNION ALL SELECT ano, 'garbage_lost', sum(least(-x, 0)) FROM ({lost}) GROUP BY ano
+  UNION ALL SELECT ano, 'garbage_gained', sum(greatest(-x, 0)) FROM ({lost}) GROUP BY ano
+  UNION ALL SELECT ano, 'final', sum(d) FROM b11 GROUP BY ano)""",
+        "SELECT ano, entry, CASE WHEN abs(deaths) < 1e-6 THEN 0 ELSE round(deaths + 1e-9, 5) END AS deaths FROM ("
+        "SELECT * FROM entries UNION ALL SELECT ano, 'residual', sum(CASE entry WHEN 'final' THEN deaths ELSE "
+        "-deaths END) FROM entries GROUP BY ano UNION ALL SELECT 'all', 'known', sum(d) FROM base UNION ALL "
+        "SELECT 'all', 'placed', sum(o) FROM s2)",
+    )
+    q["corrected_by_year"] = _with(
+        _all_corrected(), f"SELECT ano, {_round('sum(d)')} AS deaths FROM b11 GROUP BY ano"
+    )
     for name, keys in (("final_by_year", "ano"), ("final_by_cause_uf", "uf, GBD")):
         q[name] = _with(
             _through(11),
             f"SELECT {keys}, {_round('sum(d)')} AS deaths FROM b11 GROUP BY {keys}",
         )
     q["final_from_saved_steps"] = q["final_by_year"]
+    q["final_by_increments"] = _with(
+        _through(11), f"SELECT ano, {_round('sum(d)')} AS deaths, 1 AS folders_read FROM b11 GROUP BY ano"
+    )
     q["final_grid"] = _with(
         _through(11),
         "SELECT m.cdmun, s.sexo, b.GBD, count(*) AS n_cells, count(f.d) AS n_valued, "

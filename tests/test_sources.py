@@ -2,7 +2,6 @@ import os
 
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from vitalshare.sources import readers, writers
 
@@ -41,15 +40,54 @@ def test_record_files_by_pattern(spark, tmp_path):
     assert both.filter(F.col("IDADE").isNull()).count() == 2
 
 
-def test_step_output(spark, tmp_path):
-    df = spark.createDataFrame([("2010", "01", 1.5)], "ano string, cdmun string, deaths double")
-    writers.write_step(df, str(tmp_path), 1, "2024-01-01", "t")
-    with pytest.raises(AnalysisException):
-        writers.write_step(df, str(tmp_path), 1, "2024-01-01", "t")
-    back = writers.read_step(spark, str(tmp_path), 1, "2024-01-01", "t", df.schema)
-    assert back.select(df.columns).collect() == df.collect()
+ODD_KEYS = [("0010", "01", 1.5), ("20a0", "02", None), (None, "03", 2.0), ("", "04", 3.0)]
+
+
+def test_step_output_keeps_odd_keys(spark, tmp_path):
+    df = spark.createDataFrame(ODD_KEYS, "ano string, cdmun string, deaths double")
+    root = str(tmp_path)
+    writers.write_step(df, root, 1, "2024-01-01", "t", {"options": {"x": True}})
+    with pytest.raises(writers.StepExists):
+        writers.write_step(df, root, 1, "2024-01-01", "t")
+    back = writers.read_step(spark, root, 1, "2024-01-01", "t")
+    assert back.schema == df.schema
+    assert {tuple(r) for r in back.collect()} == set(ODD_KEYS)
+    content = writers.manifest(spark, writers.step_path(root, 1, "2024-01-01", "t"))
+    assert content["n_rows"] == 4 and content["details"] == {"options": {"x": True}}
+    assert writers.verify_step(spark, root, 1, "2024-01-01", "t")
+    spark.createDataFrame([("1", "1", 1.0)], df.schema).write.mode("append").parquet(content["data"])
+    assert not writers.verify_step(spark, root, 1, "2024-01-01", "t")
     writers.write_csv(df, str(tmp_path / "csv"))
-    assert spark.read.csv(str(tmp_path / "csv"), header=True).count() == 1
+    assert spark.read.csv(str(tmp_path / "csv"), header=True).count() == 4
+
+
+def test_step_that_dies_halfway_is_no_step(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame(ODD_KEYS, "ano string, cdmun string, deaths double")
+    root, real = str(tmp_path), writers.publish
+
+    def die(*_):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(writers, "publish", die)
+    with pytest.raises(RuntimeError):
+        writers.write_step(df, root, 2, "2024-01-01", "t")
+    leftovers = os.listdir(writers.step_path(root, 2, "2024-01-01", "t"))
+    assert [x for x in leftovers if x.startswith("data-")]
+    with pytest.raises(writers.StepMissing):
+        writers.read_step(spark, root, 2, "2024-01-01", "t")
+    monkeypatch.setattr(writers, "publish", real)
+    writers.write_step(df, root, 2, "2024-01-01", "t")
+    after = [x for x in os.listdir(writers.step_path(root, 2, "2024-01-01", "t")) if x.startswith("data-")]
+    assert len(after) == 1 and after[0] not in leftovers
+    assert writers.read_step(spark, root, 2, "2024-01-01", "t").count() == 4
+
+
+def test_release_deletes_what_was_stored(spark):
+    stored = writers.stage_table(spark.range(3).toDF("x"), "t")
+    file = stored.inputFiles()[0].removeprefix("file:").replace("///", "/")
+    assert os.path.exists(file)
+    writers.discard(spark, os.path.dirname(file))
+    assert not os.path.exists(file)
 
 
 def test_stage_table_is_a_file_scan(spark):

@@ -98,7 +98,8 @@ def split_check(counts: DataFrame, codes=UNKNOWN_MUNICIPALITIES) -> DataFrame:
 
 def weight_audit(weights: DataFrame, options: Options = COMPAT) -> DataFrame:
     """Weight rows a stage needs, with how many there are: 0 means the full amount is
-    given, more than 1 means the source table is ambiguous."""
+    given, more than 1 means the source table is ambiguous. The age counts only for stages
+    with weights by age."""
     wanted = [
         (s.label, target, klass)
         for s in stages(options)
@@ -112,7 +113,10 @@ def weight_audit(weights: DataFrame, options: Options = COMPAT) -> DataFrame:
         for g, t, k in wanted
     )
     needed = weights.sparkSession.range(1).select(F.expr(f"inline(array({structs}))"))
-    found = weights.groupBy("CG", "target", "age").agg(F.count(F.lit(1)).alias("n"))
+    aged = F.col("CG").isin(*[s.label for s in stages(options) if s.weights_by_age])
+    found = weights.groupBy("CG", "target", F.when(aged, F.col("age")).alias("age")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
     return (
         left_join(needed, found, ["CG", "target", "age"])
         .withColumn("n", F.coalesce("n", F.lit(0)))

@@ -16,7 +16,16 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitalshare.domain import AGE_CLASSES, AGES, GARBAGE, TARGETS, age_class
+from vitalshare.domain import (
+    AGE_CLASSES,
+    AGES,
+    FEMALE,
+    GARBAGE,
+    MATERNAL,
+    MATERNAL_AGES,
+    TARGETS,
+    age_class,
+)
 from vitalshare.functions import left_join
 from vitalshare.operators.grid import kernel
 from vitalshare.options import COMPAT, Options
@@ -190,8 +199,9 @@ def _allocate(df: DataFrame, plan: StagePlan, spec: StageSpec) -> DataFrame:
     return df.withColumns(out) if out else df
 
 
-def _area_shares(df: DataFrame, plan: StagePlan, specs) -> DataFrame:
-    """Shares above the municipality for the pools of one round.
+def _area_shares(df: DataFrame, plan: StagePlan, specs, levels_too: bool = False) -> DataFrame:
+    """Shares above the municipality for the pools of one round; ``l<stage>``, if wanted, is
+    the level they come from (1 micro to 4 macro-region, NULL none).
 
     Rows are summed to micro-region cells first. The windows below then see one row per
     micro-region: how many a macro-region has is geography and does not grow with deaths.
@@ -224,10 +234,15 @@ def _area_shares(df: DataFrame, plan: StagePlan, specs) -> DataFrame:
         for n, columns in names.items()
         for c in columns
     ]
+    if levels_too:
+        for n in names:
+            steps = enumerate(("", "me_", "uf_", "rg_"), 1)
+            cases = " ".join(f"WHEN {level}t{n} IS NOT NULL THEN {i}" for i, level in steps)
+            ladders.append(f"CASE {cases} END AS l{n}")
     return micro.withColumns(totals).selectExpr(*AREA, *ladders)
 
 
-def run_stages(base: DataFrame, plan: StagePlan) -> DataFrame:
+def run_stages(base: DataFrame, plan: StagePlan, levels_too: bool = False) -> DataFrame:
     """Base rows with the allocation columns of every stage of the plan."""
     active = plan.active()
     areas = None
@@ -236,7 +251,7 @@ def run_stages(base: DataFrame, plan: StagePlan) -> DataFrame:
         if all(s.shares_of or not plan.pool(s) for s in now):
             continue
         rows = _apply(base, areas, plan, [s for s in active if s.round < number])
-        fresh = _area_shares(rows, plan, now)
+        fresh = _area_shares(rows, plan, now, levels_too)
         areas = stage_table(
             fresh if areas is None else left_join(fresh, areas, AREA), f"area_shares_{number}"
         )
@@ -278,10 +293,17 @@ def run_stage(base: DataFrame, plan: StagePlan, number: int) -> DataFrame:
         before, added = part.before(c, number), f"a{number}_{D[c]}"
         after = added if spec.replaces == c else f"{before} + {added}"
         values[c] = {"deaths_in": before, "alloc": added, "deaths_out": after}
-    tests = {c: spec.eligible(c) for c in values}
+    tests = {c: " AND ".join(filter(None, (spec.eligible(c), _cells_of(c)))) for c in values}
     return _long(run_stages(base, part), values, tests)
 
 
+def _cells_of(cause: str) -> str | None:
+    """SQL condition for the cells a cause can have, None for all."""
+    if cause not in MATERNAL:
+        return None
+    return f"sexo = '{FEMALE}' AND idade IN ({', '.join(repr(a) for a in MATERNAL_AGES)})"
+
+
 _STAGE_FIELDS = ("deaths_in", "alloc", "deaths_out")
 
 
@@ -307,7 +329,8 @@ def final_values(plan: StagePlan) -> dict[str, dict[str, str]]:
 
 def finish(base: DataFrame, plan: StagePlan) -> DataFrame:
     """All stages on a prepared base table."""
-    return _long(run_stages(base, plan), final_values(plan))
+    values = final_values(plan)
+    return _long(run_stages(base, plan), values, {c: _cells_of(c) for c in values})
 
 
 def redistribute_garbage(

@@ -183,10 +183,10 @@ def wide_population(population: DataFrame) -> DataFrame:
     return _pack(coded, ["cdmun", "uf", "ano"], {"cell": "p"}, "NULL")
 
 
-def _area_shares(coded: DataFrame, areas: DataFrame) -> DataFrame:
+def _area_shares(coded: DataFrame, areas: DataFrame, levels_too: bool = False) -> DataFrame:
     """``s_<kind>``: the cell's share at micro, meso or state level, whichever comes first
     with deaths in the group; ``state`` the state's cells. Each level adds up the one
-    below it."""
+    below it. ``l_<kind>``, if wanted: which level that was (1, 2, 3)."""
     joined, source, levels = areas, coded, ("mi", "me", "uf")
     for i, level in enumerate(levels):
         keys = AREA[i:]
@@ -213,6 +213,9 @@ def _area_shares(coded: DataFrame, areas: DataFrame) -> DataFrame:
         columns = [f"{level}_{kind}" for level in levels]
         steps = ", ".join(f"c.{x}" for x in columns)
         ladders.append(f"{_cells(f'coalesce({steps})', *columns)} AS s_{kind}")
+        if levels_too:
+            cases = " ".join(f"WHEN c.{x} IS NOT NULL THEN {i}" for i, x in enumerate(columns, 1))
+            ladders.append(f"{_cells(f'CASE {cases} END', *columns)} AS l_{kind}")
     return joined.selectExpr(*AREA, *ladders, "state")
 
 
@@ -254,7 +257,8 @@ def _attraction(shares: DataFrame, unplaced: DataFrame, state_pop: DataFrame, ac
     joined = left_join(shares, unplaced, ["uf", "ano", "GBD"])
     joined = left_join(joined, state_pop, ["uf", "ano"])
     amounts = [_filled("u_cell", "0D"), *_amounts("u")]
-    filled = joined.selectExpr(*AREA, *[f"s_{k}" for k in KINDS], "state", _filled("p"), *amounts)
+    carried = [c for c in shares.columns if c[:2] in ("s_", "l_")]
+    filled = joined.selectExpr(*AREA, *carried, "state", _filled("p"), *amounts)
     ready = filled.selectExpr(
         "*",
         "transform(state, x -> nullif(x, 0D)) AS t_cell",
@@ -268,7 +272,7 @@ def _attraction(shares: DataFrame, unplaced: DataFrame, state_pop: DataFrame, ac
     used = [f"{x}_{k}" for x in "utq" for k in kinds] or ["state"]
     return ready.selectExpr(
         *AREA,
-        *[f"s_{k}" for k in KINDS],
+        *carried,
         f"{_cells(' + '.join(a) or '0D', *used)} AS a",
         f"{_cells(' + '.join(b) or '0D', *used)} AS b",
     )
@@ -289,18 +293,32 @@ def _allocation(spec) -> str:
     return f"coalesce(u_{kind} * coalesce(k / t_{kind}, s_{kind}, w_{kind}), 0D)"
 
 
+def _level(kind: str) -> str:
+    """SQL for the level whose share serves a cell of a municipality."""
+    return (
+        f"CASE WHEN t_{kind} IS NOT NULL THEN 'mu' WHEN l_{kind} = 1 THEN 'mi' "
+        f"WHEN l_{kind} = 2 THEN 'me' WHEN l_{kind} = 3 THEN 'uf' "
+        f"WHEN w_{kind} IS NOT NULL THEN 'pop' ELSE 'none' END"
+    )
+
+
 def redistribute_unknown(
     counts: DataFrame,
     population: DataFrame,
     codes=UNKNOWN_MUNICIPALITIES,
     options: Options = COMPAT,
     passes=range(1, 8),
+    detail: bool = False,
+    domain: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """Dense grid over the causes of the known half: ``deaths_in``, what the chosen passes
     add (``alloc``) and their sum ``deaths_out``.
 
     Shares always come from the known deaths, so the passes are independent and any subset
-    can be taken.
+    can be taken. ``detail`` adds what each local pass gave (``p1``..) and at which level
+    (``lv1``..), and what came from unknown municipalities by deaths and by population
+    (``far_uf``, ``far_pop``). ``domain`` names the grid's causes and places where ``counts``
+    holds only some years.
     """
     active = frozenset(passes)
     codes = unknown_codes(codes, options)
@@ -309,10 +327,12 @@ def redistribute_unknown(
 
     known = wide.filter(not_in_list("cdmun", codes))
     of_known = known.filter("n_known > 0")
-    causes = (wide if options.causes_from_unknown else of_known).agg(
-        F.collect_set(F.struct("GBD"))
-    ).scalar()
-    places = known.select("cdmun", "micro", "meso", "uf").distinct()
+    if domain is None:
+        domain = (
+            wide if options.causes_from_unknown else of_known,
+            known.select("cdmun", "micro", "meso", "uf").distinct(),
+        )
+    causes, places = domain[0].agg(F.collect_set(F.struct("GBD"))).scalar(), domain[1]
     place_years = domain_rows(places, of_known.select("ano"))
     with_people = stage_table(
         left_join(place_years, wide_population(population), ["cdmun", "uf", "ano"]), "place_years"
@@ -337,7 +357,7 @@ def redistribute_unknown(
     )
     areas = with_people.select("micro", "meso", "uf", "ano").distinct()
     placed = coded.filter(not_in_list("cdmun", codes))
-    shares = _area_shares(placed, areas.select("*", F.inline(causes)))
+    shares = _area_shares(placed, areas.select("*", F.inline(causes)), detail)
     coefficients = stage_table(
         _attraction(shares, unplaced, state_pop, active, options), "unknown_coefficients"
     )
@@ -360,13 +380,20 @@ def redistribute_unknown(
         *_amounts("u"),
         *[f"w_{kind}" for kind in KINDS],
         *[_filled(x) for x in ("a", "b", *(f"s_{kind}" for kind in KINDS))],
+        *[_filled(f"l_{kind}", "CAST(NULL AS INT)") for kind in KINDS if detail],
     ).selectExpr("*", *[f"{_totals('k', kind)} AS t_{kind}" for kind in KINDS])
 
-    terms = [_allocation(spec) for spec in PASSES if spec.local and spec.number in active]
+    local = [spec for spec in PASSES if spec.local and spec.number in active]
+    terms = [_allocation(spec) for spec in local]
+    parts = [f"{_allocation(s)} AS p{s.number}" for s in local] + [
+        f"{_level(KIND[s.missing])} AS lv{s.number}" for s in local
+    ]
     used = [f"{x}_{KIND[s.missing]}" for s in PASSES if s.local and s.number in active for x in "ustw"]
     if any(not spec.local and spec.number in active for spec in PASSES):
         terms += ["k * coalesce(a, 0D)", "coalesce(p * b, 0D)"]
         used += ["p", "a", "b"]
+        parts += ["k * coalesce(a, 0D) AS far_uf", "coalesce(p * b, 0D) AS far_pop"]
+    used += [f"l_{KIND[s.missing]}" for s in local if detail]
     # From here on a cell is a row, and the arithmetic plain compiled columns.
     sexes = ", ".join(f"array_repeat('{sex}', {N_AGES})" for sex in SEXES)
     labels = [f"concat({sexes}) AS sexo", f"flatten(array_repeat({_AGE_LIST}, 2)) AS idade"]
@@ -381,6 +408,7 @@ def redistribute_unknown(
             "idade",
             "k AS deaths_in",
             f"{' + '.join(terms) or '0D'} AS alloc",
+            *(parts if detail else []),
         )
         .selectExpr("*", "deaths_in + alloc AS deaths_out")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass, replace
 from datetime import date
 
 from pyspark.sql import DataFrame
@@ -29,6 +29,11 @@ class Inputs:
     codes: tuple[str, ...] = UNKNOWN_MUNICIPALITIES
 
 
+def replaced(inputs: Inputs, **tables) -> Inputs:
+    """The same inputs but for the tables named."""
+    return replace(inputs, **tables)
+
+
 def step1(inputs: Inputs) -> DataFrame:
     """Records -> death counts, stored: the records are read once."""
     counted = c.build_counts(inputs.records, inputs.age_codes, inputs.cause_map, inputs.geo)
@@ -36,11 +41,11 @@ def step1(inputs: Inputs) -> DataFrame:
 
 
 def step2(
-    inputs: Inputs, counts: DataFrame, options: Options = COMPAT, passes=range(1, 8)
+    inputs: Inputs, counts: DataFrame, options: Options = COMPAT, passes=range(1, 8), **more
 ) -> DataFrame:
     """Counts -> dense grid with the unknown deaths placed."""
     population = prepare_population(inputs.population_wide, counts)
-    return redistribute_unknown(counts, population, inputs.codes, options, passes)
+    return redistribute_unknown(counts, population, inputs.codes, options, passes, **more)
 
 
 def step2_stored(inputs: Inputs, counts: DataFrame, options: Options = COMPAT) -> DataFrame:
@@ -89,19 +94,19 @@ def run_saved(
     stop: int = 3,
 ) -> DataFrame:
     """As ``run``, each step saved below ``root`` under its date (today's, if none is given)
-    and tag; ``start`` 2 or 3 goes on from the steps saved before. The last step's table."""
+    and tag, with the options it ran with; ``start`` 2 or 3 goes on from the steps saved
+    before. The last step's table."""
     day = run_date or date.today().isoformat()
     steps = {
         1: lambda _: step1(inputs),
         2: lambda counts: step2(inputs, counts, options),
         3: lambda known: step3(inputs, known, options),
     }
-    now = None
+    spark, now = inputs.records.sparkSession, None
     for number, step in steps.items():
         if start <= number <= stop:
-            made = step(now)
-            write_step(made, root, number, day, tag)
-            now = read_step(made.sparkSession, root, number, day, tag, made.schema)
+            write_step(step(now), root, number, day, tag, {"options": asdict(options)})
+            now = read_step(spark, root, number, day, tag)
         elif number == start - 1:
-            now = read_step(inputs.records.sparkSession, root, number, day, tag)
+            now = read_step(spark, root, number, day, tag)
     return now

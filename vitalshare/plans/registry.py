@@ -5,23 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalshare.domain import GARBAGE, TARGETS
-from vitalshare.functions import in_list, left_join, stable_round
-from vitalshare.operators import checks
+from vitalshare.domain import CHRONIC, GARBAGE, INJURIES, TARGETS
+from vitalshare.functions import in_list, left_join, sql, stable_round
+from vitalshare.operators import checks, flows
 from vitalshare.operators import counts as c
 from vitalshare.operators import garbage as g
 from vitalshare.operators import grid as gr
 from vitalshare.operators import shares as sh
 from vitalshare.operators.population import prepare_population
 from vitalshare.options import COMPAT, Options
-from vitalshare.plans import pipeline
+from vitalshare.plans import increments, pipeline
 from vitalshare.plans.passes import PASSES
 from vitalshare.plans.stages import stages
 from vitalshare.sources import star_schema as ss
 from vitalshare.sources.files import key_audit as audit_of
 from vitalshare.sources.files import load_inputs, save_inputs
 from vitalshare.sources.readers import union_records
-from vitalshare.sources.writers import new_folder
+from vitalshare.sources.writers import new_folder, observed, stage_table
 
 # Step 1 and 2 results saved in this session, as later steps load them from storage
 # rather than compute them again. ``forget`` makes the next query start from the records.
@@ -151,6 +151,58 @@ def counts_from_files(spark, sf):
     return c.build_counts(i.records, i.age_codes, i.cause_map, i.geo)
 
 
+def death_counts_sql(spark, sf):
+    """Step 1 in SQL, with the column rules registered as SQL functions."""
+    sql.register(spark)
+    i = ss.inputs(spark, sf)
+    tables = {"records": i.records, "age_codes": i.age_codes, "cause_map": i.cause_map, "geo": i.geo}
+    return spark.sql(sql.DEATH_COUNTS, **tables)
+
+
+def label_near_misses(spark, sf):
+    """Labels of the cause map, or of the published remainder report, that are not known but
+    nearly are: the known label they resemble and the deaths that such a spelling loses.
+
+    Pairs are compared within the first four letters, so a label meets its own family only."""
+    report = F.explode(F.array(*[F.lit(x) for x in checks.REPORT_EXCLUDES]))
+    used = ss.cause_map(spark).select(F.col("class_label").alias("label"))
+    used = used.unionByName(spark.range(1).select(report.alias("label"))).distinct()
+    known = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in (*TARGETS, *GARBAGE)])).alias("known"))
+    block = lambda c: F.left(c, F.lit(4))
+    strange = used.join(known, F.col("label") == F.col("known"), "left_anti")
+    near = strange.join(known, block("label") == block("known")).withColumn(
+        "distance", F.levenshtein("label", "known")
+    )
+    near = near.where(F.col("distance") <= F.greatest(F.lit(2), F.length("label") / 3))
+    deaths = c.deaths_by(counts(spark, sf), "GBD").withColumnRenamed("GBD", "known")
+    return left_join(near, deaths, ["known"]).select(
+        "label", "known", "distance", F.coalesce("deaths", F.lit(0.0)).alias("deaths")
+    )
+
+
+def default_run_date(spark, sf):
+    """A step saved without a date lies under today's."""
+    made = pipeline.run_saved(_from_files(spark, sf), new_folder(spark), stop=1)
+    day = F.regexp_extract(F.input_file_name(), "run_date=([^/]*)", 1).alias("run_date")
+    return made.groupBy(day).agg(F.sum("obitos").alias("deaths"))
+
+
+def final_by_increments(spark, sf):
+    """Totals by year of two runs over files: the first finds a year without every seventh of
+    its municipalities' records, the second the whole year, and only does that year again."""
+    folder, state = new_folder(spark), new_folder(spark)
+    i = ss.inputs(spark, sf)
+    late = (F.substring("DTOBITO", 5, 4) == "1995") & (F.crc32(F.concat("CODMUNRES", "CAUSABAS")) % 7 == 0)
+    save_inputs(pipeline.replaced(i, records=i.records.where(~late)), folder)
+    files = load_inputs(spark, folder, ss.CODES)
+    increments.update(files, f"{folder}/records", state)
+    year = i.records.where(F.substring("DTOBITO", 5, 4) == "1995")
+    year.write.mode("overwrite").parquet(f"{folder}/records/year=1995")
+    again = increments.update(files, f"{folder}/records", state)
+    sums = c.deaths_by(again.result, "ano", measure="deaths_out")
+    return _rounded(sums, "deaths").withColumn("folders_read", F.lit(len(again.folders)))
+
+
 def population_from_files(spark, sf):
     return prepare_population(_from_files(spark, sf).population_wide, counts(spark, sf))
 
@@ -260,6 +312,17 @@ def _unknown_pass(number):
     return query
 
 
+def _detail(spark, sf):
+    """The step-2 grid with its passes apart, and its totals, observed as it is written."""
+
+    def build():
+        rows = pipeline.step2(ss.inputs(spark, sf), counts(spark, sf), detail=True)
+        rows, seen = observed(rows, known=F.sum("deaths_in"), placed=F.sum("deaths_out"))
+        return stage_table(rows, "unknown_detail"), seen.get
+
+    return _saved(spark, sf, "detail", build)
+
+
 def unknown_total(spark, sf):
     sums = known(spark, sf).groupBy("cdmun", "ano", "GBD", "sexo").agg(
         F.count(F.lit(1)).alias("n_cells"),
@@ -293,6 +356,32 @@ def level_shares(spark, sf):
     return out
 
 
+def level_rollup(spark, sf):
+    """Deaths of the ten pools at all five levels, by year and sex: one aggregation over
+    grouping sets."""
+    rows = known(spark, sf).withColumn("reg", F.substring("cdmun", 1, 1))
+    pools = []
+    for spec in stages()[:10]:
+        for test in {spec.eligible(x) for x in spec.pool}:
+            causes = [x for x in spec.pool if spec.eligible(x) == test]
+            held = F.col("GBD").isin(*causes)
+            pools.append(F.when(held & F.expr(test) if test else held, F.lit(spec.name)))
+    rows = rows.withColumn("pool", F.explode(F.array_compact(F.array(*pools))))
+    keys = ["reg", "uf", "meso", "micro", "cdmun"]
+    own = ["pool", "ano", "sexo"]
+    sums = rows.groupingSets([[*own, *keys[: i + 1]] for i in range(5)], *own, *keys).agg(
+        F.sum("deaths_out").alias("deaths"),
+        F.count(F.lit(1)).alias("n_cells"),
+        F.grouping_id().alias("depth"),
+    )
+    steps = {0: "mu", 1: "mi", 3: "me", 7: "uf", 15: "rg"}  # a bit for each key left out
+    name = F.coalesce(*[F.when(F.col("depth") == bits, step) for bits, step in steps.items()])
+    place = F.coalesce(*[F.when(F.col("depth") == bits, F.concat_ws("/", *keys[: 5 - i])) for i, bits in enumerate(steps)])
+    return _rounded(sums, "deaths").select(
+        *own, name.alias("level"), place.alias("place"), "n_cells", "deaths"
+    )
+
+
 def _garbage(spark, sf, options: Options = COMPAT):
     return _saved(
         spark,
@@ -306,13 +395,38 @@ def _stage(number):
     def query(spark, sf):
         base, plan = _garbage(spark, sf)
         rows = g.run_stage(base, plan, number)
-        return _moments(rows, ["cdmun", "GBD"], "deaths_in", "alloc", "deaths_out", digits=4).drop(
-            "n_rows", "deaths_in_n", "alloc_n", "deaths_out_n"
-        )
+        return _moments(rows, ["cdmun", "ano", "GBD", "sexo"], "deaths_in", "alloc", "deaths_out")
 
     return query
 
 
+def mass_balance(spark, sf):
+    """From records to final deaths by year: every way deaths leave or are added, and what
+    remains unexplained; for all years what the writing of step 2 observed."""
+    detail, seen = _detail(spark, sf)
+    balance = flows.mass_balance(counts(spark, sf), detail, *_garbage(spark, sf), ss.CODES)
+    whole = spark.range(1).select(
+        F.lit("all").alias("ano"),
+        F.inline(F.array(*[F.struct(F.lit(k).alias("entry"), F.lit(v).alias("deaths")) for k, v in seen.items()])),
+    )
+    deaths = F.when(F.abs("deaths") < 1e-6, 0.0).otherwise(stable_round("deaths", 5)).alias("deaths")
+    return balance.unionByName(whole).select("ano", "entry", deaths)
+
+
+def allocation_levels(spark, sf):
+    """Deaths that each pass and stage moved, by state and by the level that served them."""
+    parts = flows.unknown_levels(_detail(spark, sf)[0], "uf").unionByName(
+        flows.stage_levels(*_garbage(spark, sf), "uf")
+    )
+    return parts.select("uf", "part", "level", stable_round("deaths", 4).alias("deaths"))
+
+
+def cause_flows(spark, sf):
+    """Garbage label -> target cause by state and year."""
+    rows = flows.cause_flows(*_garbage(spark, sf), "uf", "ano")
+    return rows.select("uf", "ano", "label", "target", stable_round("deaths", 4).alias("deaths"))
+
+
 def remainder_report(spark, sf):
     return _rounded(checks.remainder(known(spark, sf)), "redis")
 
@@ -334,12 +448,26 @@ def unallocated(spark, sf):
 
 
 def weight_audit(spark, sf):
-    """Weight rows missing or repeated, with the deaths of the label they concern."""
-    deaths = c.deaths_by(counts(spark, sf).filter(F.col("GBD").isin(*GARBAGE)), "GBD")
-    audit = checks.weight_audit(ss.weights(spark))
-    return deaths.join(
-        audit.groupBy(F.col("CG").alias("GBD")).agg(F.count(F.lit(1)).alias("n_bad")), "GBD", "left"
-    ).select("GBD", "deaths", F.coalesce("n_bad", F.lit(0)).alias("n_bad"))
+    """Weight rows missing or repeated, with the deaths of the label they concern. The table
+    audited lacks the injury with most deaths for one label and has the chronic cause with most
+    deaths twice for another, once under an age text that this label's weights do not look at."""
+    deaths = c.deaths_by(counts(spark, sf), "GBD")
+
+    def most(causes):
+        top = deaths.where(in_list("GBD", causes)).agg(F.max_by("GBD", F.struct("deaths", "GBD")))
+        return top.scalar()
+
+    whole = ss.weights(spark)
+    spoilt = whole.where(~((F.col("CG") == "_x59") & (F.col("target") == most(INJURIES)))).unionByName(
+        whole.where((F.col("CG") == "_y34") & (F.col("target") == most(CHRONIC))).withColumn("age", F.lit("todas"))
+    )
+    audit = checks.weight_audit(spoilt).groupBy(F.col("CG").alias("GBD")).agg(
+        F.count(F.when(F.col("n") == 0, 1)).alias("n_missing"),
+        F.count(F.when(F.col("n") > 1, 1)).alias("n_repeated"),
+    )
+    zero = [F.coalesce(x, F.lit(0)).alias(x) for x in ("n_missing", "n_repeated")]
+    labels = deaths.where(F.col("GBD").isin(*GARBAGE))
+    return left_join(labels, audit, ["GBD"]).select("GBD", "deaths", *zero)
 
 
 def final_by_year(spark, sf):
@@ -393,6 +521,9 @@ QUERIES = {
         anomaly_age,
         row_preservation,
         counts_from_files,
+        death_counts_sql,
+        label_near_misses,
+        default_run_date,
         population_from_files,
         key_audit,
         unknown_split,
@@ -407,7 +538,7 @@ QUERIES = {
     )
 }
 QUERIES |= {f"unknown_p{p.number}": _unknown_pass(p.number) for p in PASSES}
-QUERIES |= {"unknown_total": unknown_total, "level_shares": level_shares}
+QUERIES |= {"unknown_total": unknown_total, "level_shares": level_shares, "level_rollup": level_rollup}
 QUERIES |= {f"stage_{s.name}": _stage(s.number) for s in stages()}
 QUERIES |= {
     f.__name__: f
@@ -418,6 +549,10 @@ QUERIES |= {
         weight_audit,
         final_by_year,
         final_from_saved_steps,
+        final_by_increments,
+        mass_balance,
+        allocation_levels,
+        cause_flows,
         final_by_cause_uf,
         final_grid,
         corrected_by_year,
