@@ -11,7 +11,7 @@ wherever it starts, so it has the same anchors at the same offsets everywhere.
 (rank, position) rows by rank, and anchors whose rank is unique go. An anchor's next rank is the
 pair of its own and that of the anchor 1, 2, 4, ... anchors on, ranked the same way, until it is
 unique or the pair reaches past what strings beginning at the anchor's positions are sure to
-hold. Such an anchor stays, and goes on to show its ranks to others as long as they come again.
+hold (or few anchors can be ranked any further). Such an anchor stays, and goes on to show its ranks to others as long as they come again.
 Whole copies of a text are one text.
 
 *Borders.* What is left is repeated almost everywhere. The positions before an anchor are taken
@@ -45,6 +45,7 @@ from vitalshare.llm.common import clustered, mix, slices, spread
 from vitalshare.sources.writers import stage_table
 
 SLICE = 1 << 20
+WORTH = 1 / 8
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 VALUES = [mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(b)) for b in BASES]
@@ -231,15 +232,19 @@ def _surviving(state: DataFrame, span: int) -> DataFrame:
 
 
 def candidates(texts: DataFrame, plan: Plan) -> DataFrame:
-    """u, v and the anchors (kept) of (u, v, text) that outlast the doubling."""
+    """u, v and the anchors (kept) of (u, v, text) that outlast the doubling. It only saves work
+    below, so it ends once fewer than ``WORTH`` of the anchors have further ranks."""
     state = stage_table(texts.mapInArrow(lambda b: _first_ranks(b, plan), _STATE), "ranks")
     span = 1
-    reach = F.max(F.array_max(F.transform("at", lambda x: x.bitwiseAND(0xFFFF))))
-    while (state.agg(reach).first()[0] or 0) >= 2 * span:
+    while True:
+        left, far = state.agg(
+            F.sum(F.size("at")), F.sum(F.size(F.filter("at", lambda x: x.bitwiseAND(0xFFFF) >= 2 * span)))
+        ).first()
+        if (far or 0) <= WORTH * (left or 0):
+            return _surviving(state, span)
         grown = _surviving(state, span).mapInArrow(lambda b, n=span: _next_ranks(b, n), _STATE)
         state = stage_table(grown.where("size(at) > 0"), "ranks")
         span *= 2
-    return _surviving(state, span)
 
 
 _PIECES = "u long, v long, top int, shared long, u1 long, u2 long, ask byte"
