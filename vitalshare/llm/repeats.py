@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalshare.llm.common import clustered, mix, slices, spread
-from vitalshare.sources.writers import stage_table
+from vitalshare.sources.writers import discard, stage_table
 
 SLICE = 1 << 20
 WORTH = 1 / 8
@@ -231,9 +231,17 @@ def _surviving(state: DataFrame, span: int) -> DataFrame:
     )
 
 
-def candidates(texts: DataFrame, plan: Plan) -> DataFrame:
-    """u, v and the anchors (kept) of (u, v, text) that outlast the doubling. It only saves work
-    below, so it ends once fewer than ``WORTH`` of the anchors have further ranks."""
+def _deleted(stored: DataFrame) -> None:
+    """Deletes the files of a stored table that nothing reads any more."""
+    files = stored.inputFiles()
+    if files:
+        discard(stored.sparkSession, files[0].rsplit("/", 1)[0])
+
+
+def candidates(texts: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame]:
+    """u, v and the anchors (kept) of (u, v, text) that outlast the doubling, and the stored
+    table they are read from. It only saves work below, so it ends once fewer than ``WORTH`` of
+    the anchors have further ranks."""
     state = stage_table(texts.mapInArrow(lambda b: _first_ranks(b, plan), _STATE), "ranks")
     span = 1
     while True:
@@ -241,9 +249,10 @@ def candidates(texts: DataFrame, plan: Plan) -> DataFrame:
             F.sum(F.size("at")), F.sum(F.size(F.filter("at", lambda x: x.bitwiseAND(0xFFFF) >= 2 * span)))
         ).first()
         if (far or 0) <= WORTH * (left or 0):
-            return _surviving(state, span)
+            return _surviving(state, span), state
         grown = _surviving(state, span).mapInArrow(lambda b, n=span: _next_ranks(b, n), _STATE)
-        state = stage_table(grown.where("size(at) > 0"), "ranks")
+        before, state = state, stage_table(grown.where("size(at) > 0"), "ranks")
+        _deleted(before)
         span *= 2
 
 
@@ -329,8 +338,10 @@ def repeated_positions(texts: DataFrame, plan: Plan) -> DataFrame:
     """u, v, first, last: ranges of positions of (u, v, text) whose strings start elsewhere
     too. ``texts`` should be clustered by u, v."""
     key = ["u", "v"]
-    pieces = texts.join(candidates(texts, plan), key).select(*key, "text", "kept")
+    left, ranks = candidates(texts, plan)
+    pieces = texts.join(left, key).select(*key, "text", "kept")
     pieces = stage_table(pieces.mapInArrow(lambda b: _pieces(b, plan), _PIECES), "pieces")
+    _deleted(ranks)
     strings = ["shared", "u1", "u2"]
     kinds = pieces.where("ask > 0").groupBy(*strings).agg(
         F.sum("ask").alias("n"), F.min(F.struct(*key, "top")).alias("one")
