@@ -492,6 +492,18 @@ def oracle_sql() -> dict[str, str]:
         ),
     }
     q["counts_from_files"], q["population_from_files"] = q["death_counts"], q["population_long"]
+    q["quarantine_lines"] = _with(
+        RECORDS,
+        "SELECT charset, reason, CASE WHEN reason IS NULL THEN CASE charset "
+        "WHEN 'windows-1252' THEN 'São João – 5 €' WHEN 'ISO-8859-7' THEN 'Αθήνα' "
+        "ELSE 'Αθήνα – São João' END END AS nome, count(*) AS n, "
+        "count(*) FILTER (reason IS NULL) AS n_kept, count(reason) AS n_rejected, "
+        "sum(count(*)) OVER (PARTITION BY charset)::BIGINT AS n_written FROM ("
+        "SELECT CASE WHEN DTOBITO[5:8] IN ('1992', '1993') THEN 'windows-1252' "
+        "WHEN DTOBITO[5:8] IN ('1994', '1995') THEN 'ISO-8859-7' ELSE 'UTF-8' END AS charset, "
+        "CASE WHEN SEXO <> '9' THEN NULL WHEN DTOBITO[3:4] IN ('02', '03') THEN 'columns' "
+        "WHEN DTOBITO[3:4] = '04' THEN 'bytes' END AS reason FROM records) GROUP BY charset, reason",
+    )
     q["key_audit"] = _with(
         RECORDS,
         "SELECT 'age_codes' AS \"table\", count(*) + 1 AS n_rows, count(*) AS n_keys, "

@@ -14,7 +14,8 @@ SF = "/root/testdata/sf0.001"
      "unknown_p1", "unknown_p7", "unknown_total", "stage_inj_hom_sui", "final_by_year",
      "label_audit", "split_check", "key_audit", "counts_from_files", "conservation_checks",
      "unallocated", "stage_maternal", "mass_balance", "allocation_levels", "cause_flows",
-     "level_rollup", "weight_audit", "death_counts_sql", "label_near_misses"],
+     "level_rollup", "weight_audit", "death_counts_sql", "label_near_misses",
+     "quarantine_lines"],
 )
 def test_query_matches_sql(spark, name):
     result = compare(spark, connect(SF), SF, name)

@@ -17,6 +17,7 @@ from vitalshare.options import COMPAT, Options
 from vitalshare.plans import increments, pipeline
 from vitalshare.plans.passes import PASSES
 from vitalshare.plans.stages import stages
+from vitalshare.sources import checked
 from vitalshare.sources import star_schema as ss
 from vitalshare.sources.files import key_audit as audit_of
 from vitalshare.sources.files import load_inputs, save_inputs
@@ -207,6 +208,37 @@ def population_from_files(spark, sf):
     return prepare_population(_from_files(spark, sf).population_wide, counts(spark, sf))
 
 
+NAMES = {"windows-1252": "São João – 5 €", "ISO-8859-7": "Αθήνα", "UTF-8": "Αθήνα – São João"}
+
+
+def quarantine_lines(spark, sf):
+    """The records as lines of three charsets, by year, some with a field too few or too many or
+    with bytes their charset lacks: lines written, and kept or rejected, by charset and reason."""
+    lacking = {"windows-1252": "\x81", "ISO-8859-7": "\xd2", "UTF-8": "\xff"}
+    as_read = lambda x, charset: x.encode(charset).decode(checked.BYTES)
+    folder, year = new_folder(spark), F.substring("DTOBITO", 5, 4)
+    charset = (
+        F.when(year.isin("1992", "1993"), "windows-1252").when(year.isin("1994", "1995"), "ISO-8859-7")
+    ).otherwise("UTF-8")
+    fault = F.when(F.col("SEXO") == "9", F.substring("DTOBITO", 3, 2))
+    name = F.coalesce(*[F.when(F.col("charset") == x, as_read(y, x)) for x, y in NAMES.items()])
+    extra = F.coalesce(*[F.when(F.col("charset") == x, y) for x, y in lacking.items()])
+    name = F.when(fault == "04", F.concat(name, extra)).otherwise(name)
+    fields = F.concat_ws(",", "DTOBITO", "CODMUNRES", "CAUSABAS")
+    line = F.when(fault == "02", fields).otherwise(F.concat_ws(",", fields, name))
+    line = F.when(fault == "03", F.concat(line, F.lit(",x"))).otherwise(line)
+    records = ss.inputs(spark, sf).records.withColumn("charset", charset)
+    bytes_of = F.encode(line, checked.BYTES).cast("string").alias("value")
+    records.select("charset", bytes_of).write.partitionBy("charset").text(folder)
+    columns = ["DTOBITO", "CODMUNRES", "CAUSABAS", "nome"]
+    lines = checked.read_checked(spark, folder, columns, tuple(NAMES), header=False)
+    found = lines.groupBy(F.col("_charset").alias("charset"), F.col("_reason").alias("reason"), "nome").agg(
+        F.count(F.lit(1)).alias("n"), F.count("CAUSABAS").alias("n_kept"), F.count("_line").alias("n_rejected")
+    )
+    written = spark.read.text(folder).groupBy("charset").agg(F.count(F.lit(1)).alias("n_written"))
+    return left_join(found, written, ["charset"])
+
+
 def final_from_saved_steps(spark, sf):
     """Totals by year of a run from files that saves its steps, stopped after the second and
     taken up again from what was saved."""
@@ -525,6 +557,7 @@ QUERIES = {
         label_near_misses,
         default_run_date,
         population_from_files,
+        quarantine_lines,
         key_audit,
         unknown_split,
         split_check,
