@@ -197,6 +197,37 @@ def test_dense_groups_longer_than_the_window(spark, noise):
     assert [found[i].component_id for i in range(len(x))] == roots_of(len(x), pairs)
 
 
+def test_recall_in_a_large_label(spark):
+    """2,000 pairs at a cosine of 0.98 to 0.99 among 20,000 vectors of one label, 300 windows."""
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((20000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.standard_normal((2000, 32))
+    side -= (side * x[:2000]).sum(axis=1, keepdims=True) * x[:2000]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cosine = rng.uniform(0.9801, 0.99, (2000, 1))
+    x[2000:4000] = cosine * x[:2000] + np.sqrt(1 - cosine**2) * side
+    rows = [(i, v, 1) for i, v in enumerate(x.tolist())]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    found = vector_dedup.near_duplicates(table, 0.98, window=64)
+    near = np.concatenate([x[i : i + 2000] @ x.T for i in range(0, 20000, 2000)]) >= 0.98
+    links = near.sum(axis=1) - 1
+    got = np.array([r.n_links for r in found.orderBy("vec_id").collect()])
+    assert (got <= links).all()
+    recall = got.sum() / links.sum()
+    print(f"recall {recall:.4f} of {links.sum() // 2} pairs")
+    assert recall >= 0.97
+
+
+def test_passes_grow_with_the_label():
+    sizes = [0, 1024, 10**6, 10**8, 10**9, 10**11]
+    passes = [vector_dedup.passes_for(n, 0.98, 1024) for n in sizes]
+    assert passes == [8, 8, 8, 12, 15, 25]
+    for n, p in zip(sizes[1:], passes[1:]):
+        bits = np.ceil(np.log2(n / 1024))
+        assert (1 - (1 - np.arccos(0.98) / np.pi) ** bits) ** p <= vector_dedup.MISSED
+
+
 def test_copies_link_with_each_other(spark):
     rows = [(i, [1.0, 2.0], 1) for i in range(50)] + [(7, [1.0, 2.0], 1)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")

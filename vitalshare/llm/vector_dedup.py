@@ -13,9 +13,11 @@ are united across passes by connected components.
 Every link that is reported was checked with the cosine in double precision. A pair is found
 if some pass puts it within the window or in one bucket: with at most ``window`` rows a label
 all pairs are compared; beyond that, however dense the group, a pair at a cosine of 0.98 is
-missed with a chance of at most (1 - 0.936 ** bits) ** 8, where bits = log2(n / window), rounded
-up: 1e-6 for 8 windows, 0.003 for a million rows a label, 0.04 for a hundred million. Work on a
-bucket grows with the square of its size, as its links may.
+missed with a chance of at most (1 - 0.936 ** bits) ** passes, where bits = log2(n / window),
+rounded up: 1e-6 for 8 windows, 0.003 for a million rows a label. From there on the number of
+passes grows with the largest label, so that the chance stays below ``MISSED``: 12 passes for a
+hundred million rows, 15 for a thousand million. Work on a bucket grows with the square of its
+size, as its links may.
 
 Defined results: vectors that are null, empty, zero or hold a null or non-finite component, and
 those without a label, link with nothing; vectors of different length never link; repeated rows
@@ -25,6 +27,8 @@ ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -35,7 +39,8 @@ from pyspark.sql import functions as F
 from vitalshare.llm.components import components
 from vitalshare.sources.writers import stage_table
 
-PASSES = 8
+PASSES = 8  # at least
+MISSED = 0.01  # chance of missing a pair at the threshold, at most
 WINDOW = 1024
 BITS = 62
 DEALT = 4  # windows in a block of a long bucket
@@ -53,10 +58,22 @@ def projections(size: int, passes: int) -> np.ndarray:
     return np.random.default_rng([SEED, size]).standard_normal((size, passes * BITS))
 
 
+def passes_for(n: int, threshold: float, window: int) -> int:
+    """Passes that put a pair at the threshold in one bucket of a label of n rows at least once
+    with a chance of 1 - ``MISSED``."""
+    bits = max(math.ceil(math.log2(max(n, 1) / window)), 0)
+    together = (1 - math.acos(threshold) / math.pi) ** bits
+    return PASSES if together == 1 else max(PASSES, math.ceil(math.log(MISSED) / math.log1p(-together)))
+
+
 def near_duplicates(
-    vectors: DataFrame, threshold: float = 0.98, passes: int = PASSES, window: int = WINDOW
+    vectors: DataFrame, threshold: float = 0.98, passes: int | None = None, window: int = WINDOW
 ) -> DataFrame:
-    """vec_id, n_links, component_id, kept for every row of (vec_id, embedding, label)."""
+    """vec_id, n_links, component_id, kept for every row of (vec_id, embedding, label); the number
+    of ``passes`` follows from the largest label unless it is given."""
+    if passes is None:
+        sizes = vectors.where("label is not null").groupBy("label").count()
+        passes = passes_for(sizes.agg(F.max("count")).first()[0] or 0, threshold, window)
     values = F.col("embedding").cast("array<double>")
     usable = F.col("label").isNotNull() & finite(values) & F.exists(values, lambda x: x != 0)
     text = F.concat_ws("|", F.col("label").cast("string"), values.cast("string"))
