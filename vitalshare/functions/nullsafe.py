@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitalshare.domain import UNKNOWN
+from vitalshare.functions.exact import exact_sum
 
 # How the age text of a record maps onto an age group before banding (fixed values).
 AGE_TEXT = {
@@ -75,8 +76,8 @@ def share(part, total) -> Column:
 
 
 def total(c) -> Column:
-    """Sum that ignores NULL and is 0 when nothing is left."""
-    return F.coalesce(F.sum(_col(c)), F.lit(0.0))
+    """Sum that ignores NULL and is 0 when nothing is left, the same in any order of rows."""
+    return F.coalesce(exact_sum(_col(c).cast("double")), F.lit(0.0))
 
 
 def strict_total(c) -> Column:

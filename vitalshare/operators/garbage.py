@@ -26,8 +26,8 @@ from vitalshare.domain import (
     TARGETS,
     age_class,
 )
-from vitalshare.functions import left_join
-from vitalshare.operators.grid import kernel
+from vitalshare.functions import exact, left_join
+from vitalshare.operators.grid import possible_cells
 from vitalshare.options import COMPAT, Options
 from vitalshare.plans.stages import StageSpec, stages
 from vitalshare.sources.writers import stage_table
@@ -207,11 +207,9 @@ def _area_shares(df: DataFrame, plan: StagePlan, specs, levels_too: bool = False
     micro-region: how many a macro-region has is geography and does not grow with deaths.
     """
     pools = {s.number: plan.pool(s) for s in specs if s.shares_of is None and plan.pool(s)}
-    sums = [
-        F.sum(F.expr(plan.pooled(s, c))).alias(f"s{s.number}_{D[c]}")
-        for s in specs
-        for c in pools.get(s.number, ())
-    ]
+    sums = {
+        f"s{s.number}_{D[c]}": F.expr(plan.pooled(s, c)) for s in specs for c in pools.get(s.number, ())
+    }
     if not sums:
         return df.select(*AREA).distinct()
     names = {n: [f"s{n}_{D[c]}" for c in pool] for n, pool in pools.items()}
@@ -220,10 +218,19 @@ def _area_shares(df: DataFrame, plan: StagePlan, specs, levels_too: bool = False
         "uf": Window.partitionBy("reg", *_CELL, "uf"),
         "rg": Window.partitionBy("reg", *_CELL),
     }
-    micro = df.groupBy(*AREA).agg(*sums)
-    every = [c for columns in names.values() for c in columns]
+    # added up as integers, so that shares have the same bits however rows are dealt
+    whole = {f"{part}_{c}": x for c, v in sums.items() for part, x in zip(("hi", "lo"), exact.parts(v))}
+    micro = df.groupBy(*AREA).agg(*[F.sum(x).alias(c) for c, x in whole.items()])
     for level, window in levels.items():
-        micro = micro.withColumns({f"{level}_{c}": F.sum(c).over(window) for c in every})
+        micro = micro.withColumns({f"{level}_{c}": F.sum(c).over(window) for c in whole})
+    micro = micro.select(
+        *AREA,
+        *[
+            exact.value(F.col(f"{level}hi_{c}"), F.col(f"{level}lo_{c}")).alias(f"{level}{c}")
+            for level in ("", *(f"{x}_" for x in levels))
+            for c in sums
+        ],
+    )
     totals = {
         f"{level}t{n}": F.expr(f"nullif({' + '.join(level + c for c in columns)}, 0D)")
         for level in ("", "me_", "uf_", "rg_")
@@ -351,9 +358,7 @@ def complete(result: DataFrame, known: DataFrame, options: Options = COMPAT) ->
     """Dense result over all 52 target causes: 0 where nothing was counted, NULL for a
     cause the known data never has (0 with ``absent_causes_zero``)."""
     place_years = known.select("cdmun", "micro", "meso", "uf", "ano").distinct()
-    cells = place_years.select("*", F.inline(kernel())).withColumn(
-        "reg", F.substring("cdmun", 1, 1)
-    )
+    cells = possible_cells(place_years).withColumn("reg", F.substring("cdmun", 1, 1))
     joined = left_join(cells, result.drop("micro", "meso", "uf", "reg"), ["cdmun", *_CELL, "GBD"])
     seen = known.select("GBD").distinct().withColumn("seen", F.lit(True))
     joined = left_join(joined, seen, ["GBD"])

@@ -38,6 +38,11 @@ def domain_rows(places: DataFrame, years: DataFrame) -> DataFrame:
     return places.select("*", F.inline(years.agg(F.collect_set(F.struct("ano"))).scalar()))
 
 
+def possible_cells(place_years: DataFrame) -> DataFrame:
+    """Every possible (GBD, sexo, idade) cell of every row; the dense results' only grid."""
+    return place_years.select("*", F.inline(kernel()))
+
+
 def target_grid(counts: DataFrame, geo: DataFrame, codes=UNKNOWN_MUNICIPALITIES) -> DataFrame:
     """Grid over the target causes with the known deaths, NULL where none was counted.
 
@@ -48,9 +53,8 @@ def target_grid(counts: DataFrame, geo: DataFrame, codes=UNKNOWN_MUNICIPALITIES)
     places = left_join(
         known.select("cdmun").distinct(), geo.select("cdmun", "micro", "meso"), ["cdmun"]
     )
-    cells = domain_rows(places, known.select("ano").distinct()).select(
-        "*", F.inline(kernel()), F.substring("cdmun", 1, 2).alias("uf")
-    )
+    cells = possible_cells(domain_rows(places, known.select("ano").distinct()))
+    cells = cells.withColumn("uf", F.substring("cdmun", 1, 2))
     deaths = (
         known.filter(F.col("GBD").isin(*TARGETS))
         .groupBy("cdmun", "ano", "idade", "sexo", "GBD")

@@ -1,8 +1,9 @@
 """Group totals and shares on the long grid.
 
 A window is used only where a group is bounded by the grid itself (the cells of one
-municipality, year and cause: 44 at most). Larger groups are summed with map-side
-combine and joined back, so no task ever holds a whole state.
+municipality, year and cause: 44 at most). Rows are dealt once by that group, which serves
+every window inside it, and not at all where they are stored clustered by place and year. Larger groups are summed with map-side combine and joined back, so no
+task ever holds a whole state.
 """
 
 from __future__ import annotations
@@ -25,11 +26,14 @@ LEVELS = {
 def cell_shares(grid: DataFrame, measure: str = "obitos") -> DataFrame:
     """Shares of a municipality's deaths over ages (``_id``), sexes (``_s``) and both."""
 
+    place = ["cdmun", "micro", "meso", "uf", "GBD", "ano"]
+
     def over(*keys):
-        return Window.partitionBy("cdmun", "micro", "meso", "uf", "GBD", "ano", *keys)
+        return Window.partitionBy(*place, *keys)
 
+    # the whole place first: the rows it brings together are those the other two need
     out = grid
-    for suffix, keys in (("_id", ("sexo",)), ("_s", ("idade",)), ("", ())):
+    for suffix, keys in (("", ()), ("_s", ("idade",)), ("_id", ("sexo",))):
         group = F.coalesce(F.sum(measure).over(over(*keys)), F.lit(0.0))
         out = out.withColumn(f"mu{suffix}", group).withColumn(
             f"pr_mu{suffix}", share(measure, f"mu{suffix}")
@@ -39,10 +43,12 @@ def cell_shares(grid: DataFrame, measure: str = "obitos") -> DataFrame:
 
 def population_shares(grid: DataFrame) -> DataFrame:
     """The eight strict population shares, within municipalities and within states."""
-    out = grid
-    missing = (("_id_s", ["idade", "sexo"]), ("_id", ["sexo"]), ("_s", ["idade"]), ("_t", []))
+    place = ["cdmun", "ano", "GBD", "uf"]
+    out = grid.repartition(*place)
+    # the first three share one sort: the keys of each begin those of the one before
+    missing = (("_id_s", ["idade", "sexo"]), ("_s", ["idade"]), ("_t", []), ("_id", ["sexo"]))
     for suffix, kept in missing:
-        w = Window.partitionBy("cdmun", "ano", "GBD", "uf", *kept)
+        w = Window.partitionBy(*place, *kept)
         strict = F.when(
             F.count("pop").over(w) == F.count(F.lit(1)).over(w), F.sum("pop").over(w)
         )
@@ -52,6 +58,7 @@ def population_shares(grid: DataFrame) -> DataFrame:
     sums = grid.groupBy(*keys).agg(
         F.sum("pop").alias("_sum"), F.count("pop").alias("_n"), F.count(F.lit(1)).alias("_all")
     )
+    sums = sums.repartition("ano", "GBD", "uf")
     for suffix, kept in missing:
         w = Window.partitionBy("ano", "GBD", "uf", *kept)
         strict = F.when(F.sum("_n").over(w) == F.sum("_all").over(w), F.sum("_sum").over(w))
@@ -65,7 +72,7 @@ def population_shares(grid: DataFrame) -> DataFrame:
 def region_shares(grid: DataFrame, level: str, measure: str = "obitos") -> DataFrame:
     """Deaths of each cell at a level with its shares over ages, sexes and both."""
     place = LEVELS[level]
-    cells = grid.groupBy(*place, "idade", "GBD", "ano", "sexo").agg(total(measure).alias("ob"))
+    cells = region_cells(grid, level, measure).repartition(*place, "GBD", "ano")
     for suffix, kept in (("id", ["sexo"]), ("s", ["idade"]), ("id_s", [])):
         w = Window.partitionBy(*place, "GBD", "ano", *kept)
         cells = cells.withColumn(f"ob_{level}_{suffix}", F.sum("ob").over(w)).withColumn(
@@ -74,6 +81,12 @@ def region_shares(grid: DataFrame, level: str, measure: str = "obitos") -> DataF
     return cells.withColumnRenamed("ob", f"ob_{level}")
 
 
+def region_cells(grid: DataFrame, level: str, measure: str = "obitos") -> DataFrame:
+    """Deaths (``ob``) of each cell at a level, from the grid or the cells of a finer level."""
+    keys = [*LEVELS[level], "idade", "GBD", "ano", "sexo"]
+    return grid.groupBy(*keys).agg(total(measure).alias("ob"))
+
+
 def cause_shares(cells: DataFrame, measure: str, level: str) -> DataFrame:
     """Share of each cause in a cell's deaths at one level, with the cell's total."""
     keys = [*LEVELS[level], "idade", "ano", "sexo"]

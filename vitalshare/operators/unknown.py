@@ -310,6 +310,7 @@ def redistribute_unknown(
     passes=range(1, 8),
     detail: bool = False,
     domain: tuple[DataFrame, DataFrame] | None = None,
+    dense: bool = True,
 ) -> DataFrame:
     """Dense grid over the causes of the known half: ``deaths_in``, what the chosen passes
     add (``alloc``) and their sum ``deaths_out``.
@@ -318,7 +319,9 @@ def redistribute_unknown(
     can be taken. ``detail`` adds what each local pass gave (``p1``..) and at which level
     (``lv1``..), and what came from unknown municipalities by deaths and by population
     (``far_uf``, ``far_pop``). ``domain`` names the grid's causes and places where ``counts``
-    holds only some years.
+    holds only some years. Without ``dense`` a place, year and cause that has no deaths of its
+    own and gets none by population is left out before its cells are made, and so are cells
+    that end at 0.
     """
     active = frozenset(passes)
     codes = unknown_codes(codes, options)
@@ -372,6 +375,8 @@ def redistribute_unknown(
     )
     grid = left_join(grid, known.drop("micro", "meso", "uf", "n_known"), ["cdmun", "ano", "GBD"])
     grid = left_join(grid, coefficients, AREA)
+    if not dense:
+        grid = grid.filter("k IS NOT NULL OR coalesce(exists(b, x -> x <> 0D), false)")
     ready = grid.selectExpr(
         *ROW,
         "maternal",
@@ -399,7 +404,7 @@ def redistribute_unknown(
     labels = [f"concat({sexes}) AS sexo", f"flatten(array_repeat({_AGE_LIST}, 2)) AS idade"]
     every = f"arrays_zip(sexo, idade, k{''.join(', ' + u for u in used)})"
     possible = f"slice({every}, {_FIRST}, {_LAST - _FIRST + 1})"
-    return (
+    cells = (
         ready.selectExpr(*ROW, "maternal", "k", *used, *labels)
         .selectExpr(*ROW, f"inline(IF(maternal, {possible}, {every}))")
         .selectExpr(
@@ -412,3 +417,4 @@ def redistribute_unknown(
         )
         .selectExpr("*", "deaths_in + alloc AS deaths_out")
     )
+    return cells if dense else cells.filter("deaths_out <> 0D")

@@ -13,7 +13,7 @@ from vitalshare.operators import garbage as g
 from vitalshare.operators.population import prepare_population
 from vitalshare.operators.unknown import redistribute_unknown
 from vitalshare.options import COMPAT, Options
-from vitalshare.sources.writers import read_step, stage_table, write_step
+from vitalshare.sources.writers import read_step, stage_clustered, stage_table, write_step
 
 
 @dataclass(frozen=True)
@@ -49,8 +49,9 @@ def step2(
 
 
 def step2_stored(inputs: Inputs, counts: DataFrame, options: Options = COMPAT) -> DataFrame:
-    """As ``step2``, stored: the garbage stages read it more than once."""
-    return stage_table(step2(inputs, counts, options), "known_redistributed")
+    """As ``step2``, stored by place and year: step 3 makes its base from it without a shuffle."""
+    placed = step2(inputs, counts, options)
+    return stage_clustered(placed, "known_redistributed", ["cdmun", "ano"])
 
 
 def grid_labels(inputs: Inputs, counts: DataFrame, options: Options = COMPAT) -> DataFrame:
@@ -79,7 +80,7 @@ def run(inputs: Inputs, options: Options = COMPAT, dense: bool = False) -> DataF
 
 def stage_base(inputs: Inputs, counts: DataFrame, options: Options = COMPAT):
     """What the garbage stages start from, made from the counts in one pass."""
-    placed = step2(inputs, counts, options)
+    placed = step2(inputs, counts, options, dense=False)
     labels = grid_labels(inputs, counts, options)
     return g.prepare(placed, inputs.weights, options, labels_from=labels)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vitalshare.domain import CHRONIC, GARBAGE, INJURIES, TARGETS
 from vitalshare.functions import in_list, left_join, sql, stable_round
+from vitalshare.functions.exact import exact_sum
 from vitalshare.operators import checks, flows
 from vitalshare.operators import counts as c
 from vitalshare.operators import garbage as g
@@ -318,10 +319,10 @@ def pop_shares_strict(spark, sf):
 
 def region_shares(spark, sf):
     """Deaths and shares of every cell at micro, meso and state level."""
-    rows = known(spark, sf).withColumnRenamed("deaths_in", "obitos")
+    finest = stage_table(sh.region_cells(known(spark, sf), "mi", "deaths_in"), "region_cells")
     parts = []
     for level in ("mi", "me", "uf"):
-        cells = sh.region_shares(rows, level)
+        cells = sh.region_shares(finest, level, "ob")
         place = F.concat_ws("/", *sh.LEVELS[level])
         columns = {f"{x}_{level}_{s}": f"{x}_{s}" for x in ("ob", "pr") for s in ("id", "s", "id_s")}
         named = cells.select(
@@ -359,7 +360,7 @@ def unknown_total(spark, sf):
     sums = known(spark, sf).groupBy("cdmun", "ano", "GBD", "sexo").agg(
         F.count(F.lit(1)).alias("n_cells"),
         F.sum("deaths_in").alias("deaths_in"),
-        F.sum("deaths_out").alias("deaths_out"),
+        exact_sum("deaths_out").alias("deaths_out"),
     )
     return _rounded(sums, "deaths_out")
 
@@ -402,7 +403,7 @@ def level_rollup(spark, sf):
     keys = ["reg", "uf", "meso", "micro", "cdmun"]
     own = ["pool", "ano", "sexo"]
     sums = rows.groupingSets([[*own, *keys[: i + 1]] for i in range(5)], *own, *keys).agg(
-        F.sum("deaths_out").alias("deaths"),
+        exact_sum("deaths_out").alias("deaths"),
         F.count(F.lit(1)).alias("n_cells"),
         F.grouping_id().alias("depth"),
     )
@@ -522,7 +523,7 @@ def final_grid(spark, sf):
     sums = result.groupBy("cdmun", "sexo", "GBD").agg(
         F.count(F.lit(1)).alias("n_cells"),
         F.count("deaths_out").alias("n_valued"),
-        F.sum("deaths_out").alias("deaths"),
+        exact_sum("deaths_out").alias("deaths"),
     )
     return _rounded(sums, "deaths")
 

@@ -136,6 +136,17 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stage_clustered(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """As ``stage_table``, one file a bucket, in as many buckets of ``keys`` as shuffles have
+    partitions: what groups by these keys, or by more, reads the rows where they belong."""
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name}_{uuid.uuid4().hex}"
+    writer = df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).format("parquet")
+    writer.option("path", f"{new_folder(spark)}/{name}").saveAsTable(table)
+    return spark.table(table)
+
+
 def new_folder(spark: SparkSession) -> str:
     """A folder of its own below the shared one."""
     return f"{_own_folder(spark)}/{uuid.uuid4().hex}"
