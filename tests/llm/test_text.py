@@ -222,80 +222,97 @@ def test_url_rules_of_empty_tables(spark):
     assert url_rules.judge(pages, twice).first().verdict == "block"
 
 
-def brute_scores(texts, trained, share):
+def brute_scores(texts, trained):
     lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
-    spaces = "\x09\x0a\x0b\x0c\x0d"
     tokens = []
     for t in texts:
         plain = (t or "").translate(lower)
-        for c in spaces:
+        for c in "\x09\x0a\x0b\x0c\x0d":
             plain = plain.replace(c, " ")
-        tokens.append([w for w in plain.split(" ") if w])
-    c = Counter(w for ws, tr in zip(tokens, trained) if tr for w in [*ws, None])
-    n, v = sum(c.values()), len(c)
-    hot = {w for w, k in c.items() if w is not None and k >= max(share * n, 1)} | {None}
-    pairs = Counter(
-        (a, b)
-        for ws, tr in zip(tokens, trained)
-        if tr
-        for a, b in zip([None, *ws], [*ws, None])
-        if a in hot and b in hot
-    )
-    once, twice = sum(k == 1 for w, k in c.items() if w is not None), sum(k == 2 for w, k in c.items() if w is not None)
-    d1 = once / (once + 2 * twice) if once and twice else 0.5
-    once, twice = sum(k == 1 for k in pairs.values()), sum(k == 2 for k in pairs.values())
-    d2 = once / (once + 2 * twice) if once and twice else 0.5
-    kept, kinds = Counter(), Counter()
-    for (a, _), k in pairs.items():
-        kept[a] += k
-        kinds[a] += 1
-    low = lambda w: (max(c[w] - d1, 0) / n + d1 * v / n / (v + 1)) if n else 1.0
-
-    def p(a, w):
-        if a not in hot or not c[a]:
-            return low(w)
-        fail = (d2 * kinds[a] + c[a] - kept[a]) / c[a]
-        return max(pairs[a, w] - d2, 0) / c[a] + fail * low(w)
-
+        tokens.append([None, *(w for w in plain.split(" ") if w), None])
+    taught = [ws for ws, tr in zip(tokens, trained) if tr]
+    one = Counter(w for ws in taught for w in ws[1:])
+    two = Counter(x for ws in taught for x in zip(ws, ws[1:]))
+    states = {x for x, k in two.items() if k >= language_model.STATE_COUNT and x[1] is not None}
+    three = Counter(x for ws in taught for x in zip(ws, ws[1:], ws[2:]) if x[:2] in states)
+    n, v = sum(one.values()), len(one)
+
+    def discount(counts):
+        once, twice = (sum(k == x for k in counts.values()) for x in (1, 2))
+        return once / (once + 2 * twice) if once and twice else 0.5
+
+    d1, d2, d3 = discount(one), discount(two), discount(three)
+    after_word, after_pair = Counter(a for a, _ in two), Counter(x[:2] for x in three)
+
+    def p(state, w):
+        if len(state) == 2 and state not in states:
+            state = state[1:]
+        if len(state) == 2:
+            low = p(state[1:], w)
+            return (max(three[(*state, w)] - d3, 0) + d3 * after_pair[state] * low) / two[state]
+        low = (max(one[w] - d1, 0) / n + d1 * v / n / (v + 1)) if n else 1.0
+        if not one[state[0]]:
+            return low
+        return (max(two[(*state, w)] - d2, 0) + d2 * after_word[state[0]] * low) / one[state[0]]
+
+    for state in [(None,), *((x,) for x in list(one)[:5]), *list(states)[:5]]:
+        assert not n or abs(sum(p(state, w) for w in one) + p(state, "never seen") - 1) < 1e-9
     out = []
     for ws in tokens:
-        steps = list(zip([None, *ws], [*ws, None]))
-        base = sum(math.log10((c[w] + 1) / (n + v + 1)) for _, w in steps)
-        out.append((len(steps), sum(c[w] > 0 for _, w in steps), n, base, sum(math.log10(p(a, w)) for a, w in steps)))
-    total = sum(p("the", w) for w in c) + p("the", "never seen") if "the" in hot and n else 1
-    assert abs(total - 1) < 1e-9
+        base = sum(math.log10((one[w] + 1) / (n + v + 1)) for w in ws[1:])
+        model = sum(math.log10(p(tuple(ws[max(i - 2, 0) : i]), ws[i])) for i in range(1, len(ws)))
+        out.append((len(ws) - 1, sum(one[w] > 0 for w in ws[1:]), n, base, model))
     return out
 
 
-@pytest.mark.parametrize("share", [1e-4, 0.03, 0.9])
-def test_scores_match_brute_force(spark, odd_docs, monkeypatch, share):
-    monkeypatch.setattr(language_model, "SHARE", share)
-    monkeypatch.setattr(language_model, "BLOCK_BYTES", 100_000)
+def check_scores(docs):
+    rows = docs.collect()
+    trained = [x.doc_id is not None and x.doc_id % 7 != 2 for x in rows]
+    want = sorted(
+        ((x.doc_id or 0, x.text is None, *y[:3], y[3], y[4]) for x, y in zip(rows, brute_scores([x.text for x in rows], trained))),
+        key=lambda x: (x[0], x[2], x[5]),
+    )
+    found = language_model.score(docs, F.col("doc_id") % 7 != 2, F.col("doc_id") % 7 == 2).collect()
+    assert Counter((x.doc_id, x.held_out) for x in found) == Counter(
+        (x.doc_id, x.doc_id is not None and x.doc_id % 7 == 2) for x in rows
+    )
+    got = sorted(((x.doc_id or 0, *x[2:7]) for x in found), key=lambda x: (x[0], x[1], x[4]))
+    for x, y in zip(got, want):
+        assert x[:4] == (y[0], *y[2:5]) and np.allclose(x[4:], y[5:], rtol=1e-9)
+
+
+def test_scores_match_brute_force(spark, odd_docs, monkeypatch):
+    """Texts of few words in many blocks and parts."""
+    monkeypatch.setattr(language_model, "PART_TOKENS", 1 << 12)
     rng = random.Random(1)
     more = [(100 + i, " ".join(rng.choices("the The a of and x y z".split(), k=rng.randint(0, 9)))) for i in range(80)]
     docs = odd_docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
-    rows = docs.collect()
-    training = F.col("doc_id") % 7 != 2
-    trained = [x.doc_id is not None and x.doc_id % 7 != 2 for x in rows]
-    want = Counter()
-    for x, y in zip(rows, brute_scores([x.text for x in rows], trained, share)):
-        want[x.doc_id, x.doc_id is not None and x.doc_id % 7 == 2, *y[:3], round(y[3], 3), round(y[4], 3)] += 1
-    found = language_model.score(docs, training, F.col("doc_id") % 7 == 2).collect()
-    got = Counter((*x[:5], round(x.base_score, 3), round(x.score, 3)) for x in found)
-    assert got == want
+    check_scores(docs.repartition(5))
 
 
-def test_every_word_is_a_state(spark, odd_docs):
-    """Phrases of rare words (far under 1e-4 of the tokens) are scored by their own arcs."""
+def test_every_word_and_repeated_pair_is_a_state(spark, odd_docs):
+    """Phrases of rare words are scored by their own arcs."""
     more = [(100 + i, f"zeta{i // 3} eta{i // 3} theta{i // 3} the end{i // 6} of") for i in range(60)]
     docs = odd_docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
-    rows = docs.collect()
-    trained = [x.doc_id is not None and x.doc_id % 7 != 2 for x in rows]
-    want = Counter()
-    for x, y in zip(rows, brute_scores([x.text for x in rows], trained, 0)):
-        want[x.doc_id, *y[:3], round(y[3], 3), round(y[4], 3)] += 1
-    found = language_model.score(docs, F.col("doc_id") % 7 != 2, F.col("doc_id") % 7 == 2).collect()
-    assert Counter((x.doc_id, *x[2:5], round(x.base_score, 3), round(x.score, 3)) for x in found) == want
+    check_scores(docs)
+
+
+def test_keys_are_packed_and_dealt_whole():
+    keys = np.sort(np.random.default_rng(5).integers(0, 1 << 40, 5000).astype(np.uint64))
+    keys[1] = keys[0]
+    for part in (keys, keys[:1], keys[:0]):
+        assert np.array_equal(language_model.unpacked_keys(language_model.packed_keys(part)), part)
+    wide = np.random.default_rng(6).integers(0, 1 << 63, 3000).astype(np.uint64) * np.uint64(2)
+    order, edges = language_model.dealt(wide, 5)
+    assert sorted(order.tolist()) == list(range(3000)) and edges[0] == 0 and edges[-1] == 3000
+    assert all((wide[order[a:b]] >> np.uint64(59) == i).all() for i, (a, b) in enumerate(zip(edges, edges[1:])))
+
+
+def test_rows_sent_are_at_most_what_a_block_holds():
+    """However many parts there are, a block sends a row only where it has something to ask."""
+    keys = language_model.mix(np.arange(1, 2001, dtype=np.uint64))
+    asked = language_model.sent(7, 20, (keys[:500], np.ones(500, np.int64)), (keys[500:], np.ones(1500, np.int64)))
+    assert 1900 < len(asked) <= 2000 and (asked["block"] == 7).all()
 
 
 def test_scores_without_training_or_rows(odd_docs, no_docs):

@@ -1,23 +1,31 @@
 """Language-model scoring with a weighted backoff automaton.
 
-The model is a smoothed bigram model over words and one end token. Its automaton has an empty
-state and one state for each word of the training rows (and for a text's start, the same as its
-end): a state's arcs carry the probabilities of all words seen after it, any other word follows
-the failure arc, whose weight is what discounting freed, into the empty state, whose arcs are
-the unigrams. A word leads into its own state, or the empty one if it has none, so one pass from
-left to right over a text, here over all texts of a block at once, meets the arcs it needs and
-adds up their logarithms.
-
-    unigram    p(w)   = max(c(w) - d1, 0) / N + d1 V / N / (V + 1)
-    after u    p(w|u) = max(c(u,w) - d2, 0) / c(u) + fail(u) p(w)
-
-Discounts are n1 / (n1 + 2 n2). Texts are read once into blocks with a vocabulary of their own.
-A block counts its words and its arcs (history, word) and deals them to parts, packed in one row
-a part: a word and the arcs out of it by the word's hash, the arcs out of the words with
-``OFTEN`` of the tokens (at most 1 / ``OFTEN``, known everywhere) by a hash of both words, so
-that no history is hot. A part adds up what all blocks sent and gives each block back its
-words' counts, arcs and times followed, and its arcs' counts. Words and arcs are keyed by 64-bit
-hashes. (``SHARE`` > 0 makes only words with that share of the tokens states; 0 makes all.)
+The model is a smoothed trigram model over words and one end token. Its automaton has an empty
+state, a state for each word of the training rows (and for a text's start, the same as its end)
+and a state for each pair of neighbours that they hold ``STATE_COUNT`` times or more. A state's
+arcs carry the probabilities of the words seen after it; any other word follows the failure arc,
+whose weight is what discounting freed: from a pair to its second word, from a word to the empty
+state, whose arcs are the unigrams. A word leads into the longest state that the text's last two
+words make, so one pass from left to right over a text, here over all texts of a block at once,
+meets the arcs it needs and adds up their logarithms.
+
+    p(w)     = max(c(w) - d1, 0) / N + d1 V / N / (V + 1)
+    p(w|v)   = max(c(v,w) - d2, 0) / c(v) + fail(v) p(w)         fail(v) = d2 arcs(v) / c(v)
+    p(w|u,v) = max(c(u,v,w) - d3, 0) / c(u,v) + fail(u,v) p(w|v)     likewise
+
+Discounts are n1 / (n1 + 2 n2); ``arcs`` counts the different words seen after a state.
+
+Texts are read once into blocks with a vocabulary of their own, stored clustered by block. Three
+times a block asks the whole corpus: for the counts of its words and pairs, then of its triples
+(and the arcs out of its words), then for the arcs out of its pairs. What it asks, with its own
+training counts, goes to parts by a hash of the whole word, pair or triple, one packed row a
+part, so that no history is hot however frequent; a part adds up what all blocks sent, and
+answers each. Each arc that training has is new in one block only, which counts it for its
+state. Parts follow the number of tokens, and a block sends no part a row it has nothing for:
+its rows are at most as many as its different words, pairs and triples.
+
+Words, pairs and triples are keyed by the part and 40 more bits of a hash; a part holds about
+``PART_TOKENS`` of them at most, so one in a million shares its key with another, at any size.
 
 Defined results: texts that are null or empty are the end alone; rows without doc_id are scored
 and teach nothing; repeated rows are scored each; without training rows every probability is 1
@@ -26,6 +34,8 @@ over the one unknown type; an empty table gives no row; other columns are ignore
 
 from __future__ import annotations
 
+import functools
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,24 +47,26 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitalshare.llm.common import mix, slices
+from vitalshare.llm.common import clustered, mix, slices
 from vitalshare.sources.writers import stage_table
 
-SHARE = 0.0
-OFTEN = 1e-4
-BLOCK_BYTES = 12 << 20
-AT_ONCE = 250_000
+STATE_COUNT = 2
+BLOCK_BYTES = 6 << 20
 PART_TOKENS = 1 << 20
+KEY_BYTES = 5
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 BOUNDARY = 0x5851F42D4C957F2D
 
+_compressor = functools.cache(lambda: zstandard.ZstdCompressor(level=1))
+_decompressor = functools.cache(zstandard.ZstdDecompressor)
+
 
 def packed(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+    return _compressor().compress(np.ascontiguousarray(x).tobytes())
 
 
 def unpacked(x: bytes, dtype) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), dtype)
+    return np.frombuffer(_decompressor().decompress(x), dtype)
 
 
 def packed_counts(x: np.ndarray) -> bytes:
@@ -67,14 +79,27 @@ def unpacked_counts(x: bytes) -> np.ndarray:
     return unpacked(x[1:], f"u{x[0]}").astype(np.int64)
 
 
+def packed_keys(x: np.ndarray) -> bytes:
+    """Ascending keys below 2 ** (8 * KEY_BYTES): the steps between them, byte by byte."""
+    steps = np.diff(x, prepend=np.uint64(0)).astype("<u8")
+    return packed(steps.view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].T)
+
+
+def unpacked_keys(x: bytes) -> np.ndarray:
+    planes = unpacked(x, np.uint8).reshape(KEY_BYTES, -1)
+    wide = np.zeros((planes.shape[1], 8), np.uint8)
+    wide[:, :KEY_BYTES] = planes.T
+    return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64)
+
+
 _BLOCK = (
     "block long, doc_ids array<long>, held_out array<boolean>, trained binary, sizes binary, "
-    "codes binary, words binary, seen binary, tokens long"
+    "codes binary, words binary, tokens long"
 )
 
 
 def _to_blocks(batches):
-    """Texts as codes of a block's own words (64-bit hashes) with their training counts."""
+    """Texts as codes of a block's own words (64-bit hashes)."""
     block = TaskContext.get().partitionId() << 32
     for batch in batches:
         for start, stop in slices(batch.column(3), BLOCK_BYTES):
@@ -91,13 +116,12 @@ def _to_blocks(batches):
             words = pd.util.hash_array(names[real].astype(object), categorize=False).view(np.int64)
             sizes = np.diff(ends)
             trained = part.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            seen = np.bincount(codes[np.repeat(trained, sizes)], minlength=len(words))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([block]),
                     pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())),
                     pa.array([part.column(2).to_pylist()], pa.list_(pa.bool_())),
-                    *(pa.array([packed(x)]) for x in (trained, sizes, codes, words, seen)),
+                    *(pa.array([packed(x)]) for x in (trained, sizes, codes, words)),
                     pa.array([len(codes) + len(sizes)]),
                 ],
                 [x.split()[0] for x in _BLOCK.split(", ")],
@@ -107,310 +131,294 @@ def _to_blocks(batches):
             pa.default_memory_pool().release_unused()
 
 
-def _word_counts(batches):
-    for batch in batches:
-        for words, seen in zip(*(x.to_pylist() for x in batch.columns)):
-            words, seen = unpacked(words, np.int64), unpacked(seen, np.int64)
-            some = seen > 0
-            yield pa.RecordBatch.from_pydict({"gram": words[some], "n": seen[some]})
+@dataclass
+class Tokens:
+    """A block's texts laid out: for every token, ends included, its text, its word's code (the
+    last for the end), the code before it (the last for the start), and its pair's number; for
+    every word a hash; for every different pair its words and a hash."""
+
+    texts: int
+    taught: np.ndarray
+    text: np.ndarray
+    word: np.ndarray
+    prev: np.ndarray
+    names: np.ndarray
+    pair: np.ndarray
+    before: np.ndarray
+    keys: np.ndarray
+
+    @classmethod
+    def of(cls, row) -> Tokens:
+        sizes, codes = unpacked(row.sizes, np.int64), unpacked(row.codes, np.int32)
+        words, trained = unpacked(row.words, np.int64), unpacked(row.trained, bool)
+        n, boundary = len(sizes), len(words)
+        names = mix(np.append(words, BOUNDARY).view(np.uint64))
+        word = np.full(len(codes) + n, boundary, np.int64)
+        word[np.arange(len(codes)) + np.repeat(np.arange(n), sizes)] = codes
+        prev = np.empty_like(word)
+        prev[:1], prev[1:] = boundary, word[:-1]
+        pairs, pair = np.unique(prev * len(names) + word, return_inverse=True)
+        before, last = np.divmod(pairs, len(names))
+        keys = mix(names[before] * GOLDEN + names[last])
+        text = np.repeat(np.arange(n), sizes + 1)
+        return cls(n, trained[text], text, word, prev, names, pair, before, keys)
+
+    def triples(self, pairs: np.ndarray) -> Triples:
+        """The triples whose first two words are a state, given the pairs' training counts."""
+        at = np.flatnonzero(self.prev != len(self.names) - 1)
+        state = self.pair[at - 1]
+        use = pairs[state] >= STATE_COUNT
+        at, state = at[use], state[use]
+        kinds, kind = np.unique(state * len(self.names) + self.word[at], return_inverse=True)
+        states, last = np.divmod(kinds, len(self.names))
+        keys = mix(self.keys[states] * GOLDEN + self.names[last])
+        own, own_of = np.unique(states, return_inverse=True)
+        return Triples(at, state, kind, keys, own, own_of)
 
 
 @dataclass
-class States:
-    """What every task knows: the frequent words (sorted hashes), their counts and failure
-    weights, then the boundary's (start and end of a text); totals and discounts; only for a
-    ``SHARE``, the words that are states. In a block the boundary comes after the last word."""
-
-    often: np.ndarray
-    counts: np.ndarray
-    only: np.ndarray | None
-    total: int
-    kinds: int
-    parts: int
-    discounts: tuple[float, float] = (0.5, 0.5)
-    fail: np.ndarray | None = None
-
-    def of(self, words: np.ndarray) -> np.ndarray:
-        """Number of each word among the frequent ones, -1 for none; then the boundary's."""
-        if not len(self.often):
-            return np.append(np.full(len(words), -1), 0)
-        at = np.searchsorted(self.often, words)
-        at[at == len(self.often)] = 0
-        return np.append(np.where(self.often[at] == words, at, -1), len(self.often))
-
-    def may(self, words: np.ndarray) -> np.ndarray:
-        """Whether each word, and the boundary after them, is a state if it was seen."""
-        some = np.ones(len(words) + 1, bool)
-        if self.only is not None:
-            some[:-1] = np.isin(words, self.only)
-        return some
-
-    def walk(self, codes: np.ndarray, sizes: np.ndarray, may: np.ndarray):
-        """The texts of a block, about ``AT_ONCE`` words at a time: (first text, number of
-        texts) and for every token, ends included, its text, its word's code (the last for the
-        end), the code before it, and the number of the arc between them or -1."""
-        ends = np.cumsum(sizes)
-        boundary = len(may) - 1
-        first = 0
-        while first < len(sizes):
-            done = int(ends[first - 1]) if first else 0
-            last = max(first + 1, int(np.searchsorted(ends, done + AT_ONCE, side="right")))
-            own, n = sizes[first:last], last - first
-            here = codes[done : int(ends[last - 1])]
-            places = np.arange(len(here)) + np.repeat(np.arange(n), own)
-            word = np.full(len(here) + n, boundary, np.int64)
-            word[places] = here
-            before = np.empty_like(word)
-            before[1:] = word[:-1]
-            before[0] = boundary
-            arc = np.where(may[word] & may[before], before * len(may) + word, -1)
-            yield first, n, np.repeat(np.arange(n), own + 1), word, before, arc
-            first = last
-
-    def dealt(self, arcs: np.ndarray, words: np.ndarray):
-        """(keys, own, word order, word edges, arc order, arc edges) of a block: part i has the
-        words word_order[word_edges[i] : word_edges[i + 1]], likewise arcs; ``own`` is an arc's
-        history by its place in the part's words, or -1 - its number among the frequent ones."""
-        names = np.append(words, BOUNDARY).view(np.uint64)
-        often = self.of(words)
-        parts = np.uint64(self.parts)
-        home = (mix(names) % parts).astype(np.int64)
-        before, word = np.divmod(arcs, len(names))
-        keys = mix(mix(names[before]) * GOLDEN + names[word])
-        part = np.where(often[before] >= 0, (keys % parts).astype(np.int64), home[before])
-        every = np.arange(self.parts + 1)
-        asked = np.flatnonzero(often < 0)
-        word_order = asked[np.argsort(home[asked], kind="stable")]
-        word_edges = np.searchsorted(home[word_order], every)
-        arc_order = np.argsort(part, kind="stable")
-        arc_edges = np.searchsorted(part[arc_order], every)
-        own = -1 - often
-        own[word_order] = np.arange(len(word_order)) - word_edges[home[word_order]]
-        return keys, own[before].astype(np.int32), word_order, word_edges, arc_order, arc_edges
-
-
-def _added(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of counts by sorted key."""
-    keys = np.concatenate([x[0] for x in found]) if found else np.empty(0, np.int64)
-    counts = np.concatenate([x[1] for x in found]) if found else np.empty(0)
-    kinds, kind = np.unique(keys, return_inverse=True)
-    return kinds, np.bincount(kind, counts, len(kinds)).astype(np.int64)
-
-
-_ASKED = "part long, block long, words binary, seen binary, keys binary, own binary, n binary"
-_COUNTED = (
-    "part long, block long, counts binary, arcs binary, kept binary, n binary, "
-    "often binary, often_arcs binary, often_kept binary, n1 long, n2 long"
-)
+class Triples:
+    """Tokens that follow a pair that is a state, that pair and the triple's number; for every
+    different triple a hash and its state's place among ``own``, the states met here."""
 
+    at: np.ndarray
+    state: np.ndarray
+    kind: np.ndarray
+    keys: np.ndarray
+    own: np.ndarray
+    own_of: np.ndarray
 
-def _arc_counts(states: States):
-    """The words and arcs a block needs, with their training counts there, one row a part."""
-
-    def task(batches):
-        for batch in batches:
-            for block, trained, sizes, codes, words, seen in zip(*(x.to_pylist() for x in batch.columns)):
-                trained, sizes = unpacked(trained, bool), unpacked(sizes, np.int64)
-                words, known = unpacked(words, np.int64), unpacked(seen, np.int64)
-                found = []
-                for first, n, text, _, _, arc in states.walk(unpacked(codes, np.int32), sizes, states.may(words)):
-                    use = arc >= 0
-                    kinds, kind = np.unique(arc[use], return_inverse=True)
-                    seen = np.bincount(kind, trained[first : first + n][text[use]], len(kinds))
-                    found.append((kinds, seen))
-                arcs, n = _added(found)
-                keys, own, word_order, word_edges, arc_order, arc_edges = states.dealt(arcs, words)
-                rows = []
-                for i in np.flatnonzero(np.diff(word_edges) + np.diff(arc_edges)).tolist():
-                    of_word = word_order[word_edges[i] : word_edges[i + 1]]
-                    of_arc = arc_order[arc_edges[i] : arc_edges[i + 1]]
-                    steps = np.diff(own[of_arc], prepend=np.int32(0))
-                    rows.append(
-                        (i, block, packed(words[of_word]), packed_counts(known[of_word]))
-                        + (packed(keys[of_arc]), packed(steps), packed_counts(n[of_arc]))
-                    )
-                names, kinds = zip(*(x.split() for x in _ASKED.split(", ")))
-                kinds = [pa.int64() if x == "long" else pa.binary() for x in kinds]
-                columns = zip(*rows) if rows else [[]] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(columns, kinds)], names)
 
-    return task
+def dealt(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, edges): part i of 2 ** bits has the keys order[edges[i] : edges[i + 1]]."""
+    order = np.argsort(keys, kind="stable")
+    parts = keys[order] >> np.uint64(64 - bits)
+    return order, np.searchsorted(parts, np.arange((1 << bits) + 1, dtype=np.uint64))
+
+
+_SENT = "part long, block long, a_keys binary, a_n binary, b_keys binary, b_n binary"
+_TOLD = (
+    "part long, block long, a binary, b binary, new binary, "
+    "kinds long, total long, ones long, twos long, b_ones long, b_twos long"
+)
 
 
-def _count_part(rows: pd.DataFrame, often: int) -> pd.DataFrame:
-    """For each block its words' counts, numbers of arcs and of times followed by one, and its
-    arcs' counts; with the first block the same of the ``often`` frequent histories, and how
-    many arcs were seen once and twice."""
-    joined = lambda of, name: np.concatenate([of(x) for x in rows[name]])
-    words = [unpacked(x, np.int64) for x in rows["words"]]
-    keys = [unpacked(x, np.uint64) for x in rows["keys"]]
-    word_edges, arc_edges = (np.cumsum([0] + [len(x) for x in y]) for y in (words, keys))
-    names, word = np.unique(np.concatenate(words), return_inverse=True)
-    count = np.bincount(word, joined(unpacked_counts, "seen"), len(names)).astype(np.int64)
-    kinds, first, kind = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-    n = np.bincount(kind, joined(unpacked_counts, "n"), len(kinds)).astype(np.int64)
-    own = [np.cumsum(unpacked(x, np.int32), dtype=np.int64) for x in rows["own"]]
-    own = np.concatenate([np.where(x >= 0, x + at, x) for x, at in zip(own, word_edges)])[first]
-    cold = own >= 0
-    own[cold] = word[own[cold]]
-    own[~cold] = len(names) - 1 - own[~cold]
-    some = n > 0
-    arcs = np.bincount(own[some], minlength=len(names) + often)
-    kept = np.bincount(own[some], n[some], len(names) + often).astype(np.int64)
+def sent(block: int, bits: int, *lists) -> pd.DataFrame:
+    """Two lists of (keys, counts) of a block, one row a part that has some."""
+    names = [x.split()[0] for x in _SENT.split(", ")]
+    spots = [dealt(keys, bits) for keys, _ in lists]
+    sides = []
+    for (keys, counts), (order, _) in zip(lists, spots):
+        rest = (keys[order] << np.uint64(bits)) >> np.uint64(64 - 8 * KEY_BYTES)
+        sides.append((rest, counts[order]))
+    rows = []
+    for i in np.flatnonzero(sum(np.diff(edges) for _, edges in spots)).tolist():
+        row = [i, block]
+        for (rest, counts), (_, edges) in zip(sides, spots):
+            a, b = edges[i], edges[i + 1]
+            row += [packed_keys(rest[a:b]), packed_counts(counts[a:b])]
+        rows.append(row)
+    return pd.DataFrame(rows, columns=names)
+
+
+def _nothing_sent() -> pd.DataFrame:
+    return pd.DataFrame([], columns=[x.split()[0] for x in _SENT.split(", ")])
+
+
+def answers(replies: pd.DataFrame, stage: int, name: str, keys: np.ndarray, bits: int) -> np.ndarray:
+    """What the parts said about a block's keys, in their order."""
+    order, edges = dealt(keys, bits)
+    out = np.zeros(len(keys), np.int64)
+    some = replies[replies["stage"] == stage]
+    for part, cell in zip(some["part"].tolist(), some[name]):
+        out[order[edges[part] : edges[part + 1]]] = unpacked_counts(cell)
+    return out
+
+
+def _tally(rows: pd.DataFrame) -> pd.DataFrame:
+    """For each block the sums over all blocks of both its lists; which keys of the second list
+    are ``new`` in it (the first block that training has them in); numbers about the part."""
+    rows = rows.sort_values("block")
     out = rows[["part", "block"]].reset_index(drop=True)
-    for name, x, of, edges in (
-        ("counts", count, word, word_edges),
-        ("arcs", arcs, word, word_edges),
-        ("kept", kept, word, word_edges),
-        ("n", n, kind, arc_edges),
-    ):
-        out[name] = [packed_counts(x[of[a:b]]) for a, b in zip(edges[:-1], edges[1:])]
-    hot = np.flatnonzero(arcs[len(names) :])
-    for name, x in (("often", hot), ("often_arcs", arcs[len(names) + hot]), ("often_kept", kept[len(names) + hot])):
-        out[name] = [packed_counts(x)] + [None] * (len(out) - 1)
-    for name, x in (("n1", 1), ("n2", 2)):
-        out[name] = [int((n == x).sum())] + [0] * (len(out) - 1)
+    about = {}
+    for name in ("a", "b"):
+        keys = [unpacked_keys(x) for x in rows[f"{name}_keys"]]
+        edges = np.cumsum([0] + [len(x) for x in keys])
+        kinds, kind = np.unique(np.concatenate(keys), return_inverse=True)
+        n = np.concatenate([unpacked_counts(x) for x in rows[f"{name}_n"]])
+        total = np.bincount(kind, n, len(kinds)).astype(np.int64)
+        cut = lambda x, edges=edges: [packed_counts(x[a:b]) for a, b in zip(edges[:-1], edges[1:])]
+        out[name] = cut(total[kind])
+        about[name] = [int(x) for x in ((total > 0).sum(), total.sum(), (total == 1).sum(), (total == 2).sum())]
+    some = np.flatnonzero(n)
+    new = np.zeros(len(n), np.int64)
+    new[some[np.unique(kind[some], return_index=True)[1]]] = 1
+    out["new"] = cut(new)
+    for name, x in zip(("kinds", "total", "ones", "twos", "b_ones", "b_twos"), about["a"] + about["b"][2:]):
+        out[name] = [x] + [0] * (len(out) - 1)
     return out
 
 
-def _histories(batches):
-    for batch in batches:
-        for row in zip(*(x.to_pylist() for x in batch.columns)):
-            yield pa.RecordBatch.from_pydict(dict(zip(("often", "arcs", "kept"), (unpacked_counts(x) for x in row))))
+def _told(asked: DataFrame, name: str) -> tuple[DataFrame, object]:
+    """The parts' answers, stored, and their numbers added up."""
+    told = stage_table(asked.groupBy("part").applyInPandas(_tally, _TOLD), name)
+    names = ("kinds", "total", "ones", "twos", "b_ones", "b_twos")
+    return told, told.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in names]).first()
 
 
-def _discount(n1: int, n2: int) -> float:
-    return n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+def _stage(number: int, told: DataFrame, *names: str) -> DataFrame:
+    return told.select(
+        "block",
+        "part",
+        F.lit(number).alias("stage"),
+        *[(F.col(x) if x in names else F.lit(None).cast("binary")).alias(x) for x in ("a", "b", "new")],
+    )
 
 
-def _ones_and_twos(table: DataFrame):
-    hit = lambda n: F.count(F.when(F.col("n") == n, 1))
-    return table.agg(
-        F.count("*").alias("kinds"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"), hit(1).alias("n1"), hit(2).alias("n2")
-    ).first()
+def _pairs(bits: int):
+    """Asks for the counts of a block's words and pairs."""
 
+    def task(blocks: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for row in blocks.itertuples():
+            t = Tokens.of(row)
+            words = np.bincount(t.word[t.taught], minlength=len(t.names))
+            pairs = np.bincount(t.pair[t.taught], minlength=len(t.keys))
+            found.append(sent(row.block, bits, (t.names, words), (t.keys, pairs)))
+        return pd.concat(found)
 
-def score(docs: DataFrame, training: Column, held_out: Column) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of
-    (doc_id, text), learned from the rows of the condition ``training``."""
-    source = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(training, F.lit(False)).alias("trained"),
-        F.coalesce(held_out, F.lit(False)).alias("held_out"),
-        F.col("text").cast("string").alias("text"),
-    )
-    blocks = stage_table(source.mapInArrow(_to_blocks, _BLOCK), "blocks")
-    texts = docs.where(F.coalesce(training, F.lit(False))).count()
-    words = stage_table(
-        blocks.select("words", "seen")
-        .mapInArrow(_word_counts, "gram long, n long")
-        .groupBy("gram")
-        .agg(F.sum("n").alias("n")),
-        "words",
-    )
-    seen = _ones_and_twos(words)
-    total, kinds = int(seen.total) + texts, seen.kinds + (texts > 0)
-    # at most 1 / share rows can hold that share of the total
-    above = lambda share: sorted(words.where(F.col("n") >= max(share * total, 1)).collect()) if total else []
-    often = above(OFTEN)
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tokens = blocks.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n")).first().n
-    states = States(
-        np.array([x.gram for x in often], np.int64),
-        np.array([x.n for x in often] + [texts], np.int64),
-        np.array([x.gram for x in above(SHARE)], np.int64) if SHARE else None,
-        total,
-        kinds,
-        max(4 * partitions, tokens // PART_TOKENS),
-    )
-    asked = blocks.drop("doc_ids", "held_out", "tokens").mapInArrow(_arc_counts(states), _ASKED)
-    counted = stage_table(
-        asked.groupBy("part").applyInPandas(lambda x: _count_part(x, len(often) + 1), _COUNTED), "arcs"
-    )
-    ones = counted.agg(F.coalesce(F.sum("n1"), F.lit(0)), F.coalesce(F.sum("n2"), F.lit(0))).first()
-    states.discounts = (_discount(seen.n1, seen.n2), _discount(*ones))
-    states.fail = _failure_weights(counted, states)
-    answers = counted.select("block", "part", "counts", "arcs", "kept", "n")
-    return (
-        blocks.drop("seen", "tokens")
-        .groupBy("block")
-        .cogroup(answers.groupBy("block"))
-        .applyInPandas(
-            lambda b, a: _traverse(b, a, states),
-            "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
-            "base_score double, score double",
-        )
-    )
+    return task
 
 
-def _failing(arcs: np.ndarray, kept: np.ndarray, count: np.ndarray, states: States) -> np.ndarray:
-    """What states with so many arcs, taken so many times, pass on to the empty one."""
-    return np.where(count > 0, (states.discounts[1] * arcs + count - kept) / np.maximum(count, 1), 1.0)
+def _triples(bits: int):
+    """Asks for the arcs out of a block's words and the counts of its triples."""
 
+    def task(blocks: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+        found = [_nothing_sent()]
+        for row in blocks.itertuples():
+            t = Tokens.of(row)
+            new = answers(replies, 1, "new", t.keys, bits)
+            arcs = np.bincount(t.before, new, len(t.names)).astype(np.int64)
+            triples = t.triples(answers(replies, 1, "b", t.keys, bits))
+            counts = np.bincount(triples.kind[t.taught[triples.at]], minlength=len(triples.keys))
+            found.append(sent(row.block, bits, (t.names, arcs), (triples.keys, counts)))
+        return pd.concat(found)
 
-def _failure_weights(counted: DataFrame, states: States) -> np.ndarray:
-    """Those of the frequent words and the boundary; one row each comes to the driver."""
-    kept, arcs = np.zeros(len(states.counts)), np.zeros(len(states.counts))
-    each = (
-        counted.where("often is not null")
-        .select("often", "often_arcs", "often_kept")
-        .mapInArrow(_histories, "often long, arcs long, kept long")
-    )
-    for x in each.groupBy("often").agg(F.sum("arcs").alias("arcs"), F.sum("kept").alias("kept")).collect():
-        kept[x.often], arcs[x.often] = x.kept, x.arcs
-    return _failing(arcs, kept, states.counts, states)
+    return task
+
+
+def _pair_arcs(bits: int):
+    """Asks for the arcs out of a block's pairs."""
+
+    def task(blocks: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+        found = [_nothing_sent()]
+        for row in blocks.itertuples():
+            t = Tokens.of(row)
+            triples = t.triples(answers(replies, 1, "b", t.keys, bits))
+            new = answers(replies, 2, "new", triples.keys, bits)
+            arcs = np.bincount(triples.own_of, new, len(triples.own)).astype(np.int64)
+            nothing = np.empty(0, np.uint64), np.empty(0, np.int64)
+            found.append(sent(row.block, bits, (t.keys[triples.own], arcs), nothing))
+        return pd.concat(found)
+
+    return task
 
 
-def _traverse(blocks: pd.DataFrame, answers: pd.DataFrame, states: States) -> pd.DataFrame:
+@dataclass
+class Model:
+    """What every task knows: parts, training tokens, different words, discounts."""
+
+    bits: int
+    total: int
+    kinds: int
+    discounts: tuple[float, float, float]
+
+
+def _discount(ones: int, twos: int) -> float:
+    return ones / (ones + 2 * twos) if ones and twos else 0.5
+
+
+_SCORES = (
+    "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
+    "base_score double, score double"
+)
+
+
+def _traverse(blocks: pd.DataFrame, replies: pd.DataFrame, model: Model) -> pd.DataFrame:
     """Scores of a block's texts."""
-    out = []
+    out = [pd.DataFrame(columns=[x.split()[0] for x in _SCORES.split(", ")])]
+    bits, total, kinds = model.bits, model.total, model.kinds
+    d1, d2, d3 = model.discounts
     for row in blocks.itertuples():
-        sizes, codes = unpacked(row.sizes, np.int64), unpacked(row.codes, np.int32)
-        words = unpacked(row.words, np.int64)
-        may = states.may(words)
-        often = states.of(words)
-        count, fail = states.counts[often], states.fail[often]
-        arcs = [np.unique(x[-1]) for x in states.walk(codes, sizes, may)]
-        arcs = np.unique(np.concatenate(arcs)) if arcs else np.empty(0, np.int64)
-        arcs = arcs[arcs >= 0]
-        seen = np.zeros(len(arcs), np.int64)
-        _, _, word_order, word_edges, arc_order, arc_edges = states.dealt(arcs, words)
-        for x in answers.itertuples():
-            of_word = word_order[word_edges[x.part] : word_edges[x.part + 1]]
-            count[of_word] = unpacked_counts(x.counts)
-            fail[of_word] = _failing(unpacked_counts(x.arcs), unpacked_counts(x.kept), count[of_word], states)
-            seen[arc_order[arc_edges[x.part] : arc_edges[x.part + 1]]] = unpacked_counts(x.n)
-        d1, d2 = states.discounts
-        total, kinds = states.total, states.kinds
-        is_state = may & (count > 0)
-        known, base, model = [], [], []
-        for _, texts, text, word, before, arc in states.walk(codes, sizes, may):
-            c = count[word]
-            if total:
-                p = np.maximum(c - d1, 0) / total + d1 * kinds / total / (kinds + 1)
-            else:
-                p = np.ones(len(c))
-            bonus = np.zeros(len(p))
-            use = np.flatnonzero(arc >= 0)
-            bonus[use] = np.maximum(seen[np.searchsorted(arcs, arc[use])] - d2, 0)
-            out_of = np.flatnonzero(is_state[before])
-            history = before[out_of]
-            p[out_of] = bonus[out_of] / count[history] + fail[history] * p[out_of]
-            known.append(np.bincount(text, c > 0, texts))
-            base.append(np.bincount(text, np.log10((c + 1) / (total + kinds + 1)), texts))
-            model.append(np.bincount(text, np.log10(p), texts))
+        t = Tokens.of(row)
+        words, arcs = (answers(replies, i, "a", t.names, bits) for i in (1, 2))
+        pairs = answers(replies, 1, "b", t.keys, bits)
+        count = words[t.word]
+        if total:
+            p = np.maximum(count - d1, 0) / total + d1 * kinds / total / (kinds + 1)
+        else:
+            p = np.ones(len(count))
+        at = np.flatnonzero(words[t.prev] > 0)
+        state = t.prev[at]
+        p[at] = (np.maximum(pairs[t.pair[at]] - d2, 0) + d2 * arcs[state] * p[at]) / words[state]
+        triples = t.triples(pairs)
+        seen = answers(replies, 2, "b", triples.keys, bits)
+        after = np.zeros(len(t.keys), np.int64)
+        after[triples.own] = answers(replies, 3, "a", t.keys[triples.own], bits)
+        at, state = triples.at, triples.state
+        p[at] = (np.maximum(seen[triples.kind] - d3, 0) + d3 * after[state] * p[at]) / pairs[state]
+        sums = lambda x, t=t: np.bincount(t.text, x, t.texts)
         out.append(
             pd.DataFrame(
                 {
                     "doc_id": pd.array(list(row.doc_ids), "Int64"),
                     "held_out": np.array(row.held_out, bool),
-                    "n_tokens": sizes + 1,
-                    "n_known": np.concatenate(known).astype(np.int64),
+                    "n_tokens": np.bincount(t.text, minlength=t.texts),
+                    "n_known": sums(count > 0).astype(np.int64),
                     "train_tokens": total,
-                    "base_score": np.concatenate(base),
-                    "score": np.concatenate(model),
+                    "base_score": sums(np.log10((count + 1) / (total + kinds + 1))),
+                    "score": sums(np.log10(p)),
                 }
             )
         )
-    columns = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    return pd.concat(out) if out else pd.DataFrame(columns=columns)
+    return pd.concat(out[1:]) if out[1:] else out[0]
+
+
+def score(docs: DataFrame, training: Column, held_out: Column) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of
+    (doc_id, text), learned from the rows of the condition ``training``."""
+    source = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.coalesce(training, F.lit(False)).alias("trained"),
+        F.coalesce(held_out, F.lit(False)).alias("held_out"),
+        F.col("text").cast("string").alias("text"),
+    )
+    blocks = clustered(source.mapInArrow(_to_blocks, _BLOCK), ["block"])
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tokens = blocks.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n")).first().n
+    bits = max(1, math.ceil(math.log2(max(partitions, tokens / PART_TOKENS))))
+    laid = blocks.select("block", "trained", "sizes", "codes", "words").groupBy("block")
+    first, about = _told(laid.applyInPandas(_pairs(bits), _SENT), "pairs")
+
+    def ask(task, name, *replies):
+        return _told(laid.cogroup(_union(replies).groupBy("block")).applyInPandas(task, _SENT), name)
+
+    second, of_triples = ask(_triples(bits), "triples", _stage(1, first, "b", "new"))
+    third, _ = ask(_pair_arcs(bits), "pair_arcs", _stage(1, first, "b"), _stage(2, second, "new"))
+    discounts = (
+        _discount(about.ones, about.twos),
+        _discount(about.b_ones, about.b_twos),
+        _discount(of_triples.b_ones, of_triples.b_twos),
+    )
+    model = Model(bits, int(about.total), int(about.kinds), discounts)
+    replies = _union([_stage(1, first, "a", "b"), _stage(2, second, "a", "b"), _stage(3, third, "a")])
+    return (
+        blocks.drop("tokens")
+        .groupBy("block")
+        .cogroup(replies.groupBy("block"))
+        .applyInPandas(lambda b, r: _traverse(b, r, model), _SCORES)
+    )
+
+
+def _union(parts) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, parts)
