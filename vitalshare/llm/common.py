@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
@@ -35,6 +36,15 @@ def crc_remainder(column: str, modulus: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
 
+def trim() -> None:
+    """Gives memory that earlier tasks of this worker freed back to the system, where the
+    allocators can: workers are reused, and what one stage's peak left over adds to the next's."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back:
+        give_back(0)
+
+
 def slices(texts: pa.Array, limit: int = SLICE_BYTES):
     """Row ranges of about ``limit`` bytes of text, whole rows, in order."""
     size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)

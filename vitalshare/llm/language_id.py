@@ -25,13 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitalshare.llm.common import slices
+from vitalshare.llm.common import slices, trim
 
 DIMENSIONS = 1024
 N = 3
 JOINED = 64
 GROUP = 64
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 _letters: dict[int, np.ndarray] = {}
 
@@ -74,7 +74,7 @@ class Grams:
             seen = np.zeros(size**N, bool)
             seen[code] = True
             kinds = np.flatnonzero(seen)
-            number = np.zeros(size**N, np.int64)
+            number = np.zeros(size**N, np.int32)
             number[kinds] = np.arange(len(kinds))
             self.kind = number[code]
         else:
@@ -115,6 +115,7 @@ def learn(docs: DataFrame) -> dict[str, np.ndarray]:
     language."""
 
     def task(batches):
+        trim()
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             texts, langs = batch.column(0), batch.column(1).to_pylist()
@@ -159,6 +160,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], *keep: str) ->
     unit = np.ascontiguousarray(unit.T, np.float32)
 
     def task(batches):
+        trim()
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             for start, stop in slices(texts, SLICE):
