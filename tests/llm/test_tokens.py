@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tests.llm.conftest import TEXTS
-from vitalshare.llm import binary_ids, bpe, packing, word_tokens
+from vitalshare.llm import binary_ids, bpe, common, packing, word_tokens
 
 PARTS = ["a", "the", " ", "  ", "\n", "é", "1", "23", "'s", "!", "...", "日本", " in", "ing", ".", ",", "A.", "<|endoftext|>", "\x85", "\x1c", "İ", "̈"]
 
@@ -45,6 +45,25 @@ def test_speculative_bpe_gives_the_librarys_ids(byte_bpe, texts):
     assert codec.decode(ids, counts).to_pylist() == texts
 
 
+def test_texts_are_encoded_a_slice_at_a_time(word_bpe):
+    """What is held for encoding is bounded by a slice, not by an Arrow batch."""
+    texts = ["word " * 60_000, "a", None, "bird " * 150_000, "b c"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(texts)], ["doc_id", "text"])
+    found = list(word_tokens.encoded([batch], word_bpe, 1))
+    assert [x.to_pylist() for x, _ in found] == [[0, 1, 2], [3, 4]]
+    want = library(word_bpe)
+    assert [x.tolist() for _, part in found for x in part] == [want(t) + [1] for t in texts]
+
+
+def test_other_tasks_empty_the_encoders(word_bpe):
+    """A reused worker does not carry the packing's memory into the stages after it."""
+    own = word_tokens.encoder(word_bpe)
+    common.trim(word_tokens.ENCODERS)
+    assert word_tokens.encoder(word_bpe) is own
+    common.trim()
+    assert not word_tokens.ENCODERS
+
+
 def test_memories_may_be_small(word_bpe, byte_bpe):
     for maker, path in ((word_tokens.ChunkEncoder, word_bpe), (bpe.Codec, byte_bpe)):
         small = maker(path, 3)

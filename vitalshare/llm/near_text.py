@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitalshare.llm.common import mix, ranges, slices, spread
+from vitalshare.llm.common import mix, ranges, slices, spread, trim
 from vitalshare.llm.components import components
 from vitalshare.sources.writers import stage_table
 
@@ -154,6 +154,7 @@ _SIGNED = (
 
 
 def _sign(batches):
+    trim()
     uid = TaskContext.get().partitionId() << 33
     for batch in batches:
         texts = batch.column(2)
@@ -204,6 +205,7 @@ def _likely(batches):
 
 
 def _verified(batches):
+    trim()
     for batch in batches:
         size = sum(pc.binary_length(batch.column(i)).to_numpy(zero_copy_only=False) for i in (2, 3))
         for start, stop in ranges(size, SLICE):
@@ -399,6 +401,7 @@ def _sides(group: pa.Table):
 
 def _near_blocks(batches):
     """Rows of the blocks that their signatures leave a partner."""
+    trim()
     for group in _groups(batches):
         cut, open_ = _sides(group)
         own = sketches(group.column("sketch"))
@@ -435,6 +438,7 @@ def overlaps(texts: pa.Array, cut: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _link_blocks(batches):
     """Links of the blocks, one for each stray and component it meets."""
+    trim()
     for group in _groups(batches):
         cut, open_ = _sides(group)
         if not open_.any():

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalshare.llm.common import trim
-from vitalshare.llm.word_tokens import encoded
+from vitalshare.llm.word_tokens import ENCODERS, encoded
 from vitalshare.sources.writers import stage_table
 
 CAPACITY = 2048
@@ -99,7 +99,7 @@ def pack(
 
 
 def _fill(batches, tokenizer: str, capacity: int, end_id: int, with_ids: bool):
-    trim()
+    trim(ENCODERS)
     part = TaskContext.get().partitionId()
     bins = Bins(capacity, part << 32)
     names = [x.split()[0] for x in OPEN.split(",")] + ["ids"] * with_ids

@@ -44,7 +44,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitalshare.llm.common import slices
+from vitalshare.llm.common import slices, trim
 from vitalshare.sources.writers import stage_table
 
 SAMPLED = 20_000
@@ -355,6 +355,7 @@ def learn(docs: DataFrame, labels: DataFrame, training: Column, sampled: int = S
     seeds = INSULTS | THREATS
 
     def count(batches):
+        trim()
         for batch in batches:
             for start, stop in slices(batch.column(0), SLICE):
                 toxic, clean = Counter(), Counter()
@@ -390,6 +391,7 @@ def learn(docs: DataFrame, labels: DataFrame, training: Column, sampled: int = S
             (model.threats if ahead > behind else model.insults)[form] = weight
 
     def describe(batches):
+        trim()
         for batch in batches:
             for start, stop in slices(batch.column(0), SLICE):
                 part = batch.slice(start, stop - start)
@@ -408,6 +410,7 @@ def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     """``keep`` columns of ``docs`` with score and predicted, every whole text."""
 
     def task(batches):
+        trim()
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             for start, stop in slices(texts, SLICE):
