@@ -588,6 +588,13 @@ def oracle_sql() -> dict[str, str]:
         q[f"stage_{spec.name}"] = _with(
             _through(spec.number), _moments(source, "cdmun, ano, GBD, sexo", *measures)
         )
+    for spec in stages():
+        if spec.name in ("maternal",):
+            q[f"stage_{spec.name}"] = _with(
+                _through(spec.number),
+                f"SELECT cdmun, ano, GBD, sexo, idade, {_round('din')} AS deaths_in, {_round('a')} AS alloc, "
+                f"{_round('d')} AS deaths_out FROM b{spec.number} WHERE {_eligible(spec)}",
+            )
     handled = [g for g in GARBAGE if g not in ("_all", "_inj (hom,suic, fall,road)")]
     q["remainder_report"] = _with(
         STEP3_BASE,

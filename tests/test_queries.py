@@ -64,3 +64,13 @@ def test_sql_functions_are_inlined(spark):
     assert spark.sql("SELECT level_share(1D, 0D) AS x").first().x is None
     plan = entry.queries()["death_counts_sql"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "l_extendedprice" not in plan
+
+
+@pytest.mark.parametrize("name", ["stage_maternal"])
+def test_stage_results_hold_every_cell(spark, name):
+    """One row a cell, by age too, and cells without deaths as well."""
+    rows = entry.queries()[name](spark, SF).collect()
+    cells = {(r.cdmun, r.ano, r.GBD, r.sexo, r.idade) for r in rows}
+    places = {(r.cdmun, r.ano) for r in rows}
+    assert len(rows) == len(cells) == len(places) * len({(r.GBD, r.sexo, r.idade) for r in rows})
+    assert any(r.alloc > 0 for r in rows) and any(r.deaths_out == 0 for r in rows)

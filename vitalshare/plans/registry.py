@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitalshare.domain import CHRONIC, GARBAGE, INJURIES, TARGETS
-from vitalshare.functions import in_list, left_join, sql, stable_round
+from vitalshare.functions import in_list, left_join, not_in_list, sql, stable_round
 from vitalshare.functions.exact import exact_sum
 from vitalshare.operators import checks, flows
 from vitalshare.operators import counts as c
@@ -433,6 +433,27 @@ def _stage(number):
     return query
 
 
+def _stage_cells(number):
+    """A stage's result itself: every cell its targets can have, with and without deaths."""
+
+    def query(spark, sf):
+        base, plan = _garbage(spark, sf)
+        spec = next(s for s in plan.specs if s.number == number)
+        half = c.split_unknown(counts(spark, sf), ss.CODES)[0]
+        places = counts(spark, sf).filter(not_in_list("cdmun", ss.CODES)).select("cdmun").distinct()
+        cells = gr.possible_cells(gr.domain_rows(places, half.select("ano").distinct()))
+        tests = [
+            f"GBD = '{cause}'" + (f" AND {test}" if (test := spec.eligible(cause)) else "")
+            for cause in plan.targets(spec)
+        ]
+        cells = cells.where(" OR ".join(f"({t})" for t in tests) or "false")
+        key, measures = ["cdmun", "ano", "GBD", "sexo", "idade"], ("deaths_in", "alloc", "deaths_out")
+        found = g.run_stage(base, plan, number).select(*key, *measures)
+        return _rounded(left_join(cells, found, key).na.fill(0.0, list(measures)), *measures)
+
+    return query
+
+
 def mass_balance(spark, sf):
     """From records to final deaths by year: every way deaths leave or are added, and what
     remains unexplained; for all years what the writing of step 2 observed."""
@@ -574,6 +595,7 @@ QUERIES = {
 QUERIES |= {f"unknown_p{p.number}": _unknown_pass(p.number) for p in PASSES}
 QUERIES |= {"unknown_total": unknown_total, "level_shares": level_shares, "level_rollup": level_rollup}
 QUERIES |= {f"stage_{s.name}": _stage(s.number) for s in stages()}
+QUERIES |= {f"stage_{s.name}": _stage_cells(s.number) for s in stages() if s.name in ("maternal",)}
 QUERIES |= {
     f.__name__: f
     for f in (
