@@ -589,7 +589,7 @@ def oracle_sql() -> dict[str, str]:
             _through(spec.number), _moments(source, "cdmun, ano, GBD, sexo", *measures)
         )
     for spec in stages():
-        if spec.name in ("maternal",):
+        if spec.name in ("maternal", "y34"):
             q[f"stage_{spec.name}"] = _with(
                 _through(spec.number),
                 f"SELECT cdmun, ano, GBD, sexo, idade, {_round('din')} AS deaths_in, {_round('a')} AS alloc, "

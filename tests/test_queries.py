@@ -66,7 +66,7 @@ def test_sql_functions_are_inlined(spark):
     assert "Python" not in plan and "l_extendedprice" not in plan
 
 
-@pytest.mark.parametrize("name", ["stage_maternal"])
+@pytest.mark.parametrize("name", ["stage_maternal", "stage_y34"])
 def test_stage_results_hold_every_cell(spark, name):
     """One row a cell, by age too, and cells without deaths as well."""
     rows = entry.queries()[name](spark, SF).collect()

@@ -595,7 +595,7 @@ QUERIES = {
 QUERIES |= {f"unknown_p{p.number}": _unknown_pass(p.number) for p in PASSES}
 QUERIES |= {"unknown_total": unknown_total, "level_shares": level_shares, "level_rollup": level_rollup}
 QUERIES |= {f"stage_{s.name}": _stage(s.number) for s in stages()}
-QUERIES |= {f"stage_{s.name}": _stage_cells(s.number) for s in stages() if s.name in ("maternal",)}
+QUERIES |= {f"stage_{s.name}": _stage_cells(s.number) for s in stages() if s.name in ("maternal", "y34")}
 QUERIES |= {
     f.__name__: f
     for f in (
