@@ -167,3 +167,37 @@ def test_token_files(odd_docs, no_docs, spark, word_bpe):
         start += len(ids)
     files = binary_ids.write(no_docs, word_bpe, binary_ids.new_folder(spark))
     assert files == [] and binary_ids.read_digests(spark, files).count() == 0
+
+
+MIXED = ["a", "ba", "É", "ñ", "İ", "ß", "'s", "'", "&&&", "=", "̸", "́", "ŀ", "क़", " ", "7", "½", "<|", "×", "K", "日"]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(MIXED), max_size=10).map("".join), min_size=1, max_size=8))
+def test_parted_punctuation_and_joined_words_give_the_librarys_ids(word_bpe, texts):
+    want = library(word_bpe)
+    ids, counts = word_tokens.encoder(word_bpe).encode(pa.array(texts))
+    got = np.split(ids, np.cumsum(counts)[:-1])
+    assert [x.tolist() for x in got] == [want(t) for t in texts]
+
+
+def test_words_go_to_the_library_many_to_a_text(word_bpe, monkeypatch):
+    """A text costs the library more than a word of it does."""
+    own, sent = word_tokens.ChunkEncoder(word_bpe), []
+    library_ = own._library
+    monkeypatch.setattr(own, "_library", lambda texts: sent.extend(texts) or library_(texts))
+    words = [f"{a}{b}{c}é" for a in "abcdefghij" for b in "klmnopqrst" for c in "uvwxyz"]
+    text = "!! ".join(words)
+    assert own.encode(pa.array([text]))[0].tolist() == library(word_bpe)(text)
+    assert len(sent) <= 1 + -(-len(words) // word_tokens.JOINED)
+
+
+def test_chunks_used_often_stay_remembered(word_bpe):
+    """Words seen once make room; what every slice holds is not learned again."""
+    small, want = word_tokens.ChunkEncoder(word_bpe, 4), library(word_bpe)
+    for i in range(20):
+        text = f"the cat number{'abcdefghijklmnopqrst'[i]} word{'abcdefghijklmnopqrst'[i]}"
+        assert small.encode(pa.array([text]))[0].tolist() == want(text)
+        assert len(small.chunks) <= 4 + 4
+        assert {"the", "cat"} <= set(small.chunks.to_pylist())
+    assert small.calls[:2].min() > 1
