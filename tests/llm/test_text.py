@@ -30,6 +30,21 @@ def test_languages_are_told_apart(spark):
     assert by_id == Counter((i, lang) for (i, _), lang in truth.items())
 
 
+def test_a_kept_text_goes_to_the_workers_once(odd_docs):
+    """Twice, it doubles every Arrow batch on both sides."""
+    prototypes = language_id.learn(odd_docs)
+    for make, name in (
+        (lambda *keep: language_id.identify(odd_docs, prototypes, *keep), "lang_pred"),
+        (lambda *keep: toxicity.score(odd_docs, toxicity.Model(), *keep), "predicted"),
+    ):
+        both, alone = make("doc_id", "text"), make("doc_id")
+        assert "_text" not in both._jdf.queryExecution().optimizedPlan().toString()
+        assert both.columns == ["doc_id", "text", *alone.columns[1:]]
+        assert Counter(both.select("doc_id", name).collect()) == Counter(alone.select("doc_id", name).collect())
+        texts = odd_docs.select("doc_id", "text")
+        assert Counter(both.select("doc_id", "text").collect()) == Counter(texts.collect())
+
+
 def test_language_of_odd_texts(odd_docs, no_docs):
     found = language_id.predict(odd_docs, F.lit(True)).collect()
     assert len(found) == odd_docs.count()

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitalshare.llm.common import slices, trim
+from vitalshare.llm.common import slices, trim, with_text
 
 DIMENSIONS = 1024
 N = 3
@@ -159,10 +159,12 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], *keep: str) ->
         unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-12)
     unit = np.ascontiguousarray(unit.T, np.float32)
 
+    source, place = with_text(docs, keep)
+
     def task(batches):
         trim()
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
+            texts = batch.column(place)
             for start, stop in slices(texts, SLICE):
                 lang, score = ["und"] * (stop - start), np.zeros(stop - start)
                 if names:
@@ -175,13 +177,12 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], *keep: str) ->
                         for i in np.flatnonzero(grams.letters[first : first + len(best)]).tolist():
                             lang[first + i] = names[best[i]]
                             score[first + i] = min(max(float(value[i]), 0.0), 1.0)
-                own = batch.slice(start, stop - start).columns[:-1]
+                own = batch.slice(start, stop - start).columns[: len(keep)]
                 yield pa.RecordBatch.from_arrays(
                     [*own, pa.array(lang, pa.string()), pa.array(score)],
                     [*keep, "lang_pred", "score"],
                 )
 
-    source = docs.select(*keep, F.col("text").cast("string").alias("_text"))
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
     return source.mapInArrow(task, schema)
 

@@ -44,7 +44,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitalshare.llm.common import slices, trim
+from vitalshare.llm.common import slices, trim, with_text
 from vitalshare.sources.writers import stage_table
 
 SAMPLED = 20_000
@@ -409,22 +409,23 @@ def learn(docs: DataFrame, labels: DataFrame, training: Column, sampled: int = S
 def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     """``keep`` columns of ``docs`` with score and predicted, every whole text."""
 
+    source, place = with_text(docs, keep)
+
     def task(batches):
         trim()
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
+            texts = batch.column(place)
             for start, stop in slices(texts, SLICE):
                 found = matches(texts.slice(start, stop - start), model)
                 value = logistic(features(found) @ model.weights)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *batch.slice(start, stop - start).columns[:-1],
+                        *batch.slice(start, stop - start).columns[: len(keep)],
                         pa.array(value),
                         pa.array((value >= THRESHOLD).astype(np.int32)),
                     ],
                     [*keep, "score", "predicted"],
                 )
 
-    source = docs.select(*keep, F.col("text").cast("string").alias("_text"))
     schema = docs.select(*keep).schema.add("score", "double").add("predicted", "integer")
     return source.mapInArrow(task, schema)
