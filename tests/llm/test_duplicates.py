@@ -14,6 +14,7 @@ import corpus_pipeline
 from tests.llm.conftest import TEXTS
 from vitalshare.llm import near_text, topk, vector_dedup
 from vitalshare.llm.components import components
+from vitalshare.sources.writers import stage_table
 
 
 def roots_of(n, pairs):
@@ -42,6 +43,17 @@ def test_components(spark, seed):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_settled_components_take_one_round(spark, monkeypatch):
+    """What is known already, repeated rows included, is stored once and not gone through again."""
+    stored = []
+    monkeypatch.setattr("vitalshare.llm.components.stage_table", lambda df, name: stored.append(name) or stage_table(df, name))
+    pairs = [(1, 1 + i) for i in range(1, 30)] * 3 + [(50 + i, 50) for i in range(1, 9)] + [(70, 70)]
+    found = components(spark.createDataFrame(pairs, "a long, b long").repartition(3)).collect()
+    want = {i: 1 for i in range(1, 31)} | {i: 50 for i in range(50, 59)}
+    assert sorted((x.node, x.root) for x in found) == sorted(want.items())
+    assert stored == ["edges"]
+
+
 def multiset(text):
     words = (text or "").lower().split()
     if not words:
@@ -131,6 +143,19 @@ def test_blocks_find_what_stars_miss(spark, monkeypatch):
     assert {x.component_id for x in found} == {0} and sum(x.kept for x in found) == 1
 
 
+def test_few_tables_are_stored(spark, monkeypatch):
+    """Each stored table costs a task a shuffle partition, however few rows it has."""
+    stored = []
+    for module in ("near_text", "components"):
+        monkeypatch.setattr(f"vitalshare.llm.{module}.stage_table", lambda df, name: stored.append(name) or stage_table(df, name))
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    texts = [" ".join(base)] * 5 + [" ".join(edited(base, rng, 2)) for _ in range(30)]
+    docs = spark.createDataFrame([Row(doc_id=i, text=t) for i, t in enumerate(texts)])
+    assert {x.component_id for x in near_text.near_duplicates(docs).collect()} == {0}
+    assert len(stored) <= 13
+
+
 def test_near_duplicates_of_odd_rows(odd_docs, no_docs):
     found = near_text.near_duplicates(odd_docs).collect()
     assert len(found) == odd_docs.count()

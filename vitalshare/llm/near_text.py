@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalshare.llm.common import mix, ranges, slices, spread, trim
-from vitalshare.llm.components import components
+from vitalshare.llm.components import stars
 from vitalshare.sources.writers import stage_table
 
 WORDS = 5
@@ -149,7 +149,7 @@ def similarity(left: pa.Array, right: pa.Array) -> np.ndarray:
 
 
 _SIGNED = (
-    "uid long, doc_id long, mark long, k1 long, k2 long, total long, bands array<long>, sketch binary"
+    "uid long, doc_id long, mark long, k1 long, k2 long, total long, bands array<long>, sketch binary, text string"
 )
 
 
@@ -180,6 +180,7 @@ def _sign(batches):
                     pa.FixedSizeBinaryArray.from_buffers(
                         pa.binary(REGISTERS), n, [None, pa.py_buffer(sketch.tobytes())]
                     ).cast(pa.binary()),
+                    texts.slice(start, n),
                 ],
                 [x.split()[0] for x in _SIGNED.split(", ")],
             )
@@ -219,52 +220,37 @@ def _verified(batches):
 class _Pairs:
     """Checks pairs (a, b) of representatives."""
 
-    def __init__(self, docs: DataFrame, signed: DataFrame):
-        self.docs, self.signed = docs, signed
+    def __init__(self, signed: DataFrame):
+        self.sketch, self.text = signed.select("uid", "sketch"), signed.select("uid", "text")
 
     def check(self, pairs: DataFrame) -> DataFrame:
-        """a, b, j of the pairs that may reach the threshold."""
-        sketch = self.signed.select("uid", "sketch")
+        """Links among the pairs (a, b), stored."""
         likely = (
-            pairs.join(sketch.toDF("a", "left"), "a")
-            .join(sketch.toDF("b", "right"), "b")
+            pairs.join(self.sketch.toDF("a", "left"), "a")
+            .join(self.sketch.toDF("b", "right"), "b")
             .select("a", "b", "left", "right")
             .mapInArrow(_likely, "a long, b long")
         )
-        likely = stage_table(likely, "likely")
-        texts = self.texts(likely.select(F.col("a").alias("uid")).union(likely.select("b")))
         verified = (
-            likely.join(texts.toDF("b", "right"), "b")
-            .join(texts.toDF("a", "left"), "a")
+            likely.join(self.text.toDF("b", "right"), "b")
+            .join(self.text.toDF("a", "left"), "a")
             .select("a", "b", "left", "right")
             .mapInArrow(_verified, "a long, b long, j double")
         )
-        return stage_table(verified, "verified")
-
-    def texts(self, uids: DataFrame) -> DataFrame:
-        """uid, text of representatives, stored."""
-        places = self.signed.select("uid", "doc_id", "mark").join(uids.distinct(), "uid")
-        same = self.docs["doc_id"].eqNullSafe(places["doc_id"]) & (self.docs["mark"] == places["mark"])
-        return stage_table(
-            self.docs.join(places, same).select("uid", "text").dropDuplicates(["uid"]), "texts"
-        )
+        return stage_table(verified.where(F.col("j") >= THRESHOLD).select("a", "b"), "verified")
 
     def strays(self, open_: DataFrame) -> DataFrame:
-        """Links (a, b) between strays and members of other components of their buckets."""
+        """Links (a, b) between strays and members of other components of their buckets, stored."""
         key = ["key", "i", "j"]
         deal = lambda x: x.repartition(*key).sortWithinPartitions(*key, "side", "uid")
-        sketch = self.signed.select("uid", "sketch")
-        sized = open_.join(self.signed.select("uid", "total"), "uid")
         schema = "key long, i long, j long, side int, uid long, root long"
-        near = stage_table(
-            deal(_blocks(sized).join(sketch, "uid").select(*key, "side", "uid", "root", "sketch"))
-            .mapInArrow(_near_blocks, schema),
-            "blocks",
-        )
-        texts = self.texts(near.select("uid"))
-        return deal(near.join(texts, "uid").select(*key, "side", "uid", "root", "text")).mapInArrow(
-            _link_blocks, "a long, b long"
-        )
+        near = deal(
+            _blocks(open_).join(self.sketch, "uid").select(*key, "side", "uid", "root", "sketch")
+        ).mapInArrow(_near_blocks, schema)
+        found = deal(
+            near.join(self.text, "uid").select(*key, "side", "uid", "root", "text")
+        ).mapInArrow(_link_blocks, "a long, b long")
+        return stage_table(found, "found")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -278,24 +264,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = stage_table(source.mapInArrow(_sign, _SIGNED), "signatures")
     worded = signed.where("total > 0")
     firsts = worded.groupBy("k1", "k2").agg(F.min("uid").alias("rep"))
+    first = F.col("uid") == F.col("rep")
     rows = stage_table(
-        worded.select("uid", "doc_id", "mark", "k1", "k2").join(firsts, ["k1", "k2"]).drop("k1", "k2"),
+        worded.select("uid", "doc_id", "mark", "k1", "k2", "total", "bands")
+        .join(firsts, ["k1", "k2"])
+        .select("uid", "doc_id", "mark", "rep", "total", F.when(first, F.col("bands")).alias("bands")),
         "copies",
     )
-    reps = rows.where("uid = rep").select("uid")
-    band = worded.select("uid", "bands").join(reps, "uid").select("uid", F.explode("bands").alias("key"))
+    band = rows.where(first).select("uid", "total", F.explode("bands").alias("key"))
     buckets = band.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = stage_table(_centred(band.join(buckets, "key")), "members")
-    checks = _Pairs(source, signed)
+    checks = _Pairs(worded)
     star = members.where("uid <> centre").select(F.col("centre").alias("a"), F.col("uid").alias("b")).distinct()
-    near = checks.check(star)
-    links = near.where(F.col("j") >= THRESHOLD).select("a", "b")
-    second = checks.check(_second_star(_open(members, components(links))))
-    links = links.unionByName(second.where(F.col("j") >= THRESHOLD).select("a", "b"))
-    found = checks.strays(_open(members, components(links)))
-    links = links.unionByName(stage_table(found, "found"))
-    roots = stage_table(components(links), "roots")
-    joined = rows.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
+    links = stars(checks.check(star))
+    second = checks.check(_second_star(_open(members, links)))
+    links = stars(links.unionByName(second))
+    found = checks.strays(_open(members, links))
+    links = stars(links.unionByName(found))
+    joined = rows.join(links.toDF("rep", "root"), "rep", "left").select(
         "uid", "doc_id", "mark", F.coalesce("root", "rep").alias("root")
     )
     chosen = joined.groupBy("root").agg(F.min(F.struct("doc_id", "uid")).alias("first"))
@@ -312,7 +298,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def _centred(band: DataFrame) -> DataFrame:
-    """Adds to each bucket's members (key, uid, n) the bucket's centre: the member that shares
+    """Adds to each bucket's members (key, uid, total, n) the bucket's centre: the member that shares
     buckets with the most others, as the original of a group of edited copies does."""
     rank = band.groupBy("uid").agg(F.sum("n").alias("shared"))
     ranked = band.drop("n").join(rank, "uid")
@@ -321,13 +307,12 @@ def _centred(band: DataFrame) -> DataFrame:
     return ranked.join(centres, "key")
 
 
-def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members (but the centres) of the buckets with more than one component: key, uid, shared,
-    root, stray (not in the centre's component)."""
-    centres = roots.select(F.col("node").alias("centre"), F.col("root").alias("main"))
+def _open(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Members (but the centres) of the buckets with more than one component: key, uid, total,
+    shared, root, stray (not in the centre's component). ``links`` are stars."""
     rooted = (
-        members.join(roots.withColumnRenamed("node", "uid"), "uid", "left")
-        .join(centres, "centre", "left")
+        members.join(links.toDF("uid", "root"), "uid", "left")
+        .join(links.toDF("centre", "main"), "centre", "left")
         .withColumn("root", F.coalesce("root", "uid"))
         .withColumn("stray", F.col("root") != F.coalesce("main", "centre"))
     )
@@ -335,7 +320,7 @@ def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
     return stage_table(
         rooted.where("uid <> centre")
         .join(mixed, "key", "left_semi")
-        .select("key", "uid", "shared", "root", "stray"),
+        .select("key", "uid", "total", "shared", "root", "stray"),
         "open",
     )
 
