@@ -74,6 +74,16 @@ def test_string_that_meets_itself(spark):
     assert removed(spark, rows, 400) == brute(rows, 400)
 
 
+def test_text_of_more_than_65536_anchors(spark):
+    rng = random.Random(1)
+    other = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    shared = [other(600) for _ in range(4)]
+    # in a run of one letter every position is an anchor
+    rows = [(0, "a" * 70_000 + "".join(other(300) + x for x in shared))]
+    rows += [(i, other(100 + i) + x + other(50)) for i, x in enumerate(shared, 1)]
+    assert removed(spark, rows, 400) == brute(rows, 400)
+
+
 def test_same_strings_have_the_same_anchors():
     rng = np.random.default_rng(4)
     plan = repeats.Plan(400)
